@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "chat_format")
+MODULES = ("token_counts", "chat_format", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
