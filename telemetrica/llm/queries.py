@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "chat_format", "packing", "secrets")
+MODULES = ("token_counts", "sentence_pieces", "chat_format", "packing", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
