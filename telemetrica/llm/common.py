@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: UTF-8 white space of the word definition ``[^\x20\x09-\x0D]+``.
-WORD_GAP = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +57,14 @@ def drop_cut(*frames: DataFrame) -> None:
                 jvm = df.sparkSession._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Fixed value: a word of the contracts.
+WORD = re.compile(r"[^ \t-\r]+")
+#: White space that str.split() splits at and the contracts don't.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+
+
+def words_of(text: str) -> list[str]:
+    """The maximal runs without ASCII white space."""
+    return WORD.findall(text) if OTHER_SPACE.search(text) else text.split()
