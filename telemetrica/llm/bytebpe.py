@@ -15,7 +15,7 @@ import numpy as np
 SPACES = re.compile(r"\s\s")
 CHUNK = re.compile(r"(?<=\S)(?= \S)")
 MARK = "\uffff"
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 500_000
 
 
 def chunks_of(text: str) -> list[str]:

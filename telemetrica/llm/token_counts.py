@@ -12,6 +12,7 @@ row by row; columns beyond the two that are named are ignored, whatever they are
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 from itertools import accumulate
 
@@ -55,6 +56,7 @@ class PrefixCounter:
         self.last: dict[bytes, tuple[int, bytes]] = {}
         self.words: dict[str, list[int]] = {}
         self.pattern = regex.compile(PRE_TOKEN)
+        self.odd = re.compile(r"[\s']")
         self.cuts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.table = ChunkTable(lambda chunks: [self._relative(c) for c in chunks])
 
@@ -118,7 +120,8 @@ class PrefixCounter:
     def _column(self, word: bytes) -> list[tuple[int, bytes]]:
         """The table of one pre-token: count and last token at each byte prefix, from the left."""
         if len(word) <= 24:
-            return [self._step(word[:i]) for i in range(1, len(word) + 1)]
+            get, step = self.last.get, self._step
+            return [get(x) or step(x) for x in [word[:i] for i in range(1, len(word) + 1)]]
         out: list[tuple[int, bytes]] = []
         for i in range(1, len(word) + 1):
             for n in range(min(i, self.longest), 0, -1):
@@ -204,9 +207,17 @@ class PrefixCounter:
             at = m.end()
         return out + [base + n for n in self._plain(text[at:])]
 
-    def _relative(self, chunk: str) -> tuple[int, bytes]:
-        counts = self._counts(chunk)
-        return (counts[-1] if counts else 0, np.array(counts, "<u4").tobytes())
+    def _relative(self, chunk: str) -> bytes | list[int]:
+        """Counts at each prefix of a chunk, as bytes if they are small."""
+        if self.odd.search(chunk, 1) or any(x in chunk for x in self.special):
+            out = self._counts(chunk)
+        else:
+            out, base = [], 0
+            for word in self.pattern.findall(chunk):
+                counts = self._word(word)
+                out += [base + n for n in counts] if base else counts
+                base += counts[-1]
+        return bytes(out) if not out or max(out) < 256 else out
 
     def tables(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its count at every prefix: entry ``i`` is for the first ``i`` code points."""
@@ -215,10 +226,14 @@ class PrefixCounter:
         out = []
         for chunks in lists:
             found = list(map(get, chunks))
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            totals = np.fromiter((n for n, _ in found), np.int64, len(found))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            if sizes.max() < 256:
+                inner = np.frombuffer(b"".join(found), np.uint8)
+            else:
+                inner = np.concatenate([np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in found]).astype(np.int64)
+            ends = np.cumsum(sizes)
+            totals = np.where(sizes > 0, inner[np.maximum(ends, 1) - 1] if len(inner) else 0, 0).astype(np.int64)
             base = np.repeat(np.cumsum(totals) - totals, sizes)
-            inner = np.frombuffer(b"".join([b for _, b in found]), "<u4")
             out.append(np.concatenate([[0], base + inner]).astype(np.uint32))
         return out
 
