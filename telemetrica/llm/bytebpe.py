@@ -8,6 +8,7 @@ Python worker keeps a bounded table of encoded chunks; a full table is emptied,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -16,6 +17,7 @@ SPACES = re.compile(r"\s\s")
 CHUNK = re.compile(r"(?<=\S)(?= \S)")
 MARK = "\uffff"
 TABLE_ENTRIES = 500_000
+PART_CHARS = 1 << 20
 
 
 def chunks_of(text: str) -> list[str]:
@@ -25,6 +27,19 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(" ", "\uffff ").split(MARK)
 
 
+def parts_of(texts: list[str], chars: int = PART_CHARS) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``chars``, so that only one run's chunks are in memory."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class ChunkTable:
     """Values of chunks, computed in batches by ``compute``; two generations of ``entries / 2`` are kept."""
 
@@ -66,6 +81,9 @@ def id_table(path: str) -> ChunkTable:
 
 def encode_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's token ids as little-endian unsigned 32-bit bytes, as the library gives them."""
-    lists = [chunks_of(t) for t in texts]
-    get = id_table(path).look_up(lists).__getitem__
-    return [b"".join(map(get, x)) for x in lists]
+    out = []
+    for part in parts_of(texts):
+        lists = [chunks_of(t) for t in part]
+        get = id_table(path).look_up(lists).__getitem__
+        out += [b"".join(map(get, x)) for x in lists]
+    return out

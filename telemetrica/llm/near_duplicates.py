@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from telemetrica.llm.common import cut, map_batches, table, texts_of
 
-WORDS = 4
+WORDS = 5
 #: At least this many hundredths of the union are shared.
 SIMILAR = 80
 VALUES = 128
@@ -294,10 +294,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, for shingles of ``words`` words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = cut(sketch(docs))
+    sketched = cut(sketch(docs, words))
     classes = cut(
         sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
     )
@@ -314,13 +314,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     # ids that have several sets tie those sets together
     same_id = sketched.where("digest is not null and doc_id is not null").select("digest", "doc_id").distinct()
     same_id = same_id.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    linked = cut(confirmed(first, texts))
+    linked = cut(confirmed(first, texts, words, similar))
     labels = cut(components(linked))
 
     # every pair of a region that is still divided
     marked = rows.select("tree", "near", "far", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     pairs = divided_pairs(marked).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(plausible(pairs, nodes)), texts))
+    more = cut(confirmed(cut(plausible(pairs, nodes)), texts, words, similar))
     ids = same_id.join(sketched.groupBy(F.col("doc_id").alias("b")).agg(F.countDistinct("digest").alias("k")).where("k > 1"), "b").select("a", "b")
     if not more.isEmpty() or not ids.isEmpty():
         labels = cut(components(linked.unionByName(more).unionByName(ids)))
@@ -331,8 +331,14 @@ def cluster(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """One row's document of each group: the rows whose id is their component's smallest."""
+    kept = cluster(docs, words, similar).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(table(spark, sf_dir, "documents"))
+    return cluster(table(spark, sf_dir, "documents"), words=4)
 
 
 QUERIES = {"op3_near_duplicates": op3_near_duplicates}

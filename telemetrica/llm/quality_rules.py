@@ -210,8 +210,8 @@ def assess(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def keep(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose documents ``assess`` keeps; ids are taken as unique."""
-    kept = assess(docs, id_column).where("kept").select(id_column).distinct()
-    return docs.join(kept, id_column, "left_semi").select(*docs.columns)
+    kept = assess(docs, id_column).where("kept").select(F.col(id_column).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "sentence_pieces", "chat_format", "packing", "secrets", "quality_rules", "near_duplicates", "additive_search", "html_extract")
+MODULES = ("token_counts", "sentence_pieces", "chat_format", "packing", "secrets", "quality_rules", "near_duplicates", "additive_search", "html_extract", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
