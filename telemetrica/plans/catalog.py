@@ -1,6 +1,677 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries over the driver tables and their DuckDB oracles.
+
+Floats are rounded to nine digits on both sides. ``SERIES`` and ``GRID`` are the oracle's forms of
+``event_series`` and ``event_grid``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from telemetrica.functions.windows import by_signal
+from telemetrica.operators import comms, evaluation, incidents, rca, signals, topology
+from telemetrica.operators.signals import SignalConfig
+from telemetrica.sources import scans as src
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+SERIES = """
+series AS (
+  SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS scan_ord,
+    epoch_us(ts) / 1e6 AS ts, value, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k
+  FROM events
+)"""
+GRID = """
+cells AS (
+  SELECT CAST(floor(epoch_us(ts) / 1e6 / 3600) AS BIGINT) AS scan_ord, event_type || '_' || (user_id % 4) AS signal_id, avg(value) AS value
+  FROM events GROUP BY ALL
+), firsts AS (SELECT signal_id, min(scan_ord) AS first_scan FROM cells GROUP BY ALL),
+grid AS (
+  SELECT f.signal_id, s.scan_ord, c.value FROM (SELECT DISTINCT scan_ord FROM cells) s JOIN firsts f ON s.scan_ord >= f.first_scan
+  LEFT JOIN cells c ON c.scan_ord = s.scan_ord AND c.signal_id = f.signal_id
+)"""
+W = "OVER (PARTITION BY signal_id ORDER BY scan_ord"
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, doubles rounded."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a function of (spark, sf_dir), with its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+KEYS = ("signal_id", "scan_ord")
+FREQUENCIES = SignalConfig(frequencies=(0.5, 1.0, 2.0))
+LIMITED = SignalConfig(value_min=1.0, value_max=150.0, max_rate=50.0, plausibility_persistence=2, plausibility_recovery=3)
+
+
+# --- conditioning ----------------------------------------------------------------------------------
+
+
+@query("quality_mask", f"""WITH {SERIES} SELECT signal_id, scan_ord, CASE WHEN k <> 0 THEN value END AS value,
+  CASE WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS penalty FROM series""")
+def quality_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.quality_mask(src.event_series(spark, sf_dir)).select(*KEYS, "value", "penalty")
+
+
+@query("moving_average", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W} ROWS 9 PRECEDING), 9) AS filtered_ma FROM series")
+def moving_average(spark, sf_dir):
+    return rounded(signals.moving_average(src.event_series(spark, sf_dir)), *KEYS, "filtered_ma")
+
+
+EWMA = f"""WITH RECURSIVE {SERIES}, fold AS (
+  SELECT signal_id, scan_ord, value, value AS y FROM series WHERE scan_ord = 1
+  UNION ALL SELECT s.signal_id, s.scan_ord, s.value, 0.3e0 * s.value + 0.7e0 * f.y FROM fold f JOIN series s ON s.signal_id = f.signal_id AND s.scan_ord = f.scan_ord + 1
+) SELECT signal_id, scan_ord, round(y, 9) AS filtered_ewma, round(value - y, 9) AS highpass FROM fold"""
+
+
+@query("ewma_highpass", EWMA)
+def ewma_highpass(spark, sf_dir):
+    return rounded(signals.smooth(src.event_series(spark, sf_dir)), *KEYS, "filtered_ewma", "highpass")
+
+
+@query("filter_bank", f"""WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W} ROWS 4 PRECEDING), 9) AS ma_5,
+  round(avg(value) {W} ROWS 19 PRECEDING), 9) AS ma_20 FROM series""")
+def filter_bank(spark, sf_dir):
+    w = by_signal()
+    bank = {f"ma_{n}": F.avg("value").over(w.rowsBetween(1 - n, 0)) for n in (5, 20)}
+    return rounded(signals.filter_bank(src.event_series(spark, sf_dir), bank), *KEYS, "ma_5", "ma_20")
+
+
+@query("buffer_reads", f"""WITH {SERIES} SELECT signal_id, scan_ord, array_to_string(list(round(value, 9)::DECIMAL(18,2)) {W} ROWS 4 PRECEDING), ',') AS samples,
+  round(lag(value) {W}), 9) AS previous, count(value) {W} ROWS 4 PRECEDING) = 5 AS is_full FROM series""")
+def buffer_reads(spark, sf_dir):
+    df = signals.buffer_reads(src.event_series(spark, sf_dir), 5)
+    text = F.array_join(F.transform("samples", lambda x: x.cast("decimal(18,2)").cast("string")), ",")
+    return rounded(df.withColumn("samples", text), *KEYS, "samples", "previous", "is_full")
+
+
+# --- drift, variance, spikes -----------------------------------------------------------------------
+
+DRIFT = f"""d AS (
+  SELECT *, coalesce(value - lag(value) {W}), 0) AS drift FROM series
+), sg AS (
+  SELECT *, CASE WHEN abs(drift) >= 0.5 THEN sign(drift) ELSE 0 END AS sg FROM d
+), br AS (
+  SELECT *, CASE WHEN sg <> 0 AND sg = lag(sg) {W}) THEN 0 ELSE 1 END AS br FROM sg
+), isl AS (SELECT *, sum(br) {W}) AS isl FROM br
+), run AS (
+  SELECT *, CASE WHEN sg = 0 THEN 0 ELSE row_number() OVER (PARTITION BY signal_id, isl ORDER BY scan_ord) END AS monotonic_samples,
+    count(CASE WHEN scan_ord > 1 THEN 1 END) {W} ROWS 9 PRECEDING) AS known,
+    sum(CASE WHEN scan_ord > 1 AND abs(drift) > 0.5 THEN 1 ELSE 0 END) {W} ROWS 9 PRECEDING) AS small
+  FROM isl
+), drifts AS (
+  SELECT *, CASE WHEN monotonic_samples >= 5 THEN 'monotonic' WHEN abs(drift) > 5 THEN 'transient_large'
+    WHEN abs(drift) > 0.5 AND known >= 10 AND small >= 7 THEN 'sustained_small' ELSE 'none' END AS drift_type FROM run
+)"""
+
+
+@query("drift", f"""WITH {SERIES}, {DRIFT} SELECT signal_id, scan_ord, round(drift, 9) AS drift, CAST(monotonic_samples AS INT) AS monotonic_samples, drift_type,
+  round(CASE WHEN drift_type = 'monotonic' THEN least(least(abs(drift) / 5e0, 1e0) * 1.5e0, 1e0) ELSE least(abs(drift) / 5e0, 1e0) END, 9) AS drift_severity FROM drifts""")
+def drift(spark, sf_dir):
+    return rounded(signals.drift(src.event_series(spark, sf_dir)), *KEYS, "drift", "monotonic_samples", "drift_type", "drift_severity")
+
+
+@query("drift_statistics", f"""WITH {SERIES}, d AS (SELECT *, coalesce(abs(value - lag(value) {W})), 0) AS d FROM series), s AS (
+  SELECT signal_id, scan_ord, avg(d) {W} ROWS 49 PRECEDING) AS m, max(d) {W} ROWS 49 PRECEDING) AS x, var_pop(d) {W} ROWS 49 PRECEDING) AS v FROM d)
+  SELECT signal_id, scan_ord, round(m, 9) AS drift_mean, round(x, 9) AS drift_max, round(1 / (1 + CASE WHEN m > 0 THEN sqrt(v) / m ELSE 0 END), 9) AS drift_stability FROM s""")
+def drift_statistics(spark, sf_dir):
+    return rounded(signals.drift_statistics(signals.drift(src.event_series(spark, sf_dir))), *KEYS, "drift_mean", "drift_max", "drift_stability")
+
+
+VARIANCE = f"""v AS (
+  SELECT *, avg(value) {W} ROWS 19 PRECEDING) AS mean, coalesce(var_samp(value) {W} ROWS 19 PRECEDING), 0) AS variance FROM series
+), variances AS (SELECT *, sqrt(variance) AS std_dev, CASE WHEN abs(mean) > 1e-9 THEN sqrt(variance) / abs(mean) ELSE sqrt(variance) END AS noise_level FROM v)"""
+
+
+@query("variance", f"WITH {SERIES}, {VARIANCE} SELECT signal_id, scan_ord, round(mean, 9) AS mean, round(variance, 9) AS variance, round(std_dev, 9) AS std_dev, round(noise_level, 9) AS noise_level FROM variances")
+def variance(spark, sf_dir):
+    return rounded(signals.variance(src.event_series(spark, sf_dir)), *KEYS, "mean", "variance", "std_dev", "noise_level")
+
+
+@query("welford", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W}), 9) AS running_mean, round(coalesce(var_samp(value) {W}), 0), 9) AS running_variance FROM series")
+def welford(spark, sf_dir):
+    return rounded(signals.welford(src.event_series(spark, sf_dir)), *KEYS, "running_mean", "running_variance")
+
+
+SPIKES = f"""b AS (
+  SELECT *, count(value) {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n, avg(value) {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m,
+    sqrt(coalesce(var_samp(value) {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0)) AS s FROM {{base}}
+), raw AS (SELECT *, coalesce(n >= 2 AND CASE WHEN s > 0 THEN abs(value - m) > 3 * s ELSE abs(value - m) > 0 END, false) AS is_spike FROM b
+), e AS (SELECT *, CASE WHEN is_spike AND NOT coalesce(lag(is_spike) {W}), false) THEN 1 ELSE 0 END AS edge FROM raw
+), spiked AS (SELECT *, sum(edge) {W}) AS spike_count, sum(edge) {W})::DOUBLE / row_number() {W}) AS spike_frequency FROM e)"""
+
+
+@query("spikes", f"""WITH {SERIES}, {SPIKES.format(base='series')} SELECT signal_id, scan_ord, is_spike, round(CASE WHEN n >= 2 THEN m + 3 * s END, 9) AS spike_limit,
+  round(CASE WHEN n >= 2 AND s > 0 THEN abs(value - m) / s ELSE 0 END, 9) AS deviation_sigma, CAST(spike_count AS BIGINT) AS spike_count, round(spike_frequency, 9) AS spike_frequency FROM spiked""")
+def spikes(spark, sf_dir):
+    return rounded(signals.spikes(src.event_series(spark, sf_dir)), *KEYS, "is_spike", "spike_limit", "deviation_sigma", "spike_count", "spike_frequency")
+
+
+# --- oscillation, stale, step, plausibility, innovation, missing -----------------------------------
+
+FULL = f"""full_windows AS (
+  SELECT signal_id, scan_ord, list(value) {W} ROWS 49 PRECEDING) AS x FROM series
+), x AS (SELECT signal_id, scan_ord, unnest(x) AS v, unnest(range(0, 50)) AS i FROM full_windows WHERE len(x) = 50)"""
+
+
+@query("oscillation", f"""WITH {SERIES}, {FULL}, st AS (SELECT signal_id, scan_ord, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY ALL),
+  z AS (SELECT signal_id, scan_ord, i, CASE WHEN sd > 0 THEN (v - m) / sd ELSE v - m END AS z FROM x JOIN st USING (signal_id, scan_ord)),
+  c AS (SELECT signal_id, scan_ord, f, sum(z * sin(2 * pi() * f * 0.1 * i)) / 50 AS s, sum(z * cos(2 * pi() * f * 0.1 * i)) / 50 AS c
+    FROM z, (VALUES (0.5e0), (1e0), (2e0)) fs(f) GROUP BY ALL),
+  g AS (SELECT signal_id, scan_ord, coalesce(sum(s * s + c * c) FILTER (sqrt(s * s + c * c) > 0.5), 0) AS e, max(sqrt(s * s + c * c)) AS m FROM c GROUP BY ALL)
+  SELECT s.signal_id, s.scan_ord, round(coalesce(e, 0), 9) AS oscillation_energy, round(m, 9) AS strongest FROM series s LEFT JOIN g USING (signal_id, scan_ord)""")
+def oscillation(spark, sf_dir):
+    df = signals.oscillation(src.event_series(spark, sf_dir), FREQUENCIES)
+    return rounded(df.withColumn("strongest", F.array_max("components")["magnitude"]), *KEYS, "oscillation_energy", "strongest")
+
+
+@query("spectrum", f"""WITH {SERIES}, {FULL}, h AS (SELECT signal_id, scan_ord, i, v * (0.5e0 - 0.5e0 * cos(2 * pi() * i / 49)) AS v FROM x),
+  b AS (SELECT signal_id, scan_ord, b, sqrt(sum(v * cos(2 * pi() * b * i / 50)) ** 2 + sum(v * sin(2 * pi() * b * i / 50)) ** 2) / 50 AS m FROM h, range(1, 26) r(b) GROUP BY ALL),
+  g AS (SELECT signal_id, scan_ord, max(m) AS m FROM b GROUP BY ALL)
+  SELECT s.signal_id, s.scan_ord, round(m, 6) AS peak_magnitude FROM series s LEFT JOIN g USING (signal_id, scan_ord)""")
+def spectrum(spark, sf_dir):
+    df = signals.spectrum(src.event_series(spark, sf_dir))
+    return df.select(*KEYS, F.round("peak_magnitude", 6).alias("peak_magnitude"))
+
+
+def flat_series(spark, sf_dir):
+    """The series with values in tens, which repeat."""
+    return src.event_series(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 50) * 50.0)
+
+
+@query("stale", f"""WITH {SERIES}, q AS (SELECT * REPLACE (floor(value / 50) * 50e0 AS value) FROM series),
+  a AS (SELECT *, CASE WHEN value = lag(value) {W}) THEN 0 ELSE 1 END AS br, coalesce(ts <= lag(ts) {W}), false) AS timestamp_stale FROM q),
+  i AS (SELECT *, sum(br) {W}) AS isl FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, isl ORDER BY scan_ord) >= 5 AS flatline FROM i),
+  z AS (SELECT *, CASE WHEN timestamp_stale THEN 'timestamp' WHEN flatline THEN 'flatline' END AS raw FROM r),
+  o AS (SELECT *, max(raw IS NOT NULL) {W} ROWS 2 PRECEDING) AS stale, last_value(raw IGNORE NULLS) {W}) AS reason FROM z)
+  SELECT signal_id, scan_ord, flatline, timestamp_stale, stale, CASE WHEN stale THEN reason END AS stale_reason FROM o""")
+def stale(spark, sf_dir):
+    return signals.stale(flat_series(spark, sf_dir)).select(*KEYS, "flatline", "timestamp_stale", "stale", "stale_reason")
+
+
+STEP = f"""WITH RECURSIVE {SERIES}, m AS (SELECT *, CASE WHEN count(value) {W} ROWS 9 PRECEDING) = 10 THEN avg(value) {W} ROWS 9 PRECEDING) END AS mean FROM series),
+fold AS (
+  SELECT signal_id, scan_ord, NULL::DOUBLE AS cand, NULL::DOUBLE AS snap, 0 AS confirm, 0 AS recover, false AS active FROM m WHERE scan_ord = 1
+  UNION ALL
+  SELECT signal_id, scan_ord, CASE WHEN act AND rec >= 5 THEN NULL ELSE c END, CASE WHEN act AND rec >= 5 THEN NULL ELSE sn END, CASE WHEN act AND rec >= 5 THEN 0 ELSE cf END,
+    CASE WHEN act AND rec >= 5 THEN 0 ELSE rec END, act AND rec < 5
+  FROM (
+    SELECT *, CASE WHEN was THEN true ELSE had AND cf >= 3 END AS act, CASE WHEN was THEN CASE WHEN mean IS NOT NULL AND abs(mean - c) <= 5 THEN r0 + 1 ELSE 0 END ELSE 0 END AS rec FROM (
+      SELECT s.signal_id, s.scan_ord, s.mean, f.active AS was, f.recover AS r0, f.cand IS NOT NULL AS had,
+        CASE WHEN f.active THEN f.cand WHEN f.cand IS NULL THEN CASE WHEN s.mean IS NOT NULL AND abs(s.value - s.mean) >= 5 THEN s.value END
+          WHEN abs(s.value - f.cand) <= 5 THEN f.cand END AS c,
+        CASE WHEN f.active THEN f.snap WHEN f.cand IS NULL THEN CASE WHEN s.mean IS NOT NULL AND abs(s.value - s.mean) >= 5 THEN s.mean END
+          WHEN abs(s.value - f.cand) <= 5 THEN f.snap END AS sn,
+        CASE WHEN f.active THEN f.confirm WHEN f.cand IS NULL THEN CASE WHEN s.mean IS NOT NULL AND abs(s.value - s.mean) >= 5 THEN 1 ELSE 0 END
+          WHEN abs(s.value - f.cand) <= 5 THEN f.confirm + 1 ELSE 0 END AS cf
+      FROM fold f JOIN m s ON s.signal_id = f.signal_id AND s.scan_ord = f.scan_ord + 1))
+) SELECT signal_id, scan_ord, active AS step_change, round(cand - snap, 9) AS step_offset FROM fold"""
+
+
+@query("step_change", STEP)
+def step_change(spark, sf_dir):
+    return rounded(signals.step_change(src.event_series(spark, sf_dir)), *KEYS, "step_change", "step_offset")
+
+
+@query("plausibility", f"""WITH {SERIES}, a AS (SELECT *, abs(value - lag(value) {W})) / CASE WHEN ts - lag(ts) {W}) > 0 THEN ts - lag(ts) {W}) ELSE 1 END AS rate FROM series),
+  b AS (SELECT *, value < 1 AS lo, value > 150 AS hi, coalesce(rate > 50, false) AS fast FROM a),
+  c AS (SELECT *, lo OR hi OR fast AS bad FROM b), d AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) {W}) AS i, sum(CASE WHEN bad THEN 1 ELSE 0 END) {W}) AS j FROM c),
+  e AS (SELECT *, CASE WHEN bad AND sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id, i ORDER BY scan_ord) >= 2 THEN true
+    WHEN NOT bad AND sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY signal_id, j ORDER BY scan_ord) >= 3 THEN false END AS s FROM d)
+  SELECT signal_id, scan_ord, concat_ws(',', CASE WHEN lo THEN 'below_min' END, CASE WHEN hi THEN 'above_max' END, CASE WHEN fast THEN 'rate_exceeded' END) AS plausibility_reasons,
+    round(rate, 9) AS plausibility_rate, coalesce(last_value(s IGNORE NULLS) {W}), false) AS plausibility_violation FROM e""")
+def plausibility(spark, sf_dir):
+    df = signals.plausibility(src.event_series(spark, sf_dir), LIMITED)
+    return rounded(df.withColumn("plausibility_reasons", F.array_join("plausibility_reasons", ",")), *KEYS, "plausibility_reasons", "plausibility_rate", "plausibility_violation")
+
+
+INNOVATION = f"""WITH RECURSIVE {SERIES}, q AS (SELECT signal_id, scan_ord, scan_ord * 0.1e0 AS t, CASE WHEN k <> 0 THEN value END AS y FROM series),
+fold AS (
+  SELECT signal_id, scan_ord, y AS p, 0e0 AS v, CASE WHEN y IS NULL THEN 0e0 ELSE 1e6 END AS a, 0e0 AS b, CASE WHEN y IS NULL THEN 0e0 ELSE 1e4 END AS d, 0e0 AS eta, t AS last,
+    CASE WHEN y IS NOT NULL THEN 0e0 END AS e, CASE WHEN y IS NULL THEN 1e0 ELSE 1e6 + 1 END AS s FROM q WHERE scan_ord = 1
+  UNION ALL
+  SELECT signal_id, scan_ord,
+    CASE WHEN p0 IS NULL THEN y WHEN y IS NULL THEN pp ELSE pp + pa / s1 * (y - pp) END,
+    CASE WHEN p0 IS NULL THEN 0e0 WHEN y IS NULL THEN v0 ELSE v0 + pb / s1 * (y - pp) END,
+    CASE WHEN p0 IS NULL THEN CASE WHEN y IS NULL THEN 0e0 ELSE 1e6 END WHEN y IS NULL THEN pa ELSE (1 - pa / s1) * pa END,
+    CASE WHEN p0 IS NULL THEN 0e0 WHEN y IS NULL THEN pb ELSE (1 - pa / s1) * pb END,
+    CASE WHEN p0 IS NULL THEN CASE WHEN y IS NULL THEN 0e0 ELSE 1e4 END WHEN y IS NULL THEN pd ELSE pd - pb / s1 * pb END,
+    CASE WHEN p0 IS NULL OR y IS NULL THEN CASE WHEN y IS NULL THEN eta0 ELSE 0.95e0 * eta0 END ELSE 0.95e0 * eta0 + 0.05e0 * (y - pp) * (y - pp) / s1 END,
+    last,
+    CASE WHEN y IS NULL THEN NULL WHEN p0 IS NULL THEN 0e0 ELSE y - pp END,
+    CASE WHEN p0 IS NULL THEN CASE WHEN y IS NULL THEN 1e0 ELSE 1e6 + 1 END ELSE s1 END
+  FROM (SELECT *, greatest(pa + 1, 1e-12) AS s1 FROM (
+    SELECT q.signal_id, q.scan_ord, q.y, f.p AS p0, f.v AS v0, f.eta AS eta0, greatest(f.last, q.t) AS last, f.p + f.v * dt AS pp,
+      f.a + dt * (2 * f.b + dt * f.d) + 0.01e0 * dt * dt * dt / 3 AS pa, f.b + dt * f.d + 0.01e0 * dt * dt / 2 AS pb, f.d + 0.01e0 * dt AS pd
+    FROM (SELECT f.*, greatest(0, q.t - f.last) AS dt FROM fold f JOIN q ON q.signal_id = f.signal_id AND q.scan_ord = f.scan_ord + 1) f
+    JOIN q ON q.signal_id = f.signal_id AND q.scan_ord = f.scan_ord + 1))
+) SELECT signal_id, scan_ord, round(e, 5) AS innovation_residual, round(s, 5) AS innovation_S, round(v, 5) AS innovation_v_hat, round(eta, 5) AS innovation_eta FROM fold"""
+
+
+@query("innovation", INNOVATION)
+def innovation(spark, sf_dir):
+    rows = signals.quality_mask(src.event_series(spark, sf_dir)).withColumn("ts", F.col("scan_ord") * 0.1)
+    df = signals.innovation(rows)
+    return df.select(*KEYS, *[F.round(f"innovation_{c}", 5).alias(f"innovation_{c}") for c in ("residual", "S", "v_hat", "eta")])
+
+
+@query("missing_ratio", f"""WITH {SERIES} SELECT signal_id, scan_ord, round(avg(CASE WHEN k = 0 THEN 1e0 ELSE 0 END) {W} ROWS 99 PRECEDING), 9) AS raw_missing_ratio,
+  round(avg(CASE WHEN k = 0 THEN 1e0 WHEN k = 1 THEN 0.5e0 ELSE 0 END) {W} ROWS 99 PRECEDING), 9) AS missing_ratio FROM series""")
+def missing_ratio(spark, sf_dir):
+    return rounded(signals.missing(signals.quality_mask(src.event_series(spark, sf_dir))), *KEYS, "raw_missing_ratio", "missing_ratio")
+
+
+# --- quality index ---------------------------------------------------------------------------------
+
+INDEX = f"""{SERIES}, {DRIFT}, vv AS (SELECT *, avg(value) {W} ROWS 19 PRECEDING) AS mean, coalesce(var_samp(value) {W} ROWS 19 PRECEDING), 0) AS variance FROM drifts
+), noise AS (SELECT *, CASE WHEN abs(mean) > 1e-9 THEN sqrt(variance) / abs(mean) ELSE sqrt(variance) END AS noise_level FROM vv), {SPIKES.format(base='noise')},
+scored AS (SELECT *, 100 * exp(-noise_level / 0.1e0) AS score_noise, 100 * exp(-abs(drift) / 1e0) AS score_drift, 100 * (1 - least(spike_frequency / 0.05e0, 1e0)) AS score_spikes FROM spiked
+), idx AS (SELECT *, greatest(least(0.25e0 * score_noise + 0.25e0 * score_drift + 0.2e0 * score_spikes + 15e0 + 15e0, 100e0), 0e0) AS sqi FROM scored
+), quality AS (SELECT *, CASE WHEN sqi >= 90 THEN 'excellent' WHEN sqi >= 75 THEN 'good' WHEN sqi >= 50 THEN 'fair' WHEN sqi >= 25 THEN 'poor' ELSE 'critical' END AS quality_class,
+  CASE WHEN scan_ord >= 10 THEN avg(sqi) {W} ROWS 4 PRECEDING) - avg(sqi) {W} ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END AS lift FROM idx)"""
+
+
+def index_rows(spark, sf_dir):
+    return signals.process(src.event_series(spark, sf_dir).drop("quality"))
+
+
+@query("signal_quality", f"""WITH {INDEX} SELECT signal_id, scan_ord, round(score_noise, 9) AS score_noise, round(score_drift, 9) AS score_drift, round(score_spikes, 9) AS score_spikes,
+  round(sqi, 9) AS sqi, quality_class, CASE WHEN lift > 5 THEN 'improving' WHEN lift < -5 THEN 'degrading' ELSE 'stable' END AS sqi_trend,
+  CASE WHEN sqi <= 25 THEN 'critical' WHEN sqi <= 50 THEN 'warning' ELSE 'none' END AS alert_level, abs(drift) >= 5 AS drift_alert, spike_frequency >= 0.1 AS spike_alert FROM quality""")
+def signal_quality(spark, sf_dir):
+    return rounded(index_rows(spark, sf_dir), *KEYS, "score_noise", "score_drift", "score_spikes", "sqi", "quality_class", "sqi_trend", "alert_level", "drift_alert", "spike_alert")
+
+
+@query("signal_quality_latest", f"WITH {INDEX} SELECT signal_id, max(scan_ord) AS scan_ord, round(max_by(sqi, scan_ord), 9) AS sqi, max_by(quality_class, scan_ord) AS quality_class FROM quality GROUP BY signal_id")
+def signal_quality_latest(spark, sf_dir):
+    df = index_rows(spark, sf_dir)
+    return df.groupBy("signal_id").agg(F.max("scan_ord").alias("scan_ord"), F.round(F.max_by("sqi", "scan_ord"), 9).alias("sqi"), F.max_by("quality_class", "scan_ord").alias("quality_class"))
+
+
+@query("index_statistics", f"""WITH {INDEX}, b AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY scan_ord DESC) AS back FROM quality)
+  SELECT signal_id, round(avg(sqi), 9) AS mean_sqi, round(min(sqi), 9) AS min_sqi, round(max(sqi), 9) AS max_sqi, round(max_by(sqi, scan_ord), 9) AS current_sqi FROM b WHERE back <= 100 GROUP BY signal_id""")
+def index_statistics(spark, sf_dir):
+    return rounded(signals.index_statistics(index_rows(spark, sf_dir)), "signal_id", "mean_sqi", "min_sqi", "max_sqi", "current_sqi")
+
+
+@query("quality_changes", f"""WITH {INDEX}, p AS (SELECT *, lag(quality_class) {W}) AS previous_class FROM quality)
+  SELECT signal_id, scan_ord, previous_class, quality_class FROM p WHERE previous_class <> quality_class""")
+def quality_changes(spark, sf_dir):
+    return signals.quality_changes(index_rows(spark, sf_dir)).select(*KEYS, "previous_class", "quality_class")
+
+
+@query("dominant_cause", f"""WITH {INDEX} SELECT signal_id, scan_ord, CASE WHEN score_noise <= least(score_drift, score_spikes, 100) THEN 'noise' WHEN score_drift <= least(score_spikes, 100) THEN 'drift' ELSE 'spikes' END AS dominant_cause FROM quality""")
+def dominant_cause(spark, sf_dir):
+    return index_rows(spark, sf_dir).select(*KEYS, signals.dominant_cause().alias("dominant_cause"))
+
+
+# --- incidents -------------------------------------------------------------------------------------
+
+FAST = incidents.IncidentPolicy(start_persistence=2, end_persistence=3)
+
+
+def grid_status(spark, sf_dir) -> DataFrame:
+    """Status of the grid's cells: present ones with their index, absent ones by missing ratio."""
+    grid = src.event_grid(spark, sf_dir).withColumn("penalty", F.when(F.col("value").isNull(), 1.0).otherwise(0.0))
+    full = signals.missing(grid, SignalConfig(missing_window=20))
+    there = full.where("value is not null")
+    scored = signals.quality_index(signals.spikes(signals.variance(signals.drift(there))))
+    wanted = [*KEYS, "sqi", *[f"score_{c}" for c in signals.COMPONENTS]]
+    return incidents.status(full.join(scored.select(*wanted), list(KEYS), "left"), FAST)
+
+
+STATUS = f"""{GRID}, full_grid AS (SELECT *, avg(CASE WHEN value IS NULL THEN 1e0 ELSE 0 END) {W} ROWS 19 PRECEDING) AS missing_ratio FROM grid
+), there AS (SELECT *, coalesce(value - lag(value) {W}), 0) AS drift, avg(value) {W} ROWS 19 PRECEDING) AS mean, coalesce(var_samp(value) {W} ROWS 19 PRECEDING), 0) AS variance
+  FROM full_grid WHERE value IS NOT NULL
+), noise AS (SELECT *, CASE WHEN abs(mean) > 1e-9 THEN sqrt(variance) / abs(mean) ELSE sqrt(variance) END AS noise_level FROM there), {SPIKES.format(base='noise')},
+scored AS (SELECT *, 100 * exp(-noise_level / 0.1e0) AS a, 100 * exp(-abs(drift) / 1e0) AS b, 100 * (1 - least(spike_frequency / 0.05e0, 1e0)) AS c, 100 * (1 - missing_ratio) AS d FROM spiked
+), idx AS (SELECT signal_id, scan_ord, a, b, c, d, greatest(least(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 15e0 + 0.15e0 * d, 100e0), 0e0) AS sqi FROM scored
+), joined AS (SELECT f.signal_id, f.scan_ord, f.missing_ratio, 100 * (1 - f.missing_ratio) AS lack, i.sqi, a, b, c, d FROM full_grid f LEFT JOIN idx i USING (signal_id, scan_ord)
+), status AS (SELECT signal_id, scan_ord,
+  CASE WHEN sqi IS NULL THEN lack <= 70 ELSE sqi <= 50 OR lack <= 70 END AS degraded, CASE WHEN sqi IS NULL THEN lack >= 70 ELSE sqi >= 60 END AS recovered,
+  CASE WHEN sqi IS NULL THEN CASE WHEN lack <= 70 THEN 'missing' ELSE 'unknown' END
+    WHEN least(a, b, c, d) > 70 THEN 'unknown' WHEN d <= least(a, b, c) THEN 'missing' WHEN b <= least(a, c) THEN 'drift' WHEN c <= a THEN 'spikes' ELSE 'noise' END AS cause,
+  CASE WHEN sqi <= 25 THEN 'critical' ELSE 'warning' END AS severity, coalesce(sqi, lack) AS status_sqi FROM joined)"""
+
+
+@query("incident_status", f"WITH {STATUS} SELECT signal_id, scan_ord, degraded, recovered, cause, severity, round(status_sqi, 9) AS status_sqi FROM status")
+def incident_status(spark, sf_dir):
+    return rounded(grid_status(spark, sf_dir), *KEYS, "degraded", "recovered", "cause", "severity", "status_sqi")
+
+
+LIFE = """{name}_l AS (SELECT *, sum(CASE WHEN degraded THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN {well} THEN 0 ELSE 1 END) OVER w AS j,
+    last_value(CASE WHEN degraded THEN seen END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY scan_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    lag(scan_ord, {start} - 1) OVER w AS back FROM {base} WINDOW w AS (PARTITION BY {key} ORDER BY scan_ord)
+), {name}_s AS (SELECT *, CASE WHEN degraded AND sum(CASE WHEN degraded THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, i ORDER BY scan_ord) >= {start} THEN true
+    WHEN {well} AND sum(CASE WHEN {well} THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, j ORDER BY scan_ord) >= {end} THEN false END AS sw FROM {name}_l
+), {name}_a AS (SELECT *, coalesce(last_value(sw IGNORE NULLS) OVER w, false) AS active FROM {name}_s WINDOW w AS (PARTITION BY {key} ORDER BY scan_ord)
+), {name}_w AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY {key} ORDER BY scan_ord), false) AS was FROM {name}_a
+), {name} AS (SELECT *, CASE WHEN active AND NOT was THEN 'started' WHEN was AND NOT active THEN 'resolved' WHEN active AND degraded AND before IS DISTINCT FROM seen THEN 'updated' END AS event,
+    CASE WHEN active OR was THEN last_value(CASE WHEN active AND NOT was THEN back END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY scan_ord) END AS start_scan_index FROM {name}_w)"""
+INCIDENTS = f"""{STATUS}, seen AS (SELECT *, cause || '/' || severity AS seen FROM status), {LIFE.format(name='lives', base='seen', key='signal_id', well='(NOT degraded AND recovered)', start=2, end=3)}"""
+
+
+def grid_incidents(spark, sf_dir) -> DataFrame:
+    return incidents.signal_incidents(grid_status(spark, sf_dir), FAST)
+
+
+@query("signal_incidents", f"""WITH {INCIDENTS} SELECT signal_id, scan_ord, event, cause, severity, start_scan_index, 'run:' || signal_id || ':' || start_scan_index AS incident_id,
+  round(status_sqi, 9) AS status_sqi FROM lives WHERE event IS NOT NULL""")
+def signal_incidents(spark, sf_dir):
+    return rounded(grid_incidents(spark, sf_dir).where("event is not null"), *KEYS, "event", "cause", "severity", "start_scan_index", "incident_id", "status_sqi")
+
+
+@query("incident_counts", f"WITH {INCIDENTS} SELECT event, cause, count(*) AS n FROM lives WHERE event IS NOT NULL GROUP BY ALL")
+def incident_counts(spark, sf_dir):
+    return grid_incidents(spark, sf_dir).where("event is not null").groupBy("event", "cause").agg(F.count("*").alias("n"))
+
+
+GROUPED = incidents.GroupPolicy(depth=1)
+GROUPS = f"""{INCIDENTS}, members AS (SELECT split_part(signal_id, '_', 1) AS group_id, scan_ord, count(*) AS members, count(*) FILTER (degraded) AS degraded_members,
+  coalesce(string_agg(CASE WHEN degraded THEN signal_id END, ',' ORDER BY signal_id), '') AS degraded_signals, count(*) FILTER (degraded AND cause = 'missing') AS gone FROM status GROUP BY ALL
+), gstatus AS (SELECT *, degraded_members::DOUBLE / members AS fraction, degraded_members >= 2 AND degraded_members::DOUBLE / members >= 0.5 AS degraded,
+  CASE WHEN gone > degraded_members - gone THEN 'comms' WHEN degraded_members - gone > gone THEN 'data_quality' ELSE 'mixed' END AS cause,
+  CASE WHEN degraded_members::DOUBLE / members >= 0.8 THEN 'critical' ELSE 'warning' END AS severity FROM members
+), gseen AS (SELECT *, cause || '/' || severity || '/' || degraded_signals AS seen FROM gstatus), {LIFE.format(name='glives', base='gseen', key='group_id', well='(NOT degraded)', start=2, end=2)}"""
+
+
+def grid_groups(spark, sf_dir) -> DataFrame:
+    rows = grid_status(spark, sf_dir).withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
+    return incidents.group_incidents(incidents.group_status(rows, GROUPED), GROUPED)
+
+
+@query("group_incidents", f"""WITH {GROUPS} SELECT group_id, scan_ord, event, cause, severity, members, degraded_members, degraded_signals, round(fraction, 9) AS fraction, start_scan_index
+  FROM glives WHERE event IS NOT NULL""")
+def group_incidents(spark, sf_dir):
+    return rounded(grid_groups(spark, sf_dir).where("event is not null"), "group_id", "scan_ord", "event", "cause", "severity", "members", "degraded_members", "degraded_signals", "fraction", "start_scan_index")
+
+
+SUPPRESSED = f"""{GROUPS}, ends AS (SELECT group_id, scan_ord, active AND cause = 'comms' AS hot, min(CASE WHEN event = 'resolved' THEN scan_ord END)
+    OVER (PARTITION BY group_id ORDER BY scan_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reemit FROM glives
+), filtered AS (SELECT l.signal_id, l.scan_ord, l.event, coalesce(e.hot, false) AND l.event IN ('started', 'updated') AS suppressed, e.reemit
+  FROM (SELECT *, split_part(signal_id, '_', 1) AS group_id FROM lives WHERE event IS NOT NULL) l LEFT JOIN ends e USING (group_id, scan_ord))"""
+
+
+def grid_suppressed(spark, sf_dir) -> DataFrame:
+    events = grid_incidents(spark, sf_dir).where("event is not null").withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
+    return incidents.suppress(events.select(*KEYS, "group_id", "event"), grid_groups(spark, sf_dir))
+
+
+@query("event_suppression", f"WITH {SUPPRESSED} SELECT signal_id, scan_ord, event, suppressed, CASE WHEN suppressed THEN reemit END AS reemit_scan FROM filtered")
+def event_suppression(spark, sf_dir):
+    return grid_suppressed(spark, sf_dir).select(*KEYS, "event", "suppressed", "reemit_scan")
+
+
+@query("suppression_counts", f"""WITH {SUPPRESSED} SELECT scan_ord, count(*) AS total_events, count(*) FILTER (suppressed) AS suppressed_events,
+  count(*) FILTER (suppressed AND event = 'started') AS suppressed_started, count(*) FILTER (suppressed AND event = 'updated') AS suppressed_updated,
+  count(*) FILTER (NOT suppressed) AS passed_events FROM filtered GROUP BY scan_ord""")
+def suppression_counts(spark, sf_dir):
+    return incidents.suppression_counts(grid_suppressed(spark, sf_dir))
+
+
+@query("impact_report", f"""WITH {INCIDENTS}, e AS (SELECT signal_id, start_scan_index, max(CASE WHEN event = 'started' THEN start_scan_index END) AS s, max(CASE WHEN event = 'resolved' THEN scan_ord END) AS e
+  FROM lives WHERE event IN ('started', 'resolved') GROUP BY ALL)
+  SELECT signal_id, count(s) AS started, count(e) AS resolved, round(avg(e - s), 9) AS mean_scans, quantile_disc(e - s, 0.5) AS p50_scans, quantile_disc(e - s, 0.95) AS p95_scans FROM e GROUP BY signal_id""")
+def impact_report(spark, sf_dir):
+    df = incidents.impact(grid_incidents(spark, sf_dir))
+    return rounded(df.withColumns({c: F.col(c).cast("long") for c in ("p50_scans", "p95_scans")}), "signal_id", "started", "resolved", "mean_scans", "p50_scans", "p95_scans")
+
+
+# --- comms and topology ----------------------------------------------------------------------------
+
+METRICS = """metrics AS (
+  SELECT year(l_shipdate) * 12 + month(l_shipdate) AS scan_index, CAST(l_suppkey AS VARCHAR) AS rtu_id, CAST(s_nationkey AS VARCHAR) AS poll_group_id, CAST(n_regionkey AS VARCHAR) AS comms_domain_id,
+    CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS timeout_count, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS retry_count, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS crc_error_count,
+    CAST(l_discount * 10000 AS DOUBLE) AS poll_jitter_ms, 1000e0 AS poll_cycle_ms, CAST(floor(l_quantity) AS BIGINT) AS bytes_tx, CAST(floor(l_extendedprice / 100) AS BIGINT) AS bytes_rx
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+)"""
+ROLLUP = f"""{METRICS}, rollups AS (SELECT scan_index, t AS node_type, CASE t WHEN 'RTU' THEN rtu_id WHEN 'POLL_GROUP' THEN poll_group_id ELSE comms_domain_id END AS node_id, count(*) AS sample_count,
+  sum(timeout_count)::DOUBLE / count(*) AS timeout_rate, sum(retry_count)::DOUBLE / count(*) AS retry_rate, sum(crc_error_count)::DOUBLE / count(*) AS crc_error_rate,
+  avg(poll_cycle_ms) AS avg_poll_cycle_ms, avg(poll_jitter_ms) AS avg_poll_jitter_ms, sum(bytes_tx)::BIGINT AS bytes_tx, sum(bytes_rx)::BIGINT AS bytes_rx
+  FROM metrics, (VALUES ('RTU'), ('POLL_GROUP'), ('COMMS_DOMAIN')) ts(t) GROUP BY ALL)"""
+
+
+def comms_rows(spark, sf_dir) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    # nations are a fixed set; suppliers are joined by whatever strategy their size asks for
+    nations = F.broadcast(read("nation").select("n_nationkey", "n_regionkey"))
+    places = read("supplier").select("s_suppkey", "s_nationkey").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = read("lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    flag = lambda p: p.cast("int")
+    return rows.select(
+        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("scan_index"),
+        F.col("l_suppkey").cast("string").alias("rtu_id"),
+        F.col("s_nationkey").cast("string").alias("poll_group_id"),
+        F.col("n_regionkey").cast("string").alias("comms_domain_id"),
+        flag(F.col("l_returnflag") == "R").alias("timeout_count"),
+        flag(F.col("l_linestatus") == "F").alias("retry_count"),
+        flag(F.col("l_linenumber") == 7).alias("crc_error_count"),
+        (F.col("l_discount") * 10000).cast("double").alias("poll_jitter_ms"),
+        F.lit(1000.0).alias("poll_cycle_ms"),
+        F.floor("l_quantity").cast("long").alias("bytes_tx"),
+        F.floor(F.col("l_extendedprice") / 100).cast("long").alias("bytes_rx"),
+    )
+
+
+NODE = ("scan_index", "node_type", "node_id")
+
+
+@query("comms_rollup", f"""WITH {ROLLUP} SELECT scan_index, node_type, node_id, sample_count, round(timeout_rate, 9) AS timeout_rate, round(retry_rate, 9) AS retry_rate,
+  round(crc_error_rate, 9) AS crc_error_rate, round(avg_poll_jitter_ms, 6) AS avg_poll_jitter_ms, bytes_tx, bytes_rx FROM rollups""")
+def comms_rollup(spark, sf_dir):
+    df = comms.rollup(comms_rows(spark, sf_dir)).withColumn("avg_poll_jitter_ms", F.round("avg_poll_jitter_ms", 6))
+    return rounded(df, *NODE, "sample_count", "timeout_rate", "retry_rate", "crc_error_rate", "avg_poll_jitter_ms", "bytes_tx", "bytes_rx")
+
+
+HEALTH = f"""{ROLLUP}, health AS (SELECT *, CASE WHEN timeout_rate >= 0.1 OR retry_rate >= 0.2 OR crc_error_rate >= 0.01 OR round(avg_poll_jitter_ms, 6) >= 750 THEN 'CRITICAL'
+  WHEN timeout_rate >= 0.02 OR retry_rate >= 0.05 OR crc_error_rate >= 0.001 OR round(avg_poll_jitter_ms, 6) >= 250 THEN 'DEGRADED' ELSE 'OK' END AS comms_class,
+  concat_ws(',', CASE WHEN timeout_rate >= 0.02 THEN 'timeout_rate' END, CASE WHEN retry_rate >= 0.05 THEN 'retry_rate' END, CASE WHEN crc_error_rate >= 0.001 THEN 'crc_error_rate' END,
+    CASE WHEN round(avg_poll_jitter_ms, 6) >= 250 THEN 'avg_poll_jitter_ms' END) AS reasons FROM rollups)"""
+
+
+def healths(spark, sf_dir) -> DataFrame:
+    return comms.health(comms.rollup(comms_rows(spark, sf_dir)).withColumn("avg_poll_jitter_ms", F.round("avg_poll_jitter_ms", 6)))
+
+
+@query("comms_health", f"WITH {HEALTH} SELECT scan_index, node_type, node_id, comms_class, reasons FROM health")
+def comms_health(spark, sf_dir):
+    return healths(spark, sf_dir).select(*NODE, "comms_class", "reasons")
+
+
+@query("comms_worst", f"""WITH {HEALTH} SELECT scan_index, node_type, node_id, comms_class, row_number() OVER (PARTITION BY scan_index, comms_class ORDER BY timeout_rate DESC, node_type, node_id)::INT AS place
+  FROM health WHERE comms_class <> 'OK' QUALIFY place <= 10""")
+def comms_worst(spark, sf_dir):
+    return comms.worst_nodes(healths(spark, sf_dir)).select(*NODE, "comms_class", "place")
+
+
+@query("comms_budget", f"""WITH {ROLLUP}, b AS (SELECT *, (bytes_tx + bytes_rx) * 8 / (avg_poll_cycle_ms / 1000) AS observed_bps FROM rollups)
+  SELECT scan_index, node_type, node_id, round(observed_bps, 6) AS observed_bps, round(observed_bps / 9600e0, 9) AS utilization,
+  CASE WHEN observed_bps / 9600e0 >= 0.9 THEN 'CRITICAL' WHEN observed_bps / 9600e0 >= 0.7 THEN 'DEGRADED' ELSE 'OK' END AS budget_level FROM b""")
+def comms_budget(spark, sf_dir):
+    df = comms.budget(comms.rollup(comms_rows(spark, sf_dir))).withColumn("observed_bps", F.round("observed_bps", 6))
+    return rounded(df, *NODE, "observed_bps", "utilization", "budget_level")
+
+
+POLLS = "polls AS (SELECT user_id AS rtu_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, k > 1 AS poll_success, value * 5 AS rtt_ms, value AS jitter_ms, k AS dropout_streak FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events))"
+
+
+def poll_rows(spark, sf_dir) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("int") % 10
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events.select(F.col("user_id").alias("rtu_id"), F.row_number().over(order).cast("long").alias("n"), (k > 1).alias("poll_success"), (F.col("value") * 5).alias("rtt_ms"), F.col("value").alias("jitter_ms"), k.alias("dropout_streak"))
+
+
+@query("poll_statistics", f"""WITH {POLLS} SELECT rtu_id, n, (NOT poll_success OR rtt_ms >= 500 OR jitter_ms >= 200 OR dropout_streak >= 3) AS degraded, count(*) OVER w AS total_polls,
+  CAST(count(*) FILTER (NOT poll_success) OVER w AS BIGINT) AS failed_polls, round(avg(rtt_ms) OVER w, 6) AS avg_rtt_ms, CAST(max(dropout_streak) OVER w AS INT) AS max_dropout_streak
+  FROM polls WINDOW w AS (PARTITION BY rtu_id ORDER BY n)""")
+def poll_statistics(spark, sf_dir):
+    df = comms.poll_statistics(comms.poll_health(poll_rows(spark, sf_dir)), "rtu_id", "n")
+    return df.select("rtu_id", "n", "degraded", "total_polls", "failed_polls", F.round("avg_rtt_ms", 6).alias("avg_rtt_ms"), "max_dropout_streak")
+
+
+PLACES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'comms_domain' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'poll_group' FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'rtu' FROM supplier UNION ALL SELECT DISTINCT 'x' || l_suppkey || '_' || (l_partkey % 4), 'signal' FROM lineitem
+), edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+  UNION ALL SELECT DISTINCT 's' || l_suppkey, 'x' || l_suppkey || '_' || (l_partkey % 4) FROM lineitem
+), closed AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM edges UNION ALL SELECT c.ancestor, e.child, distance + 1 FROM closed c JOIN edges e ON c.descendant = e.parent)"""
+
+
+def places(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    sig = F.concat(F.lit("x"), F.col("l_suppkey").cast("string"), F.lit("_"), (F.col("l_partkey") % 4).cast("string"))
+    lines = read("lineitem").select("l_suppkey", sig.alias("signal")).distinct()
+    kinds = [("region", name("r", "r_regionkey"), "comms_domain"), ("nation", name("n", "n_nationkey"), "poll_group"), ("supplier", name("s", "s_suppkey"), "rtu")]
+    nodes = lines.select(F.col("signal").alias("id"), F.lit("signal").alias("type"))
+    for t, c, kind in kinds:
+        nodes = nodes.unionByName(read(t).select(c.alias("id"), F.lit(kind).alias("type")))
+    edges = lines.select(name("s", "l_suppkey").alias("parent"), F.col("signal").alias("child"))
+    edges = edges.unionByName(read("nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")))
+    return nodes, edges.unionByName(read("supplier").select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("child")))
+
+
+@query("topology_closure", f"WITH RECURSIVE {PLACES} SELECT ancestor, descendant, distance FROM closed")
+def topology_closure(spark, sf_dir):
+    return topology.closure(places(spark, sf_dir)[1])
+
+
+@query("topology_counts", f"""WITH RECURSIVE {PLACES} SELECT n.id, n.type, count(d.id) AS descendants FROM nodes n LEFT JOIN closed c ON c.ancestor = n.id LEFT JOIN nodes d ON d.id = c.descendant AND d.type = 'signal' GROUP BY ALL""")
+def topology_counts(spark, sf_dir):
+    return topology.descendant_counts(*places(spark, sf_dir))
+
+
+@query("topology_siblings", f"""WITH {PLACES.split('), closed')[0]}), p AS (SELECT id, type, coalesce(parent, '#' || type) AS under FROM nodes LEFT JOIN edges ON child = id)
+  SELECT a.id, b.id AS sibling FROM p a JOIN p b ON a.under = b.under AND a.id <> b.id""")
+def topology_siblings(spark, sf_dir):
+    return topology.siblings(*places(spark, sf_dir))
+
+
+@query("topology_parents", f"""WITH {PLACES.split('), closed')[0]}) SELECT s.child AS signal_id, s.parent AS rtu_id, g.parent AS poll_group_id, d.parent AS comms_domain_id
+  FROM edges s JOIN edges g ON g.child = s.parent JOIN edges d ON d.child = g.parent WHERE s.child LIKE 'x%'""")
+def topology_parents(spark, sf_dir):
+    return topology.typed_parents(*places(spark, sf_dir)).select("signal_id", "rtu_id", "poll_group_id", "comms_domain_id")
+
+
+@query("topology_ends", f"""WITH {PLACES.split('), closed')[0]}) SELECT id, type, NOT EXISTS (FROM edges WHERE child = id) AS is_root FROM nodes
+  WHERE NOT EXISTS (FROM edges WHERE child = id) OR NOT EXISTS (FROM edges WHERE parent = id)""")
+def topology_ends(spark, sf_dir):
+    nodes, edges = places(spark, sf_dir)
+    top, bottom = topology.roots(nodes, edges), topology.leaves(nodes, edges)
+    return top.withColumn("is_root", F.lit(True)).unionByName(bottom.join(top.select("id"), "id", "left_anti").withColumn("is_root", F.lit(False)))
+
+
+# --- sources, evaluation ---------------------------------------------------------------------------
+
+
+@query("densify", f"WITH {GRID} SELECT signal_id, scan_ord, round(value, 9) AS value FROM grid")
+def densify(spark, sf_dir):
+    return rounded(src.event_grid(spark, sf_dir), *KEYS, "value")
+
+
+@query("registry", f"WITH {GRID} SELECT signal_id, first_scan, row_number() OVER (ORDER BY first_scan, signal_id)::INT AS registration FROM firsts")
+def registry(spark, sf_dir):
+    return src.registry(src.event_grid(spark, sf_dir))
+
+
+@query("scan_interval", "WITH t AS (SELECT DISTINCT epoch_us(ts) / 1e6 AS t FROM events), d AS (SELECT t - lag(t) OVER (ORDER BY t) AS d FROM t) SELECT round(coalesce(median(d), 0.1e0), 6) AS scan_interval FROM d WHERE d > 0")
+def scan_interval(spark, sf_dir):
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select(src.seconds("ts").alias("timestamp"))
+    return src.scan_interval(times, 0.1).select(F.round("scan_interval", 6).alias("scan_interval"))
+
+
+@query("point_quality", f"WITH {SERIES} SELECT signal_id, scan_ord, CASE WHEN k > 1 THEN value END AS value FROM series")
+def point_quality(spark, sf_dir):
+    return src.points(src.event_series(spark, sf_dir)).select(*KEYS, "value")
+
+
+@query("latest_values", f"WITH {SERIES} SELECT signal_id, max_by(value, scan_ord) AS value, count(*) AS n FROM series GROUP BY signal_id")
+def latest_values(spark, sf_dir):
+    return src.event_series(spark, sf_dir).groupBy("signal_id").agg(F.max_by("value", "scan_ord").alias("value"), F.count("*").alias("n"))
+
+
+@query("sweep_grid", "SELECT a AS start_sqi, b AS end_sqi, c AS persistence FROM (VALUES (40e0), (50e0)) x(a), (VALUES (60e0), (70e0)) y(b), (VALUES (1), (3), (5)) z(c)")
+def sweep_grid(spark, sf_dir):
+    return evaluation.grid(spark, {"start_sqi": [40.0, 50.0], "end_sqi": [60.0, 70.0], "persistence": [1, 3, 5]})
+
+
+def intervals(rows: DataFrame, hit) -> DataFrame:
+    """Runs of rows where ``hit`` holds, as (signal_id, start, end)."""
+    w = by_signal()
+    marked = rows.withColumn("_hit", hit).withColumn("_i", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(w))
+    return marked.where("_hit").groupBy("signal_id", "_i").agg(F.min("scan_ord").alias("start"), F.max("scan_ord").alias("end")).drop("_i")
+
+
+LABELLED = f"""{SERIES}, li AS (SELECT *, sum(CASE WHEN value > 100 THEN 0 ELSE 1 END) {W}) AS i FROM series), pi AS (SELECT *, sum(CASE WHEN value > 120 THEN 0 ELSE 1 END) {W}) AS i FROM series
+), labelled AS (SELECT signal_id, min(scan_ord) AS s, max(scan_ord) AS e FROM li WHERE value > 100 GROUP BY signal_id, i), predicted AS (SELECT signal_id, min(scan_ord) AS s, max(scan_ord) AS e FROM pi WHERE value > 120 GROUP BY signal_id, i)"""
+
+
+def matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = src.event_series(spark, sf_dir)
+    labels = intervals(rows, F.col("value") > 100)
+    return evaluation.match(intervals(rows, F.col("value") > 120), labels), labels
+
+
+@query("label_match", f"""WITH {LABELLED}, pairs AS (SELECT p.signal_id, p.s AS pred_start, p.e AS pred_end, l.s AS label_start, l.e AS label_end FROM predicted p JOIN labelled l ON l.signal_id = p.signal_id AND p.s <= l.e AND p.e >= l.s),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY signal_id, label_start ORDER BY pred_start) AS k FROM pairs)
+  SELECT p.signal_id, p.s AS pred_start, p.e AS pred_end, f.label_start, f.label_end FROM predicted p LEFT JOIN firsts f ON f.signal_id = p.signal_id AND f.pred_start = p.s AND f.k = 1""")
+def label_match(spark, sf_dir):
+    return matched(spark, sf_dir)[0]
+
+
+@query("evaluation_metrics", f"""WITH {LABELLED}, hits AS (SELECT l.signal_id, l.s, min(p.s) AS ps FROM labelled l JOIN predicted p ON l.signal_id = p.signal_id AND p.s <= l.e AND p.e >= l.s GROUP BY ALL),
+  n AS (SELECT (SELECT count(*) FROM predicted) AS predicted, (SELECT count(*) FROM hits) AS matched, (SELECT count(*) FROM labelled) AS labels, (SELECT avg(greatest(ps - s, 0)) FROM hits) AS m)
+  SELECT predicted, matched, labels, round(matched::DOUBLE / predicted, 9) AS precision, round(matched::DOUBLE / labels, 9) AS recall, round(coalesce(m, 0), 9) AS mttd_scans,
+  round(2 * (matched::DOUBLE / predicted) * (matched::DOUBLE / labels) / (matched::DOUBLE / predicted + matched::DOUBLE / labels), 9) AS f1 FROM n""")
+def evaluation_metrics(spark, sf_dir):
+    return rounded(evaluation.metrics(*matched(spark, sf_dir)), "predicted", "matched", "labels", "precision", "recall", "mttd_scans", "f1")
+
+
+# --- root causes -----------------------------------------------------------------------------------
+
+
+def rca_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations over the grid's incidents and a topology of its signals (two groups of types, then types, then classes)."""
+    rows = grid_incidents(spark, sf_dir)
+    obs = rows.select(*KEYS, F.lit("GOOD").alias("quality_class"), "missing_ratio", F.when(F.col("active"), F.col("cause")).alias("event_cause"), F.lit(None).cast("string").alias("low_cause"))
+    names = rows.select("signal_id").distinct()
+    kind = F.substring_index("signal_id", "_", 1)
+    up = names.select("signal_id", F.concat(F.lit("rtu_"), kind).alias("r"), F.concat(F.lit("pg_"), F.substring(kind, 1, 1)).alias("g"))
+    nodes = up.select(F.col("signal_id").alias("id"), F.lit("signal").alias("type")).unionByName(up.select(F.col("r").alias("id"), F.lit("rtu").alias("type")).distinct())
+    nodes = nodes.unionByName(up.select(F.col("g").alias("id"), F.lit("poll_group").alias("type")).distinct()).unionByName(spark.range(1).select(F.lit("cd").alias("id"), F.lit("comms_domain").alias("type")))
+    edges = up.select(F.col("r").alias("parent"), F.col("signal_id").alias("child")).unionByName(up.select(F.col("g").alias("parent"), F.col("r").alias("child")).distinct())
+    return rca.observations(obs), nodes, edges.unionByName(up.select(F.lit("cd").alias("parent"), F.col("g").alias("child")).distinct())
+
+
+def ranked(spark, sf_dir) -> DataFrame:
+    return rca.confidences(rca.candidates(rca.evidence(*rca_inputs(spark, sf_dir))))
+
+
+@query("root_causes")
+def root_causes(spark, sf_dir):
+    return rounded(ranked(spark, sf_dir), "scan_ord", "node_id", "type", "total", "affected", "fraction", "concentration", "coherence", "signature", "score", "rank", "action", "confidence", "confidence_label")
+
+
+@query("root_cause_report")
+def root_cause_report(spark, sf_dir):
+    return rounded(rca.report(rca_inputs(spark, sf_dir)[0], ranked(spark, sf_dir)), "scan_ord", "observed", "affected_signals", "overall_state", "primary_node_id", "primary_type", "primary_score")
+
+
+@query("node_incidents")
+def node_incidents(spark, sf_dir):
+    rows = ranked(spark, sf_dir)
+    return rounded(rca.track(rows, src.event_grid(spark, sf_dir)), "node_id", "scan_ord", "action", "peak_confidence", "peak_score", "start_scan")
