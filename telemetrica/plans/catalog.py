@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telemetrica.functions.storage import stored
 from telemetrica.functions.windows import by_signal
 from telemetrica.operators import comms, evaluation, incidents, rca, signals, topology
 from telemetrica.operators.signals import SignalConfig
@@ -142,9 +143,10 @@ def variance(spark, sf_dir):
     return rounded(signals.variance(src.event_series(spark, sf_dir)), *KEYS, "mean", "variance", "std_dev", "noise_level")
 
 
-@query("welford", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W}), 9) AS running_mean, round(coalesce(var_samp(value) {W}), 0), 9) AS running_variance FROM series")
+@query("welford", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W}), 9) AS running_mean, round(coalesce(var_samp(value) {W}), 0), 6) AS running_variance FROM series")
 def welford(spark, sf_dir):
-    return rounded(signals.welford(src.event_series(spark, sf_dir)), *KEYS, "running_mean", "running_variance")
+    df = signals.welford(src.event_series(spark, sf_dir))
+    return rounded(df.withColumn("running_variance", F.round("running_variance", 6)), *KEYS, "running_mean", "running_variance")
 
 
 SPIKES = f"""b AS (
@@ -302,8 +304,8 @@ def signal_quality_latest(spark, sf_dir):
     return df.groupBy("signal_id").agg(F.max("scan_ord").alias("scan_ord"), F.round(F.max_by("sqi", "scan_ord"), 9).alias("sqi"), F.max_by("quality_class", "scan_ord").alias("quality_class"))
 
 
-@query("index_statistics", f"""WITH {INDEX}, b AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY scan_ord DESC) AS back FROM quality)
-  SELECT signal_id, round(avg(sqi), 9) AS mean_sqi, round(min(sqi), 9) AS min_sqi, round(max(sqi), 9) AS max_sqi, round(max_by(sqi, scan_ord), 9) AS current_sqi FROM b WHERE back <= 100 GROUP BY signal_id""")
+@query("index_statistics", f"""WITH {INDEX}, backwards AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY scan_ord DESC) AS back FROM quality)
+  SELECT signal_id, round(avg(sqi), 9) AS mean_sqi, round(min(sqi), 9) AS min_sqi, round(max(sqi), 9) AS max_sqi, round(max_by(sqi, scan_ord), 9) AS current_sqi FROM backwards WHERE back <= 100 GROUP BY signal_id""")
 def index_statistics(spark, sf_dir):
     return rounded(signals.index_statistics(index_rows(spark, sf_dir)), "signal_id", "mean_sqi", "min_sqi", "max_sqi", "current_sqi")
 
@@ -423,9 +425,9 @@ def suppression_counts(spark, sf_dir):
     return incidents.suppression_counts(grid_suppressed(spark, sf_dir))
 
 
-@query("impact_report", f"""WITH {INCIDENTS}, e AS (SELECT signal_id, start_scan_index, max(CASE WHEN event = 'started' THEN start_scan_index END) AS s, max(CASE WHEN event = 'resolved' THEN scan_ord END) AS e
+@query("impact_report", f"""WITH {INCIDENTS}, spans AS (SELECT signal_id, start_scan_index, max(CASE WHEN event = 'started' THEN start_scan_index END) AS s, max(CASE WHEN event = 'resolved' THEN scan_ord END) AS e
   FROM lives WHERE event IN ('started', 'resolved') GROUP BY ALL)
-  SELECT signal_id, count(s) AS started, count(e) AS resolved, round(avg(e - s), 9) AS mean_scans, quantile_disc(e - s, 0.5) AS p50_scans, quantile_disc(e - s, 0.95) AS p95_scans FROM e GROUP BY signal_id""")
+  SELECT signal_id, count(s) AS started, count(e) AS resolved, round(avg(e - s), 9) AS mean_scans, quantile_disc(e - s, 0.5) AS p50_scans, quantile_disc(e - s, 0.95) AS p95_scans FROM spans GROUP BY signal_id""")
 def impact_report(spark, sf_dir):
     df = incidents.impact(grid_incidents(spark, sf_dir))
     return rounded(df.withColumns({c: F.col(c).cast("long") for c in ("p50_scans", "p95_scans")}), "signal_id", "started", "resolved", "mean_scans", "p50_scans", "p95_scans")
@@ -517,11 +519,11 @@ def poll_rows(spark, sf_dir) -> DataFrame:
 
 
 @query("poll_statistics", f"""WITH {POLLS} SELECT rtu_id, n, (NOT poll_success OR rtt_ms >= 500 OR jitter_ms >= 200 OR dropout_streak >= 3) AS degraded, count(*) OVER w AS total_polls,
-  CAST(count(*) FILTER (NOT poll_success) OVER w AS BIGINT) AS failed_polls, round(avg(rtt_ms) OVER w, 6) AS avg_rtt_ms, CAST(max(dropout_streak) OVER w AS INT) AS max_dropout_streak
+  CAST(count(*) FILTER (NOT poll_success) OVER w AS BIGINT) AS failed_polls, round(avg(rtt_ms) OVER w, 9) AS avg_rtt_ms, CAST(max(dropout_streak) OVER w AS INT) AS max_dropout_streak
   FROM polls WINDOW w AS (PARTITION BY rtu_id ORDER BY n)""")
 def poll_statistics(spark, sf_dir):
     df = comms.poll_statistics(comms.poll_health(poll_rows(spark, sf_dir)), "rtu_id", "n")
-    return df.select("rtu_id", "n", "degraded", "total_polls", "failed_polls", F.round("avg_rtt_ms", 6).alias("avg_rtt_ms"), "max_dropout_streak")
+    return df.select("rtu_id", "n", "degraded", "total_polls", "failed_polls", F.round("avg_rtt_ms", 9).alias("avg_rtt_ms"), "max_dropout_streak")
 
 
 PLACES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'comms_domain' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'poll_group' FROM nation
@@ -646,7 +648,7 @@ def evaluation_metrics(spark, sf_dir):
 
 def rca_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Observations over the grid's incidents and a topology of its signals (two groups of types, then types, then classes)."""
-    rows = grid_incidents(spark, sf_dir)
+    rows = stored(grid_incidents(spark, sf_dir).select(*KEYS, "missing_ratio", "active", "cause"))
     obs = rows.select(*KEYS, F.lit("GOOD").alias("quality_class"), "missing_ratio", F.when(F.col("active"), F.col("cause")).alias("event_cause"), F.lit(None).cast("string").alias("low_cause"))
     names = rows.select("signal_id").distinct()
     kind = F.substring_index("signal_id", "_", 1)
@@ -654,11 +656,11 @@ def rca_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = up.select(F.col("signal_id").alias("id"), F.lit("signal").alias("type")).unionByName(up.select(F.col("r").alias("id"), F.lit("rtu").alias("type")).distinct())
     nodes = nodes.unionByName(up.select(F.col("g").alias("id"), F.lit("poll_group").alias("type")).distinct()).unionByName(spark.range(1).select(F.lit("cd").alias("id"), F.lit("comms_domain").alias("type")))
     edges = up.select(F.col("r").alias("parent"), F.col("signal_id").alias("child")).unionByName(up.select(F.col("g").alias("parent"), F.col("r").alias("child")).distinct())
-    return rca.observations(obs), nodes, edges.unionByName(up.select(F.lit("cd").alias("parent"), F.col("g").alias("child")).distinct())
+    return stored(rca.observations(obs)), nodes, edges.unionByName(up.select(F.lit("cd").alias("parent"), F.col("g").alias("child")).distinct())
 
 
 def ranked(spark, sf_dir) -> DataFrame:
-    return rca.confidences(rca.candidates(rca.evidence(*rca_inputs(spark, sf_dir))))
+    return stored(rca.confidences(rca.candidates(stored(rca.evidence(*rca_inputs(spark, sf_dir))))))
 
 
 @query("root_causes")
