@@ -31,13 +31,13 @@ from telemetrica.llm.common import cut, map_batches, table, texts_of
 WORDS = 5
 #: At least this many hundredths of the union are shared.
 SIMILAR = 80
-VALUES = 128
+VALUES = 256
 TREES = 32
 SHALLOW, DEEP = 4, 8
 CROWDED = 128
 STRONGEST = 3
-#: Pairs with a smaller share of equal signature values aren't confirmed: 5 standard deviations below.
-HOPELESS = 0.8 - 5 * (0.8 * 0.2 / VALUES) ** 0.5
+#: Pairs with a smaller share of equal signature values aren't confirmed: 4.5 standard deviations below.
+HOPELESS = 0.8 - 4.5 * (0.8 * 0.2 / VALUES) ** 0.5
 PART_BYTES = 1 << 21
 
 _random = np.random.default_rng(20240601)
@@ -194,42 +194,48 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return in_order(rows).mapInArrow(run, "tree int, near long, far long, node long, before long, common int")
 
 
-def region_pairs(nodes: np.ndarray, labels: np.ndarray, far: np.ndarray, depth: int = SHALLOW) -> list[np.ndarray]:
-    """Pairs of nodes with different labels in a region sorted by ``far``, deepened where it is crowded."""
+def region_pairs(nodes: np.ndarray, labels: np.ndarray, far: np.ndarray, values: np.ndarray, depth: int = SHALLOW) -> list[np.ndarray]:
+    """Plausible pairs of nodes with different labels in a region sorted by ``far``, deepened where it is crowded.
+
+    Every pair of the final regions is looked at; those whose signatures rule the similarity out are left.
+    """
     if len(nodes) < 2 or (labels == labels[0]).all():
         return []
     if len(nodes) > CROWDED and depth < DEEP:
         value = far.view(np.uint64) >> np.uint64(16 * (DEEP - depth - 1))
         cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1), len(nodes)]
-        return [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in region_pairs(nodes[a:b], labels[a:b], far[a:b], depth + 1)]
+        return [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in region_pairs(nodes[a:b], labels[a:b], far[a:b], values[a:b], depth + 1)]
     # members of the largest component are met by the others only
-    names, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
-    others = np.flatnonzero(which != np.argmax(sizes))
+    _, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    main = which == np.argmax(sizes)
     out = []
-    for k in others:
-        apart = nodes[(labels != labels[k]) & ((which == np.argmax(sizes)) | (np.arange(len(nodes)) > k))]
-        out.append(np.stack([np.minimum(apart, nodes[k]), np.maximum(apart, nodes[k])]))
+    for k in np.flatnonzero(~main):
+        apart = np.flatnonzero((labels != labels[k]) & (main | (np.arange(len(nodes)) > k)))
+        apart = nodes[apart[(values[apart] == values[k]).mean(axis=1) >= HOPELESS]]
+        if len(apart):
+            out.append(np.stack([np.minimum(apart, nodes[k]), np.maximum(apart, nodes[k])]))
     return out
 
 
 def divided_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label)."""
+    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((5, 0), np.int64)
+        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES), np.uint16)
         for batch in batches:
             new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
-            held = np.concatenate([left, new], axis=1)
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
+            held, kept = np.concatenate([left, new], axis=1), np.concatenate([kept, values])
             cuts = [0, *(np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1)]
-            yield from emit(held, cuts)
-            left = held[:, cuts[-1] :]
-        yield from emit(left, [0, left.shape[1]])
+            yield from emit(held, kept, cuts)
+            left, kept = held[:, cuts[-1] :], kept[cuts[-1] :]
+        yield from emit(left, kept, [0, left.shape[1]])
 
-    def emit(held: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    def emit(held: np.ndarray, values: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         size = 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for pairs in region_pairs(held[3, a:b], held[4, a:b], held[2, a:b]):
+            for pairs in region_pairs(held[3, a:b], held[4, a:b], held[2, a:b], values[a:b]):
                 found.append(pairs)
                 size += pairs.shape[1]
                 if size > 100_000:
@@ -239,22 +245,10 @@ def divided_pairs(rows: DataFrame) -> DataFrame:
             yield batch_of(found)
 
     def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.concatenate(found, axis=1)
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return in_order(rows.select("tree", "near", "far", "node", "label")).mapInArrow(run, "a long, b long")
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose signatures don't rule out the similarity."""
-    one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, VALUES) for c in ("sa", "sb"))
-        return batch.select(["a", "b"]).filter(pa.array((sa == sb).mean(axis=1) >= HOPELESS))
-
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), rows, "a long, b long")
+    return in_order(rows.select("tree", "near", "far", "node", "label", "signature")).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -319,13 +313,18 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
 
     # every pair of a region that is still divided
     marked = rows.select("tree", "near", "far", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = divided_pairs(marked).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(plausible(pairs, nodes)), texts, words, similar))
+    pairs = divided_pairs(marked.join(nodes, "node")).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(confirmed(cut(pairs), texts, words, similar))
     ids = same_id.join(sketched.groupBy(F.col("doc_id").alias("b")).agg(F.countDistinct("digest").alias("k")).where("k > 1"), "b").select("a", "b")
-    if not more.isEmpty() or not ids.isEmpty():
-        labels = cut(components(linked.unionByName(more).unionByName(ids)))
-
-    named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
+    # links found late tie whole components, so only their labels are contracted again
+    late = more.unionByName(ids)
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias("_label"))
+        late = late.join(known, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    tied = components(late).select(F.col("node").alias("_tied"), F.col("label").alias("_final"))
+
+    named = classes.select("digest", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(tied, F.col("label") == F.col("_tied"), "left").select("digest", F.coalesce("_final", "label").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
