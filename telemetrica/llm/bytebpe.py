@@ -18,6 +18,7 @@ CHUNK = re.compile(r"(?<=\S)(?= \S)")
 MARK = "\uffff"
 TABLE_ENTRIES = 500_000
 PART_CHARS = 1 << 20
+PART_CHARS = 1 << 20
 
 
 def chunks_of(text: str) -> list[str]:
@@ -40,6 +41,19 @@ def parts_of(texts: list[str], chars: int = PART_CHARS) -> Iterator[list[str]]:
         yield part
 
 
+def parts_of(texts: list[str], chars: int = PART_CHARS) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``chars``, so that only one run's chunks are in memory."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class ChunkTable:
     """Values of chunks, computed in batches by ``compute``; two generations of ``entries / 2`` are kept."""
 
