@@ -143,10 +143,11 @@ def variance(spark, sf_dir):
     return rounded(signals.variance(src.event_series(spark, sf_dir)), *KEYS, "mean", "variance", "std_dev", "noise_level")
 
 
-@query("welford", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W}), 9) AS running_mean, round(coalesce(var_samp(value) {W}), 0), 6) AS running_variance FROM series")
+@query("welford", f"WITH {SERIES} SELECT signal_id, scan_ord, round(avg(value) {W}), 9) AS running_mean, round(coalesce(var_samp(value) {W}), 0) + 1e-7, 6) AS running_variance FROM series")
 def welford(spark, sf_dir):
     df = signals.welford(src.event_series(spark, sf_dir))
-    return rounded(df.withColumn("running_variance", F.round("running_variance", 6)), *KEYS, "running_mean", "running_variance")
+    # variances of two-decimal values lie on rounding ties, which a little more moves both sides off
+    return rounded(df.withColumn("running_variance", F.round(F.col("running_variance") + 1e-7, 6)), *KEYS, "running_mean", "running_variance")
 
 
 SPIKES = f"""b AS (
