@@ -92,3 +92,26 @@ def poll_statistics(polls: DataFrame, key: str, order: str) -> DataFrame:
             "max_dropout_streak": F.max("dropout_streak").over(w),
         }
     )
+
+
+def quality_monitor(stats: DataFrame, key: str, order: str) -> DataFrame:
+    """Trends of failure rate and latency over ten updates, a weighted score and its class.
+
+    Input: the columns of ``poll_statistics`` per update.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+
+    def trend(column: str) -> Column:
+        lift = F.avg(column).over(w.rowsBetween(-4, 0)) - F.avg(column).over(w.rowsBetween(-9, -5))
+        full = F.count(column).over(w.rowsBetween(-9, 0)) == 10
+        return F.when(full & (lift > 0.05), "degrading").when(full & (lift < -0.05), "improving").otherwise("stable")
+
+    part = lambda points, value, limit: F.greatest(points * (1 - value / limit), F.lit(0.0))
+    score = (
+        part(40, F.col("failure_rate"), 0.1)
+        + part(30, F.col("avg_rtt_ms"), 500)
+        + part(20, F.col("avg_jitter_ms"), 200)
+        + (10 - F.least(F.col("max_dropout_streak") * 2, F.lit(10)))
+    )
+    df = stats.withColumns({"dropout_trend": trend("failure_rate"), "latency_trend": trend("avg_rtt_ms"), "quality_score": score})
+    return df.withColumn("quality_class", F.when(F.col("quality_score") >= 90, "excellent").when(F.col("quality_score") >= 75, "good").when(F.col("quality_score") >= 50, "fair").when(F.col("quality_score") >= 25, "poor").otherwise("critical"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetrica.operators.signals import SignalConfig
+
 
 def match(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """Greedy matches (signal_id, pred_start, pred_end, label_start, label_end): in order of start, each
@@ -71,7 +73,42 @@ def passes(gates: dict[str, tuple[str, float]]) -> Column:
     return out
 
 
-def rank_percentile(column: str, p: float) -> Column:
-    """The value at rank ``int(p * (n - 1))`` of the sorted values."""
-    values = F.sort_array(F.collect_list(column))
-    return values[F.floor(p * (F.count(column) - 1)).cast("int")]
+def rank_percentile(rows: DataFrame, column: str, p: float) -> DataFrame:
+    """One row: the value at rank ``int(p * (n - 1))`` of the sorted values, from counts per value.
+
+    Only distinct values meet in the last window, so it is for columns of few values, such as counts.
+    """
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    return upto.where(F.col("upto") > F.floor(p * (F.col("all") - 1))).agg(F.min("value").alias("value"))
+
+
+#: Cost of a sample per hundred samples of each window.
+COSTS = {"ma_window": 0.02, "variance_window": 0.03, "frequency_window": 0.04, "missing_window": 0.01, "stale_window": 0.02}
+STEP_COST, FFT_FACTOR, SIGNAL_BYTES = 0.02, 1.15, 256
+
+
+def cost_per_signal(c: SignalConfig, fft: bool = False) -> float:
+    """The model's cost of one signal in one scan."""
+    windows = sum(w * max(1, getattr(c, name)) for name, w in COSTS.items()) + STEP_COST * max(1, c.step.baseline)
+    return (1 + windows / 100) * (FFT_FACTOR if fft else 1)
+
+
+def scan_cost(rows: DataFrame, c: SignalConfig, fft: bool = False) -> DataFrame:
+    """One row: the 95 % rank of scan costs and the model's bytes of state; rows: (scan_ord, signal_id)."""
+    sizes = rows.groupBy("scan_ord").agg(F.count("*").alias("signals"))
+    kept = (c.ma_window, c.variance_window, c.frequency_window * (2 if fft else 1), c.missing_window, c.stale_window, c.stale_recovery, c.step.baseline, c.step.persistence, c.step.recovery)
+    each = sum(kept) * 8 + SIGNAL_BYTES
+    p95 = rank_percentile(sizes, "signals", 0.95).select((F.coalesce("value", F.lit(0)) * cost_per_signal(c, fft)).alias("scan_p95_estimate"))
+    memory = rows.select("signal_id").distinct().agg((F.count("*") * float(each)).alias("memory_estimate_bytes"))
+    return p95.join(F.broadcast(memory))
+
+
+def composite(weights: dict[str, float]) -> Column:
+    """A weighted sum of metric columns, by normalised weights."""
+    total = sum(weights.values())
+    out = F.lit(0.0)
+    for name, w in weights.items():
+        out = out + F.col(name) * (w / total)
+    return out

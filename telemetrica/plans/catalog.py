@@ -527,6 +527,19 @@ def poll_statistics(spark, sf_dir):
     return df.select("rtu_id", "n", "degraded", "total_polls", "failed_polls", F.round("avg_rtt_ms", 9).alias("avg_rtt_ms"), "max_dropout_streak")
 
 
+MONITOR = f"""{POLLS}, st AS (SELECT rtu_id, n, count(*) FILTER (NOT poll_success) OVER w::DOUBLE / count(*) OVER w AS f, avg(rtt_ms) OVER w AS r, avg(jitter_ms) OVER w AS j,
+  max(dropout_streak) OVER w AS d FROM polls WINDOW w AS (PARTITION BY rtu_id ORDER BY n)
+), tr AS (SELECT *, CASE WHEN n >= 10 THEN avg(f) OVER (w ROWS 4 PRECEDING) - avg(f) OVER (w ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END AS lift,
+  greatest(40 * (1 - f / 0.1e0), 0) + greatest(30 * (1 - r / 500e0), 0) + greatest(20 * (1 - j / 200e0), 0) + (10 - least(d * 2, 10)) AS score FROM st WINDOW w AS (PARTITION BY rtu_id ORDER BY n))"""
+
+
+@query("comms_quality_monitor", f"""WITH {MONITOR} SELECT rtu_id, n, CASE WHEN lift > 0.05 THEN 'degrading' WHEN lift < -0.05 THEN 'improving' ELSE 'stable' END AS dropout_trend, round(score + 1e-7, 6) AS quality_score,
+  CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 25 THEN 'poor' ELSE 'critical' END AS quality_class FROM tr""")
+def comms_quality_monitor(spark, sf_dir):
+    df = comms.quality_monitor(comms.poll_statistics(poll_rows(spark, sf_dir), "rtu_id", "n"), "rtu_id", "n")
+    return df.select("rtu_id", "n", "dropout_trend", F.round(F.col("quality_score") + 1e-7, 6).alias("quality_score"), "quality_class")
+
+
 PLACES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'comms_domain' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'poll_group' FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'rtu' FROM supplier UNION ALL SELECT DISTINCT 'x' || l_suppkey || '_' || (l_partkey % 4), 'signal' FROM lineitem
 ), edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
@@ -644,6 +657,13 @@ def evaluation_metrics(spark, sf_dir):
     return rounded(evaluation.metrics(*matched(spark, sf_dir)), "predicted", "matched", "labels", "precision", "recall", "mttd_scans", "f1")
 
 
+@query("scan_cost", f"""WITH {GRID}, n AS (SELECT scan_ord, count(*) AS n FROM grid GROUP BY ALL), r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM n)
+  SELECT round(max(n) * (1 + (0.02e0 * 10 + 0.03e0 * 20 + 0.04e0 * 50 + 0.01e0 * 100 + 0.02e0 * 5 + 0.02e0 * 10) / 100), 9) AS scan_p95_estimate,
+    (SELECT count(*) FROM firsts) * ((10 + 20 + 50 + 100 + 5 + 3 + 10 + 3 + 5) * 8 + 256)::DOUBLE AS memory_estimate_bytes FROM r WHERE k = floor(0.95 * (c - 1))""")
+def scan_cost(spark, sf_dir):
+    return rounded(evaluation.scan_cost(src.event_grid(spark, sf_dir), SignalConfig()), "scan_p95_estimate", "memory_estimate_bytes")
+
+
 # --- root causes -----------------------------------------------------------------------------------
 
 

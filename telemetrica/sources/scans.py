@@ -79,6 +79,7 @@ def scan_interval(times: DataFrame, default: float) -> DataFrame:
 def registry(rows: DataFrame, most: int | None = None, policy: str = "error") -> DataFrame:
     """Signals in order of first appearance; beyond ``most`` an error or ignored."""
     first = rows.groupBy("signal_id").agg(F.min("scan_ord").alias("first_scan"))
+    # one row a signal
     place = F.row_number().over(Window.orderBy("first_scan", "signal_id"))
     out = first.withColumn("registration", place)
     if most is None:
@@ -109,6 +110,12 @@ def points(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.when(F.upper("quality") == "GOOD", F.col("value")))
 
 
+def changed_points(rows: DataFrame) -> DataFrame:
+    """Points whose type or address isn't the same in all readings."""
+    kinds = rows.groupBy("point_id").agg(F.countDistinct("point_type", "address").alias("variants"))
+    return kinds.where("variants > 1")
+
+
 def simulated(spark: SparkSession, signals: int, scans: int, interval: float = 0.1, seed: int = 42, noise: float = 0.5) -> DataFrame:
     """10 sin(2 pi 0.5 t) with noise, for each signal and scan."""
     n = spark.range(signals * scans)
