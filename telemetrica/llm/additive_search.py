@@ -31,6 +31,7 @@ BEAM = 4
 #: Bound of the sample that codebooks are fitted on, in vectors.
 SAMPLE = 16384
 ROUNDS, REFINEMENTS = 6, 2
+WEIGHT = 0.3
 SHORTLIST = 1024
 BLOCK_CODES, BLOCK_QUERIES = 65536, 512
 K = 10
@@ -40,17 +41,21 @@ class Codebooks:
     """Codebooks of ``BOOKS`` times at most ``CODES`` words, and encoding by beam search."""
 
     def __init__(self, books: np.ndarray):
-        self.books = books.astype(np.float32)
+        self.books = np.ascontiguousarray(books, np.float32)
         flat = self.books.reshape(-1, books.shape[2])
         self.products = flat @ flat.T
         self.norms = np.einsum("ij,ij->i", flat, flat)
 
+    def __reduce__(self):
+        return Codebooks, (self.books,)  # products are made anew where they are needed
+
     @classmethod
     def fitted(cls, x: np.ndarray) -> Codebooks:
         """Codebooks for a sample of vectors."""
         rng = np.random.default_rng(7)
         size = min(CODES, len(x))
-        rest, books = x.astype(np.float32).copy(), []
+        x = x.astype(np.float32)
+        rest, books = x.copy(), []
         for _ in range(BOOKS):
             words = rest[rng.choice(len(rest), size, replace=False)].copy()
             for _ in range(ROUNDS):
@@ -66,18 +71,19 @@ class Codebooks:
         for _ in range(REFINEMENTS):
             codes, _ = own.encode(x)
             flat = codes.astype(np.int64) + size * np.arange(BOOKS)
-            together = np.zeros((BOOKS * size, BOOKS * size), np.float64)
+            together = np.zeros((BOOKS * size, BOOKS * size), np.float32)
             for i in range(BOOKS):
                 for j in range(BOOKS):
                     np.add.at(together, (flat[:, i], flat[:, j]), 1.0)
-            total = np.zeros((BOOKS * size, x.shape[1]), np.float64)
+            total = np.zeros((BOOKS * size, x.shape[1]), np.float32)
             for i in range(BOOKS):
                 np.add.at(total, flat[:, i], x)
             # a little weight on the words as they are keeps unused ones
-            weight = 0.1
-            before = own.books.reshape(-1, x.shape[1]).astype(np.float64)
-            solved = np.linalg.solve(together + weight * np.eye(len(together)), total + weight * before)
-            own = cls(solved.reshape(BOOKS, size, -1))
+            before = own.books.reshape(-1, x.shape[1])
+            del own
+            together.flat[:: len(together) + 1] += WEIGHT
+            own = cls(np.linalg.solve(together, total + WEIGHT * before).reshape(BOOKS, size, -1))
+            del together
         return own
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +215,10 @@ def search(vectors: DataFrame, is_query, k: int = K, shortlist: int = SHORTLIST)
     members = cut(keyed.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1))
     classes = members.where("n = 1").select("id", "v", "digest")
     queries = cut(keyed.where(is_query).select("id", "v"))
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
-    if not sample:
+    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.transform("v", lambda x: x.cast("float")).alias("v")).toArrow()
+    if not chosen.num_rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = Codebooks.fitted(np.array(sample, np.float64))
+    books = Codebooks.fitted(matrix(chosen.column("v").combine_chunks()))
     blocks = max(1, -(-classes.count() // BLOCK_CODES))
     coded = cut(packed_codes(classes.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")), books))
     against = packed_queries(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
