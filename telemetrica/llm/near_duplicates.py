@@ -31,19 +31,20 @@ from telemetrica.llm.common import cut, map_batches, table, texts_of
 WORDS = 5
 #: At least this many hundredths of the union are shared.
 SIMILAR = 80
-VALUES = 256
+#: MinHash values of a set: trees order by the first ones, similarity is estimated from all.
+VALUES, ORDERED = 1024, 256
 TREES = 32
 SHALLOW, DEEP = 4, 8
 CROWDED = 128
-STRONGEST = 3
-#: Pairs with a smaller share of equal signature values aren't confirmed: 4.5 standard deviations below.
+STRONGEST = 6
+#: Pairs with a smaller share of equal values aren't confirmed: 4.5 standard deviations below.
 HOPELESS = 0.8 - 4.5 * (0.8 * 0.2 / VALUES) ** 0.5
 PART_BYTES = 1 << 21
 
 _random = np.random.default_rng(20240601)
 MULTIPLIERS = _random.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _random.integers(0, 1 << 63, VALUES, np.uint64)
-ORDERS = np.stack([_random.permutation(VALUES)[:DEEP] for _ in range(TREES)])
+ORDERS = np.stack([_random.permutation(ORDERED)[:DEEP] for _ in range(TREES)])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -117,33 +118,35 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         return out + (_part_shingles(part, words) if part else [])
 
 
-def signature(found: np.ndarray) -> bytes:
-    """MinHash values of a non-empty shingle set, 16 bits each."""
+def min_hashes(found: np.ndarray) -> tuple[bytes, bytes]:
+    """Of a non-empty shingle set: the values to order by, 16 bits each, and all values, 8 bits each."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 2048):
-        least = np.minimum(least, (MULTIPLIERS[:, None] * found[None, k : k + 2048] + ADDENDS[:, None]).min(axis=1))
-    return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
+    for k in range(0, len(found), 128):
+        least = np.minimum(least, (MULTIPLIERS[:, None] * found[None, k : k + 128] + ADDENDS[:, None]).min(axis=1))
+    least = mixed(least)
+    return (least[:ORDERED] >> np.uint64(48)).astype("<u2").tobytes(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set, signature (both null for empty sets)."""
+    """Per row: doc_id, n_shingles, and (null for empty sets) digest, signature and values of the set."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(texts_of(batch), words)
         with np.errstate(over="ignore"):
-            signatures = [signature(s) if len(s) else None for s in sets]
+            hashes = [min_hashes(s) if len(s) else (None, None) for s in sets]
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature"])
+        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
+        columns += [pa.array([h[k] for h in hashes], pa.binary()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature", "values"])
 
-    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, digest binary, signature binary, values binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
     """Rows (tree, near, far, node): the leading values of each node's signature in each tree."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
+        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, ORDERED)
         n = len(values)
         packed = values[:, ORDERS].astype(">u2").reshape(n * TREES, DEEP)
         near, far = packed[:, :SHALLOW].copy().view(">i8").ravel(), packed[:, SHALLOW:].copy().view(">i8").ravel()
@@ -218,13 +221,13 @@ def region_pairs(nodes: np.ndarray, labels: np.ndarray, far: np.ndarray, values:
 
 
 def divided_pairs(rows: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, signature)."""
+    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES), np.uint16)
+        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES), np.uint8)
         for batch in batches:
             new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
+            values = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint8).reshape(-1, VALUES)
             held, kept = np.concatenate([left, new], axis=1), np.concatenate([kept, values])
             cuts = [0, *(np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1)]
             yield from emit(held, kept, cuts)
@@ -248,7 +251,7 @@ def divided_pairs(rows: DataFrame) -> DataFrame:
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return in_order(rows.select("tree", "near", "far", "node", "label", "signature")).mapInArrow(run, "a long, b long")
+    return in_order(rows.select("tree", "near", "far", "node", "label", "values")).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -293,7 +296,7 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketched = cut(sketch(docs, words))
     classes = cut(
-        sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
+        sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("values").alias("values"))
     )
     nodes = classes.select("node", "signature")
     rows = cut(neighbours(forest(nodes)))
@@ -313,7 +316,9 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
 
     # every pair of a region that is still divided
     marked = rows.select("tree", "near", "far", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = divided_pairs(marked.join(nodes, "node")).distinct().join(first, ["a", "b"], "left_anti")
+    region = Window.partitionBy("tree", "near")
+    mixed_rows = marked.withColumns({"_least": F.min("label").over(region), "_most": F.max("label").over(region)}).where("_least < _most")
+    pairs = divided_pairs(mixed_rows.join(classes.select("node", "values"), "node")).distinct().join(first, ["a", "b"], "left_anti")
     more = cut(confirmed(cut(pairs), texts, words, similar))
     ids = same_id.join(sketched.groupBy(F.col("doc_id").alias("b")).agg(F.countDistinct("digest").alias("k")).where("k > 1"), "b").select("a", "b")
     # links found late tie whole components, so only their labels are contracted again
