@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -196,33 +197,39 @@ def features(logits: np.ndarray) -> np.ndarray:
 class Windows:
     """Windows of training documents as arrays; ``doc`` tells whose each one is."""
 
-    def __init__(self, docs: list[list[list[str]]], toxic: np.ndarray):
-        rows = {w: word_row(w) for d in docs for win in d for w in win}
-        place = {w: k for k, w in enumerate(rows)}
-        odds_rows = np.array([r[0] for r in rows.values()] or [0])
-        own = [np.unique(odds_rows[[place[w] for win in d for w in win]]) if d else np.zeros(0, np.int64) for d in docs]
-        gram_rows = np.full((max(len(rows), 1), GRAMS), -1, np.int64)
-        for k, r in enumerate(rows.values()):
-            gram_rows[k, : len(r[2])] = r[2]
+    def __init__(self, docs: list[list[str]], toxic: np.ndarray):
+        place: dict[str, int] = {}
+        packed, words, odds = array("i"), array("i"), array("i")
+        self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        ids = np.zeros((len(self.doc), WINDOW), np.int32)
+        self.mask = np.zeros((len(self.doc), WINDOW), np.float32)
+        for k, win in enumerate(w for d in docs for w in d):
+            found = win.split(" ")
+            for w in found:
+                if w not in place:
+                    place[w] = len(place)
+                    o, r, grams = word_row(w)
+                    odds.append(o)
+                    words.append(r)
+                    packed.extend(grams + [-1] * (GRAMS - len(grams)))
+            ids[k, : len(found)] = [place[w] for w in found]
+            self.mask[k, : len(found)] = 1
+        del place
+        odds_rows, word_rows = np.array(odds, np.int32), np.array(words, np.int32)
+        gram_rows = np.array(packed, np.int32).reshape(-1, GRAMS)
+        ends = np.cumsum([0, *[len(d) for d in docs]])
+        seen = [np.unique(ids[x:y][self.mask[x:y] > 0]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         part = np.arange(len(docs)) % PARTS
         counts = np.zeros((PARTS, 2, ODDS_ROWS), np.float32)
         gram_counts = np.zeros((PARTS, 2, GRAM_ODDS), np.float32)
-        for found, d, y, k in zip(own, docs, toxic, part, strict=True):
-            counts[k, int(y), found] += 1
-            grams = np.unique(gram_rows[[place[w] for win in d for w in win]]) if d else np.zeros(0, np.int64)
+        for own, y, k in zip(seen, toxic, part, strict=True):
+            counts[k, int(y), np.unique(odds_rows[own])] += 1
+            grams = np.unique(gram_rows[own])
             gram_counts[k, int(y), grams[grams >= 0]] += 1
         sizes = np.array([[((part == k) & (toxic == y)).sum() for y in (0, 1)] for k in range(PARTS)], float)
         whole, whole_grams, n = counts.sum(0), gram_counts.sum(0), sizes.sum(0)
         self.table = log_odds(whole[1], whole[0], n[1], n[0])
         self.gram_table = log_odds(whole_grams[1], whole_grams[0], n[1], n[0])
-        word_rows = np.array([r[1] for r in rows.values()] or [0])
-        flat = [(i, win) for i, d in enumerate(docs) for win in d]
-        self.doc = np.array([i for i, _ in flat])
-        ids = np.zeros((len(flat), WINDOW), np.int64)
-        self.mask = np.zeros((len(flat), WINDOW), np.float32)
-        for k, (_, win) in enumerate(flat):
-            ids[k, : len(win)] = [place[w] for w in win]
-            self.mask[k, : len(win)] = 1
         # a document's own part is left out of the counts that its odds come from
         self.odds = np.zeros((*ids.shape, 2), np.float32)
         for k in range(PARTS):
@@ -237,15 +244,15 @@ class Windows:
 
     def logits(self, net: Network) -> np.ndarray:
         out = []
-        for k in range(0, len(self.doc), 2048):
-            word, grams, odds, mask = self.take(np.arange(k, min(k + 2048, len(self.doc))))
+        for k in range(0, len(self.doc), 512):
+            word, grams, odds, mask = self.take(np.arange(k, min(k + 512, len(self.doc))))
             x = net.inputs(word, grams, odds)
             out.append(net.logits({d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}, mask))
         return np.concatenate(out)
 
 
-def fit(docs: list[list[list[str]]], toxic: list[int], share: float | None = None) -> Model:
-    """A model from documents as windows of words, with labels; ``share`` is the true share of toxic ones."""
+def fit(docs: list[list[str]], toxic: list[int], share: float | None = None) -> Model:
+    """A model from documents as windows (words joined by spaces), with labels; ``share`` is the true share of toxic ones."""
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(constant=float(y[0]) if len(y) else 0.0)
@@ -398,7 +405,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     found = map_batches(chosen, rows, f"doc_id {kind}, toxic int, windows array<string>").dropDuplicates(["doc_id"]).collect()
     found = sorted((r for r in found if r["windows"]), key=lambda r: r["doc_id"])
     total = sum(sizes.values())
-    return fit([[w.split(" ") for w in r["windows"]] for r in found], [r["toxic"] for r in found], sizes.get(1, 0) / total if total else None)
+    return fit([r["windows"] for r in found], [r["toxic"] for r in found], sizes.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
