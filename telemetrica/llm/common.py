@@ -49,16 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def drop_cut(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by ``cut`` that no later plan reads."""
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/cut-" in path:
-                jvm = df.sparkSession._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Fixed value: a word of the contracts.
 WORD = re.compile(r"[^ \t-\r]+")
 #: White space that str.split() splits at and the contracts don't.

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetrica.llm.bytebpe import ChunkTable
+from telemetrica.llm.bytebpe import ChunkTable, parts_of
 from telemetrica.llm.common import map_batches, table, texts_of
 
 MARKER = "▁"
@@ -153,9 +153,12 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
-        lists = [WORD.split(n) if self.words else [n] for n in map(self.normalised, texts)]
-        get = self.table.look_up(lists).__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        out = []
+        for part in parts_of(texts):
+            lists = [WORD.split(n) if self.words else [n] for n in map(self.normalised, part)]
+            get = self.table.look_up(lists).__getitem__
+            out += [b"".join(map(get, x)) for x in lists]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The normalised texts behind ids, without the prefix that encoding added."""
@@ -187,13 +190,19 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, own = texts_of(batch, text_column), codec(path, threads)
         ids = own.encode(texts)
-        theirs = peer(path).encode(texts, num_threads=threads)
+        parity, back = [], []
+        at = 0
+        for part in parts_of(texts):
+            found, at = ids[at : at + len(part)], at + len(part)
+            theirs = peer(path).encode(part, num_threads=threads)
+            parity += [x == np.array(y, "<u4").tobytes() for x, y in zip(found, theirs, strict=True)]
+            back += [x == y for x, y in zip(own.decode(found), part, strict=True)]
         columns = [
             batch.column(id_column),
             pa.array([len(x) // 4 for x in ids], pa.int64()),
             pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-            pa.array([x == np.array(y, "<u4").tobytes() for x, y in zip(ids, theirs, strict=True)], pa.bool_()),
-            pa.array([x == y for x, y in zip(own.decode(ids), texts, strict=True)], pa.bool_()),
+            pa.array(parity, pa.bool_()),
+            pa.array(back, pa.bool_()),
         ]
         names = [id_column, "n_tokens", "ids_crc32", "parity", "round_trip"]
         if with_ids:

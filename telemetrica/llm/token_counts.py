@@ -21,22 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetrica.llm.bytebpe import ChunkTable, chunks_of
+from telemetrica.llm.bytebpe import PRE_TOKEN, ChunkTable, byte_alphabet, chunks_of, parts_of
 from telemetrica.llm.common import map_batches, table, texts_of
 
-#: Fixed value: the pre-token pattern of the byte-level vocabulary.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
 MEMO_ENTRIES = 400_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in a byte-level vocabulary file."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Token counts at every code-point prefix, for the vocabulary in ``path``."""
 
@@ -221,6 +212,9 @@ class PrefixCounter:
 
     def tables(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its count at every prefix: entry ``i`` is for the first ``i`` code points."""
+        return [t for part in parts_of(texts) for t in self._tables(part)]
+
+    def _tables(self, texts: list[str]) -> list[np.ndarray]:
         lists = [chunks_of(t) for t in texts]
         get = self.table.look_up(lists).__getitem__
         out = []
