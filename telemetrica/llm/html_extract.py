@@ -4,10 +4,12 @@ The pages of a host are merged by element path. For each path the host's pages g
 presentation (the sequence of its children) and of its content (its own text), both relative to the
 number of pages that have it; a path's importance blends its presentation with that of what stands
 below it, down to the content of leaves. Branches that look and read alike on all pages have a low
-importance and are left out, as are elements whose tag, role or class says menu, header, footer,
-sidebar, notice, advert, form or comments. Where a page has an article or main element, its text is
-what stands inside; the tree's verdict is asked outside of these only, so that passages which many
-articles of a host share are kept. If the tree would leave nothing, only the other rule holds.
+importance, together with all that stands below them, and are left out, as are elements whose tag,
+role or class says menu, header, footer, sidebar, notice, advert, form or comments. Where a page has an
+article or main element, its text is what stands inside, without the branches that the tree rates low,
+and what stands elsewhere in paths that it rates high. Ratings are of paths, not of passages: one that
+many articles of a host share is kept where the path reads differently on other pages. If the tree
+would leave nothing of the article, or of a page without one, only the other rule holds.
 
 Statistics are counts per host, path and variant, summed before and after the shuffle; a host's pages
 are never gathered, however many it has.
@@ -52,9 +54,12 @@ NOISE_NAMES = frozenset(
     " contentinfo complementary search toolbar pagination pager alert".split()
 )
 CONTENT = frozenset(("article", "main"))
+INSIDE = re.compile(r"/(?:article|main)(?:[./]|$)")
 DEPTH = 64
 #: Branches of a smaller importance are left out, where at least this many pages have them.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.1, 8
+#: Paths of this importance, on as many pages, are kept beside an article.
+HIGH_IMPORTANCE = 0.5
 #: Weight of what stands below against a path's own presentation.
 BELOW = 0.9
 
@@ -155,14 +160,14 @@ def walk(html: str):
 
 
 def variants(html: str) -> list[tuple[str, int, int]]:
-    """Per element path of a page outside its content elements: hashes of its presentation and content."""
+    """Per element path of a page: hashes of its presentation and content."""
     shown: dict[str, int] = {}
     said: dict[str, int] = {}
     for event in walk(html):
         node = event[1]
         if event[0] == "open":
             said.setdefault(node.path, 0)
-        elif event[0] == "text" and not node.content:
+        elif event[0] == "text":
             text = " ".join(event[2].split())
             if text:
                 said[node.path] = zlib.crc32(text.encode("utf-8", "replace"), said.get(node.path, 0) + 1)
@@ -176,15 +181,17 @@ def tidy(parts: list[str]) -> str:
     return " ".join(unescape("".join(parts)).split())
 
 
-def extract(html: str, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The main text of a page whose host's tree rates the paths in ``low`` as unimportant."""
+def extract(html: str, low: frozenset[str] | set[str] = frozenset(), high: frozenset[str] | set[str] = frozenset()) -> str:
+    """The main text of a page whose host's tree rates the paths in ``low`` as unimportant and those in ``high`` as important."""
     inside: list[str] = []  # blocks of article and main
+    main: list[str] = []  # those the tree keeps, and blocks elsewhere that it rates high
     plain: list[str] = []  # blocks elsewhere
     rated: list[str] = []  # blocks elsewhere that the tree keeps
-    held: dict[str, list[str]] = {"inside": [], "plain": [], "rated": []}
+    held: dict[str, list[str]] = {"inside": [], "main": [], "plain": [], "rated": []}
+    kept = False  # whether the tree keeps any of article and main
 
     def flush() -> None:
-        for name, blocks in (("inside", inside), ("plain", plain), ("rated", rated)):
+        for name, blocks in (("inside", inside), ("main", main), ("plain", plain), ("rated", rated)):
             if held[name]:
                 if block := tidy(held[name]):
                     blocks.append(block)
@@ -200,14 +207,18 @@ def extract(html: str, low: frozenset[str] | set[str] = frozenset()) -> str:
         elif kind == "close":
             chain.pop()
         elif not node.noise:
+            held["inside" if node.content else "plain"].append(event[2])
+            if chain[-1]:
+                continue
             if node.content:
-                held["inside"].append(event[2])
+                held["main"].append(event[2])
+                kept = kept or not event[2].isspace()
             else:
-                held["plain"].append(event[2])
-                if not chain[-1]:
-                    held["rated"].append(event[2])
+                held["rated"].append(event[2])
+                if node.path in high:
+                    held["main"].append(event[2])
     flush()
-    return "\n".join(inside or rated or plain)
+    return "\n".join((main if kept else inside) if inside else rated or plain)
 
 
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", re.I)
@@ -219,7 +230,7 @@ def host_of(url: str | None) -> str:
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """Per host: low, the element paths whose branches are unimportant. pages: (url, html)."""
+    """Per host: low, the element paths whose branches are unimportant, and high, important ones. pages: (url, html)."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: Counter = Counter()
@@ -241,20 +252,21 @@ def tree(pages: DataFrame) -> DataFrame:
     both = entropy("shown").join(entropy("said").drop("m"), ["host", "path"])
 
     def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        low = [unimportant([(x["path"], x["m"], x["shown"], x["said"]) for x in paths]) for paths in batch.column("paths").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.string()))], ["host", "low"])
+        found = [ratings([(x["path"], x["m"], x["shown"], x["said"]) for x in paths]) for paths in batch.column("paths").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("host"), *[pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1)]], ["host", "low", "high"])
 
     gathered = both.groupBy("host").agg(F.collect_list(F.struct("path", "m", "shown", "said")).alias("paths"))
-    return map_batches(gathered, rate, "host string, low array<string>")
+    return map_batches(gathered, rate, "host string, low array<string>, high array<string>")
 
 
-def unimportant(paths: list[tuple[str, int, float, float]]) -> list[str]:
-    """The topmost paths of a host's tree, each with (path, pages, presentation, content), of low importance."""
+def ratings(paths: list[tuple[str, int, float, float]]) -> tuple[list[str], list[str]]:
+    """Of a host's tree, each path with (path, pages, presentation, content): those low with all below them, and the high ones outside of articles."""
     of = {p: (m, shown, said) for p, m, shown, said in paths}
     below: dict[str, list[str]] = {}
     for p in of:
         below.setdefault(p.rpartition("/")[0], []).append(p)
     importance: dict[str, float] = {}
+    most: dict[str, float] = {}  # of a path and all below it
     for p in sorted(of, key=lambda p: -p.count("/")):
         m, shown, said = of[p]
         inner = [(importance[c], of[c][0]) for c in below.get(p, ())]
@@ -262,25 +274,27 @@ def unimportant(paths: list[tuple[str, int, float, float]]) -> list[str]:
         if inner:
             content = max(content, sum(i * w for i, w in inner) / sum(w for _, w in inner))
         importance[p] = (1 - BELOW) * shown + BELOW * content
-    return sorted(p for p, i in importance.items() if i < LEAST_IMPORTANCE and of[p][0] >= LEAST_PAGES)
+        most[p] = max([importance[p], *[most[c] for c in below.get(p, ())]])
+    known = sorted(p for p in of if of[p][0] >= LEAST_PAGES)
+    return [p for p in known if most[p] < LEAST_IMPORTANCE], [p for p in known if importance[p] >= HIGH_IMPORTANCE and not INSIDE.search(p)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    low = cut(tree(pages).where(F.size("low") > 0))
+    low = cut(tree(pages).where((F.size("low") > 0) | (F.size("high") > 0)))
     named = pages.select("page_id", "url", "html").withColumn("host", host_column())
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets: dict[tuple, frozenset] = {}
         texts = []
-        for html, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            key = tuple(paths or ())
-            texts.append(extract(html or "", sets.setdefault(key, frozenset(key))))
+        for html, *paths in zip(*[batch.column(c).to_pylist() for c in ("html", "low", "high")], strict=True):
+            keys = [tuple(p or ()) for p in paths]
+            texts.append(extract(html or "", *[sets.setdefault(k, frozenset(k)) for k in keys]))
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(named.join(low, "host", "left").select("page_id", "url", "html", "low"), rows, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(named.join(low, "host", "left").select("page_id", "url", "html", "low", "high"), rows, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def host_column():

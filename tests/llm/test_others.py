@@ -92,6 +92,14 @@ def test_tree_leaves_out_what_all_pages_share(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_tree_decides_inside_and_beside_articles(spark):
+    page = "<body><div id=lead>Lead of {k}</div><div id=end>Fixed</div><article><p>own words {k}</p><p>Shared passage</p><div class=team><b>Our</b> team</div></article></body>"
+    pages = [(k, f"http://h.example/{k}", page.format(k=k)) for k in range(20)]
+    pages += [(50 + k, f"http://same.example/{k}", "<article><p>All alike</p></article>") for k in range(20)]
+    found = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"Lead of {k}\nown words {k}\nShared passage" and found[50 + k] == "All alike" for k in range(20))
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 
