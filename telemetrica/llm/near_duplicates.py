@@ -4,9 +4,9 @@ Each distinct shingle set gets a signature; several trees sort the signatures by
 values. Sets that share ``SHALLOW`` leading values in a tree are neighbours there. Neighbours next to
 each other in a tree's order have the longest common prefix; each set's strongest such pairs are
 confirmed first and joined into components. Then every pair of a region that is still in two
-components becomes a candidate: a region is a shared prefix, deepened value by value where it is
-crowded, down to ``DEEP`` values, and no pair within a region is left out. Candidates whose signatures
-don't rule out the similarity are confirmed on the full sets.
+components becomes a candidate: a region is a shared prefix of ``SHALLOW`` values, however crowded it is, and no
+pair within a region is left out; a pair is looked at in the first tree where it shares one. Candidates
+whose signatures don't rule out the similarity are confirmed on the full sets.
 
 Copies (equal sets) are one class from the start, so their number costs nothing; components are found
 by star contraction in DataFrames; nothing but counts reaches the driver.
@@ -35,11 +35,12 @@ SIMILAR = 80
 VALUES, ORDERED = 1024, 256
 TREES = 32
 SHALLOW, DEEP = 4, 8
-CROWDED = 128
 STRONGEST = 6
 #: Pairs with a smaller share of equal values aren't confirmed: 4.5 standard deviations below.
 HOPELESS = 0.8 - 4.5 * (0.8 * 0.2 / VALUES) ** 0.5
 PART_BYTES = 1 << 21
+#: Nodes of a region that are compared with one at a time.
+BLOCK = 1 << 14
 
 _random = np.random.default_rng(20240601)
 MULTIPLIERS = _random.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,48 +198,58 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return in_order(rows).mapInArrow(run, "tree int, near long, far long, node long, before long, common int")
 
 
-def region_pairs(nodes: np.ndarray, labels: np.ndarray, far: np.ndarray, values: np.ndarray, depth: int = SHALLOW) -> list[np.ndarray]:
-    """Plausible pairs of nodes with different labels in a region sorted by ``far``, deepened where it is crowded.
+def leading(nodes: DataFrame) -> DataFrame:
+    """Per node: held, its values followed by its shared prefix in each tree."""
 
-    Every pair of the final regions is looked at; those whose signatures rule the similarity out are left.
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, ORDERED)
+        keys = signatures[:, ORDERS[:, :SHALLOW]].reshape(len(signatures), -1)
+        held = [v + k.tobytes() for v, k in zip(batch.column("values").to_pylist(), keys, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(held, pa.binary())], ["node", "held"])
+
+    return map_batches(nodes.select("node", "signature", "values"), rows, "node long, held binary")
+
+
+def region_pairs(nodes: np.ndarray, labels: np.ndarray, tree: int, keys: np.ndarray, values: np.ndarray) -> Iterator[np.ndarray]:
+    """Plausible pairs of nodes with different labels in a region of ``tree``, with their prefixes in all trees (``keys``).
+
+    Every pair that shares no region in an earlier tree is looked at; those whose signatures rule the similarity out are left.
     """
-    if len(nodes) < 2 or (labels == labels[0]).all():
-        return []
-    if len(nodes) > CROWDED and depth < DEEP:
-        value = far.view(np.uint64) >> np.uint64(16 * (DEEP - depth - 1))
-        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1), len(nodes)]
-        return [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in region_pairs(nodes[a:b], labels[a:b], far[a:b], values[a:b], depth + 1)]
     # members of the largest component are met by the others only
     _, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
     main = which == np.argmax(sizes)
-    out = []
     for k in np.flatnonzero(~main):
         apart = np.flatnonzero((labels != labels[k]) & (main | (np.arange(len(nodes)) > k)))
-        apart = nodes[apart[(values[apart] == values[k]).mean(axis=1) >= HOPELESS]]
-        if len(apart):
-            out.append(np.stack([np.minimum(apart, nodes[k]), np.maximum(apart, nodes[k])]))
-    return out
+        for c in range(0, len(apart), BLOCK):
+            met = apart[c : c + BLOCK]
+            met = met[~(keys[met, :tree] == keys[k, :tree]).any(axis=1)]
+            met = nodes[met[np.count_nonzero(values[met] == values[k], axis=1) >= HOPELESS * VALUES]]
+            if len(met):
+                yield np.stack([np.minimum(met, nodes[k]), np.maximum(met, nodes[k])])
 
 
 def divided_pairs(rows: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, values)."""
+    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES), np.uint8)
+        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES + 8 * TREES), np.uint8)
         for batch in batches:
             new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
-            values = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint8).reshape(-1, VALUES)
-            held, kept = np.concatenate([left, new], axis=1), np.concatenate([kept, values])
+            more = np.frombuffer(b"".join(batch.column("held").to_pylist()), np.uint8).reshape(-1, kept.shape[1])
+            held, kept = np.concatenate([left, new], axis=1), np.concatenate([kept, more])
             cuts = [0, *(np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1)]
             yield from emit(held, kept, cuts)
             left, kept = held[:, cuts[-1] :], kept[cuts[-1] :]
         yield from emit(left, kept, [0, left.shape[1]])
 
-    def emit(held: np.ndarray, values: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    def emit(held: np.ndarray, kept: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         size = 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for pairs in region_pairs(held[3, a:b], held[4, a:b], held[2, a:b], values[a:b]):
+            if (held[4, a:b] == held[4, a : a + 1]).all():
+                continue
+            keys = kept[a:b, VALUES:].copy().view(np.int64)
+            for pairs in region_pairs(held[3, a:b], held[4, a:b], int(held[0, a]), keys, kept[a:b, :VALUES]):
                 found.append(pairs)
                 size += pairs.shape[1]
                 if size > 100_000:
@@ -251,7 +262,7 @@ def divided_pairs(rows: DataFrame) -> DataFrame:
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return in_order(rows.select("tree", "near", "far", "node", "label", "values")).mapInArrow(run, "a long, b long")
+    return in_order(rows.select("tree", "near", "far", "node", "label", "held")).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -318,7 +329,7 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     marked = rows.select("tree", "near", "far", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     region = Window.partitionBy("tree", "near")
     mixed_rows = marked.withColumns({"_least": F.min("label").over(region), "_most": F.max("label").over(region)}).where("_least < _most")
-    pairs = divided_pairs(mixed_rows.join(classes.select("node", "values"), "node")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = divided_pairs(mixed_rows.join(leading(classes), "node")).distinct().join(first, ["a", "b"], "left_anti")
     more = cut(confirmed(cut(pairs), texts, words, similar))
     ids = same_id.join(sketched.groupBy(F.col("doc_id").alias("b")).agg(F.countDistinct("digest").alias("k")).where("k > 1"), "b").select("a", "b")
     # links found late tie whole components, so only their labels are contracted again

@@ -254,6 +254,21 @@ def test_components_are_those_of_all_pairs(spark):
     assert near_duplicates.cluster(docs_of(spark, [])).count() == 0
 
 
+def test_every_pair_of_a_crowded_region_is_met_once():
+    rng = np.random.default_rng(6)
+    n = 300
+    values = rng.integers(0, 256, (n, near_duplicates.VALUES), np.uint8)
+    values[1] = values[0]
+    values[3] = values[2]
+    keys = rng.integers(0, 1 << 60, (n, near_duplicates.TREES))
+    keys[:, 5] = 7
+    keys[3, 2] = keys[2, 2]
+    labels = np.arange(n)
+    found = {tree: [tuple(p) for pairs in near_duplicates.region_pairs(np.arange(n), labels, tree, keys, values) for p in pairs.T] for tree in (2, 5, 6)}
+    # the pair (2, 3) shares a region of tree 2 already; none is met again in tree 6
+    assert found[5] == [(0, 1)] and (2, 3) in found[2] and found[6] == []
+
+
 def test_null_and_repeated_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     rows = spark.createDataFrame([(None, a), (1, a), (1, b), (2, b), (3, "c d e f g")], "doc_id long, text string")
