@@ -7,8 +7,8 @@ mean and covariance anew. Documents whose Mahalanobis distance is beyond the chi
 rejected. A step is one aggregation over binned distances, so no group is ever gathered: the rows that
 move are a bounded number of sums per group, task and bin.
 
-Groups under ``MIN_GROUP`` documents are pooled by language, then over all; below that nothing is
-rejected by distance. Variances have a floor, so that features which are almost always zero don't
+Groups under ``MIN_GROUP`` documents are pooled by language, then with each other; those still under it
+are judged by the estimate from all documents that pass the base. Variances have a floor, so that features which are almost always zero don't
 reject a document for one symbol.
 
 Defined results: a null text has no words and fails the base; null languages or sources are groups of
@@ -43,7 +43,7 @@ MIN_GROUP = 200
 WITHIN = 1 - 1e-6
 BINS_PER_DOUBLING = 8
 BROADCAST_GROUPS = 10_000
-REST = "\x00rest"
+REST, ALL = "\x00rest", "\x00all"
 
 
 def n_repeat_words(words: list[str]) -> int:
@@ -182,7 +182,7 @@ def estimates(rows: DataFrame, few: bool) -> DataFrame:
 
 
 def grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """``stats`` with ``g``, the group to judge by (null: none), and whether the groups are few."""
+    """``stats`` with ``g``, the group to judge by (null where the whole group fails the base), and whether the groups are few."""
     key = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     pool = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x00")), F.lit(REST))
     sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -192,7 +192,7 @@ def grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
     # the last pool has at most MIN_GROUP rows a language
     rest = sizes.where(F.col("g") == REST).agg(F.sum("n")).collect()[0][0] or 0
     if rest < MIN_GROUP:
-        sizes = sizes.withColumn("g", F.when(F.col("g") != REST, F.col("g")))
+        sizes = sizes.withColumn("g", F.when(F.col("g") == REST, F.lit(ALL)).otherwise(F.col("g")))
     sizes = cut(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "g"))
     few = sizes.count() <= BROADCAST_GROUPS
     same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
@@ -202,7 +202,11 @@ def grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
 def assess(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, the five counts, base_failed, kept, and distance (squared; null where not judged)."""
     stats, few = grouped(cut(measure(docs, id_column)))
-    fit = estimates(stats.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", "x"), few)
+    passed = stats.where(~F.col("base_failed"))
+    rows = passed.select("g", "x")
+    if passed.where(F.col("g") == ALL).limit(1).count():
+        rows = rows.where(F.col("g") != ALL).unionByName(passed.select(F.lit(ALL).alias("g"), "x"))
+    fit = estimates(rows, few)
     judged = stats.join(F.broadcast(fit) if few else fit, "g", "left").withColumn("distance", distance())
     verdict = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
     return judged.select(id_column, *COUNTS, "base_failed", verdict.alias("kept"), "distance")

@@ -180,6 +180,18 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert quality_rules.assess(docs_of(spark, [])).count() == 0
 
 
+def test_small_groups_are_judged_by_all_documents(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    clean = [" ".join(word() for _ in range(80)) for _ in range(260)]
+    junk = [" ".join(word() + "###" for _ in range(80)) for _ in range(6)]
+    rows = [(i, t, "en" if i < 240 else None if i % 2 else "xx", "s") for i, t in enumerate(clean + junk)]
+    found = rows_by(quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(r["distance"] is not None and r["kept"] == (i < 260) for i, r in found.items()) and len(found) == 266
+    tiny = spark.createDataFrame(rows[-26:], "doc_id long, text string, lang string, source string")
+    assert {i for i, r in rows_by(quality_rules.assess(tiny)).items() if r["kept"]} == set(range(240, 260))
+
+
 def test_estimates_match_plain_concentration(spark):
     """The distributed steps against the same steps in numpy, on one group."""
     rng = np.random.default_rng(3)
