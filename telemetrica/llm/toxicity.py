@@ -36,7 +36,6 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, GRAM_ODDS = 2048, 2048, 1 << 18, 1 << 16
 WIDTH, HIDDEN, ATTEND = 6, 8, 8
 INPUT = 2 * WIDTH + 2
-GRAMS = 24
 PARTS = 5
 #: Share of words that enter training without their vectors, so that odds and context must do.
 BLANK = 0.5
@@ -56,10 +55,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def word_row(word: str) -> tuple[int, int, list[int]]:
-    """Rows of a word in the odds and word tables, and of its grams in theirs."""
+    """Rows of a word in the odds and word tables, and of all its grams in theirs."""
     raw = b"^" + word.encode("utf-8", "replace") + b"$"
     code = zlib.crc32(raw)
-    return code % ODDS_ROWS, (code >> 8) % WORD_ROWS, [zlib.crc32(raw[i : i + k]) % GRAM_ODDS for i in range(len(raw) - 2) for k in (3, 4)][:GRAMS]
+    return code % ODDS_ROWS, (code >> 8) % WORD_ROWS, [zlib.crc32(raw[i : i + k]) % GRAM_ODDS for i in range(len(raw) - 2) for k in (3, 4)]
+
+
+class Grams:
+    """Rows of the grams of words, as many as each has: word k's are flat[first[k]:first[k + 1]]."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.flat, self.first = np.asarray(flat, np.int32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    def take(self, words: np.ndarray) -> Grams:
+        counts = np.diff(self.first)[words]
+        begin = np.repeat(self.first[:-1][words] - (np.cumsum(counts) - counts), counts)
+        return Grams(self.flat[begin + np.arange(len(begin))], counts)
+
+    def of(self) -> np.ndarray:
+        """The word that each gram belongs to."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """Per word the mean of its grams' vectors, zeros without grams."""
+        of, n = self.of(), len(self.first) - 1
+        rows = self.flat % GRAM_ROWS
+        total = np.stack([np.bincount(of, table[rows, k], n) for k in range(table.shape[1])], 1)
+        return total / np.maximum(np.diff(self.first), 1)[:, None]
+
+
+def ragged(grams: np.ndarray | tuple[Grams, np.ndarray]) -> tuple[Grams, np.ndarray]:
+    """Grams of distinct words and the place of each word of a batch; from rows padded with -1, too."""
+    if isinstance(grams, tuple):
+        return grams
+    there = grams >= 0
+    return Grams(grams[there], there.sum(-1).ravel()), np.arange(there[..., 0].size).reshape(grams.shape[:-1])
 
 
 def starts(n: int) -> list[int]:
@@ -78,10 +108,10 @@ class Network:
             self.p |= {f"W{d}": n(INPUT, 3 * HIDDEN) * 3, f"U{d}": n(HIDDEN, 3 * HIDDEN) * 3, f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": n(2 * HIDDEN, ATTEND) * 3, "a": np.zeros(ATTEND, np.float32), "v": n(ATTEND) * 3, "o": n(2 * HIDDEN) * 3, "q": np.zeros(1, np.float32)}
 
-    def inputs(self, word: np.ndarray, grams: np.ndarray, odds: np.ndarray, seen: np.ndarray | float = 1.0) -> np.ndarray:
-        """Input vectors; grams: rows padded with -1; seen: 0 where a word's vectors are left out."""
-        there = grams >= 0
-        mean = (self.p["grams"][np.maximum(grams, 0) % GRAM_ROWS] * there[..., None]).sum(-2) / np.maximum(there.sum(-1), 1)[..., None]
+    def inputs(self, word: np.ndarray, grams: np.ndarray | tuple[Grams, np.ndarray], odds: np.ndarray, seen: np.ndarray | float = 1.0) -> np.ndarray:
+        """Input vectors; grams: as ``ragged`` takes them; seen: 0 where a word's vectors are left out."""
+        own, at = ragged(grams)
+        mean = own.mean(self.p["grams"])[at]
         return np.concatenate([self.p["words"][word] * seen, mean * seen, odds], -1).astype(np.float32)
 
     def recur(self, gates: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
@@ -151,9 +181,11 @@ class Network:
             dx += dg @ self.p[f"W{d}"].T
         dx[..., : 2 * WIDTH] *= seen
         np.add.at(g["words"], word, dx[..., :WIDTH])
-        there = grams >= 0
-        share = dx[..., WIDTH : 2 * WIDTH] / np.maximum(there.sum(-1), 1)[..., None]
-        np.add.at(g["grams"], grams[there] % GRAM_ROWS, np.broadcast_to(share[..., None, :], (*grams.shape, WIDTH))[there])
+        own, at = ragged(grams)
+        share = np.zeros((len(own.first) - 1, WIDTH), dx.dtype)
+        np.add.at(share, at, dx[..., WIDTH : 2 * WIDTH])
+        share /= np.maximum(np.diff(own.first), 1)[:, None]
+        np.add.at(g["grams"], own.flat % GRAM_ROWS, share[own.of()])
         return loss, g
 
 
@@ -164,9 +196,9 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic, n_other) -> np.ndarr
     return np.clip(seen / (seen + 2) * raw, -4, 4).astype(np.float32)
 
 
-def word_odds(words: np.ndarray, grams: np.ndarray, word_rows: np.ndarray, gram_rows: np.ndarray) -> np.ndarray:
+def word_odds(words: np.ndarray, grams: np.ndarray, word_rows: np.ndarray, own: Grams) -> np.ndarray:
     """Per word its own log-odds and those of its strongest gram."""
-    strongest = np.where(gram_rows >= 0, grams[np.maximum(gram_rows, 0)], -4).max(1)
+    strongest = np.maximum.reduceat(grams[own.flat], own.first[:-1])  # every word has grams
     return np.stack([words[word_rows], strongest], 1).astype(np.float32)
 
 
@@ -199,7 +231,7 @@ class Windows:
 
     def __init__(self, docs: list[list[str]], toxic: np.ndarray):
         place: dict[str, int] = {}
-        packed, words, odds = array("i"), array("i"), array("i")
+        packed, counted, words, odds = array("i"), array("i"), array("i"), array("i")
         self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         ids = np.zeros((len(self.doc), WINDOW), np.int32)
         self.mask = np.zeros((len(self.doc), WINDOW), np.float32)
@@ -211,12 +243,13 @@ class Windows:
                     o, r, grams = word_row(w)
                     odds.append(o)
                     words.append(r)
-                    packed.extend(grams + [-1] * (GRAMS - len(grams)))
+                    packed.extend(grams)
+                    counted.append(len(grams))
             ids[k, : len(found)] = [place[w] for w in found]
             self.mask[k, : len(found)] = 1
         del place
         odds_rows, word_rows = np.array(odds, np.int32), np.array(words, np.int32)
-        gram_rows = np.array(packed, np.int32).reshape(-1, GRAMS)
+        gram_rows = Grams(np.array(packed, np.int32), np.array(counted, np.int64))
         ends = np.cumsum([0, *[len(d) for d in docs]])
         seen = [np.unique(ids[x:y][self.mask[x:y] > 0]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         part = np.arange(len(docs)) % PARTS
@@ -224,8 +257,7 @@ class Windows:
         gram_counts = np.zeros((PARTS, 2, GRAM_ODDS), np.float32)
         for own, y, k in zip(seen, toxic, part, strict=True):
             counts[k, int(y), np.unique(odds_rows[own])] += 1
-            grams = np.unique(gram_rows[own])
-            gram_counts[k, int(y), grams[grams >= 0]] += 1
+            gram_counts[k, int(y), np.unique(gram_rows.take(own).flat)] += 1
         sizes = np.array([[((part == k) & (toxic == y)).sum() for y in (0, 1)] for k in range(PARTS)], float)
         whole, whole_grams, n = counts.sum(0), gram_counts.sum(0), sizes.sum(0)
         self.table = log_odds(whole[1], whole[0], n[1], n[0])
@@ -240,7 +272,8 @@ class Windows:
         self.word, self.ids, self.gram_rows = word_rows[ids], ids, gram_rows
 
     def take(self, at: np.ndarray) -> tuple:
-        return self.word[at], self.gram_rows[self.ids[at]], self.odds[at], self.mask[at]
+        distinct, place = np.unique(self.ids[at], return_inverse=True)
+        return self.word[at], (self.gram_rows.take(distinct), place.reshape(len(at), WINDOW)), self.odds[at], self.mask[at]
 
     def logits(self, net: Network) -> np.ndarray:
         out = []
@@ -319,12 +352,10 @@ class Scorer:
 
     def learn(self, words: list[str]) -> None:
         rows = [word_row(w) for w in words]
-        grams = np.full((len(rows), GRAMS), -1, np.int64)
-        for k, r in enumerate(rows):
-            grams[k, : len(r[2])] = r[2]
+        grams = Grams(np.fromiter((g for r in rows for g in r[2]), np.int32), np.array([len(r[2]) for r in rows]))
         net = self.model.net
         odds = word_odds(self.model.odds, self.model.gram_odds, np.array([r[0] for r in rows]), grams)
-        x = net.inputs(np.array([r[1] for r in rows]), grams, odds)
+        x = net.inputs(np.array([r[1] for r in rows]), (grams, np.arange(len(rows))), odds)
         at = len(self.gates["f"])
         self.place.update(zip(words, range(at, at + len(words)), strict=True))
         self.gates = {d: np.concatenate([self.gates[d], x @ net.p[f"W{d}"] + net.p[f"c{d}"]]) for d in "fb"}

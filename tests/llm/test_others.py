@@ -154,6 +154,18 @@ def test_windows_cover_all_words():
         assert covered == set(range(n))
 
 
+def test_ends_of_long_words_are_read():
+    rng = random.Random(8)
+    docs = [[" ".join([f"w{rng.randrange(200)}" for _ in range(20)] + ["worthlessidiot"] * (k % 2))] for k in range(200)]
+    scorer = toxicity.Scorer(toxicity.fit(docs, [k % 2 for k in range(200)]))
+    front = "w1 w2 w3 perfectlynormalprefixof"
+    clean, glued = scorer.scores([front + "everydaywriting", front + "worthlessidiot"])
+    strongest = [scorer.model.gram_odds[toxicity.word_row(f"perfectlynormalprefixof{end}")[2]].max() for end in ("everydaywriting", "worthlessidiot")]
+    assert glued > clean and strongest[0] < 1 < 3 < strongest[1]
+    row = toxicity.word_row("東" * 40 + "idiot")[2]
+    assert zlib.crc32(b"diot") % toxicity.GRAM_ODDS in row and len(row) == 2 * 125
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(3)
     bad, fine = [f"vile{k}" for k in range(6)], [f"w{k}" for k in range(300)]
