@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,20 +35,56 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only if the cluster names none."""
+    """The folder that driver and executors share; chosen here only where all run on one machine."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else "/tmp/checkpoints"
+    if own.isDefined():
+        return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
+
+
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: a short lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` has written for this application; results made from them must be stored by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What this worker keeps between tasks for the operator that it works for; another operator's is let go first."""
+    if key not in _resident:
+        if any(k[0] != key[0] for k in _resident):
+            _resident.clear()
+            give_back()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 #: Fixed value: a word of the contracts.

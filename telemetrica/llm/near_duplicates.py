@@ -1,15 +1,18 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Each distinct shingle set gets a signature; several trees sort the signatures by their own sequence of
-values. Sets that share ``SHALLOW`` leading values in a tree are neighbours there. Neighbours next to
-each other in a tree's order have the longest common prefix; each set's strongest such pairs are
-confirmed first and joined into components. Then every pair of a region that is still in two
-components becomes a candidate: a region is a shared prefix of ``SHALLOW`` values, however crowded it is, and no
-pair within a region is left out; a pair is looked at in the first tree where it shares one. Candidates
-whose signatures don't rule out the similarity are confirmed on the full sets.
-
-Copies (equal sets) are one class from the start, so their number costs nothing; components are found
-by star contraction in DataFrames; nothing but counts reaches the driver.
+Each distinct shingle set gets a signature of ``VALUES`` values, dealt to ``TREES`` trees without overlap;
+every tree sorts the signatures by its own values. Sets that share ``SHALLOW`` leading values in a tree
+form a region of it. The depth of a region is adapted to what it holds: neighbours in its order, which
+have the longest common prefix, are confirmed first (each set's strongest ones) and joined into
+components; only regions that this leaves divided are searched at the shallow depth, and there every
+pair of sets in two components is looked at, in the first tree where it shares a region. Pairs whose
+signatures don't rule out the similarity are confirmed on the full sets inside the region, and only links
+that join components come out of it, so the rows made are never more than a region's sets.
+
+A divided region is dealt into blocks: the members of all but its largest component meet all members,
+``BLOCK`` rows against ``BLOCK`` rows a group, so a task holds a bounded number of sets of bounded size,
+however crowded the region. Copies (equal sets) are one class from the start, so their number costs
+nothing; components are found by star contraction in DataFrames; nothing but counts reaches the driver.
 
 Defined results: null or wordless texts have 0 shingles and are alone; fewer words than a shingle make
 one shingle of all of them; rows that share an id are one document that has all their sets; a null id
@@ -19,33 +22,34 @@ is alone and kept; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import cut, map_batches, table, texts_of
+from telemetrica.llm.common import cut, map_batches, resident, table, texts_of
 
 WORDS = 5
 #: At least this many hundredths of the union are shared.
 SIMILAR = 80
-#: MinHash values of a set: trees order by the first ones, similarity is estimated from all.
-VALUES, ORDERED = 1024, 256
-TREES = 32
-SHALLOW, DEEP = 4, 8
+#: MinHash values of a set: each is used by one tree, and all estimate the similarity.
+TREES, SHALLOW, DEEP = 32, 4, 8
+VALUES = TREES * DEEP
 STRONGEST = 6
-#: Pairs with a smaller share of equal values aren't confirmed: 4.5 standard deviations below.
-HOPELESS = 0.8 - 4.5 * (0.8 * 0.2 / VALUES) ** 0.5
-PART_BYTES = 1 << 21
-#: Nodes of a region that are compared with one at a time.
-BLOCK = 1 << 14
+#: Pairs with a smaller share of equal values aren't confirmed: 5.5 standard deviations below.
+HOPELESS = 0.8 - 5.5 * (0.8 * 0.2 / VALUES) ** 0.5
+PART_BYTES = 1 << 19
+#: Rows of one side of a block of a divided region, and shingles that its searching side holds.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Shared shingles that are counted at a time.
+COUNTED = 1 << 20
 
 _random = np.random.default_rng(20240601)
 MULTIPLIERS = _random.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _random.integers(0, 1 << 63, VALUES, np.uint64)
-ORDERS = np.stack([_random.permutation(ORDERED)[:DEEP] for _ in range(TREES)])
+ORDERS = _random.permutation(VALUES).reshape(TREES, DEEP)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,17 +57,20 @@ LOWER[65:91] += 32
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    out = []
+    for b in (BASE, INVERSE):
+        factors = np.full(n, b, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors, dtype=np.uint64))
+    return out
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """Powers of the polynomial's base and of its inverse, ``n`` at least."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, INVERSE)):
-            factors = np.full(n, b, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.cumprod(factors, dtype=np.uint64)
-    return _powers
+    """Powers of the polynomial's base and of its inverse, ``n`` at least; those that most parts need are kept."""
+    most = 2 * PART_BYTES
+    return resident(("powers", most), lambda: _powers_of(most)) if n <= most else _powers_of(n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,50 +111,58 @@ def _part_shingles(raws: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, as sorted 64-bit hashes; a part of the texts is in memory at a time."""
+    part, size = [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        if part and size + len(raw) > PART_BYTES:
+            with np.errstate(over="ignore"):
+                found = _part_shingles(part, words)
+            yield from found
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        with np.errstate(over="ignore"):
+            found = _part_shingles(part, words)
+        yield from found
+
+
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The distinct shingles of each text, as sorted 64-bit hashes."""
-    out: list[np.ndarray] = []
-    part, size = [], 0
-    with np.errstate(over="ignore"):
-        for text in texts:
-            raw = text.encode("utf-8", "surrogatepass")
-            if part and size + len(raw) > PART_BYTES:
-                out += _part_shingles(part, words)
-                part, size = [], 0
-            part.append(raw)
-            size += len(raw)
-        return out + (_part_shingles(part, words) if part else [])
-
-
-def min_hashes(found: np.ndarray) -> tuple[bytes, bytes]:
-    """Of a non-empty shingle set: the values to order by, 16 bits each, and all values, 8 bits each."""
+    return list(shingle_sets(texts, words))
+
+
+def min_hashes(found: np.ndarray) -> bytes:
+    """The signature of a non-empty shingle set, 16 bits a value."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), 128):
         least = np.minimum(least, (MULTIPLIERS[:, None] * found[None, k : k + 128] + ADDENDS[:, None]).min(axis=1))
-    least = mixed(least)
-    return (least[:ORDERED] >> np.uint64(48)).astype("<u2").tobytes(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, and (null for empty sets) digest, signature and values of the set."""
+    """Per row: doc_id, n_shingles, and (null for empty sets) digest and signature of the set."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingles(texts_of(batch), words)
-        with np.errstate(over="ignore"):
-            hashes = [min_hashes(s) if len(s) else (None, None) for s in sets]
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
-        columns += [pa.array([h[k] for h in hashes], pa.binary()) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature", "values"])
+        counts, digests, signatures = [], [], []
+        for s in shingle_sets(texts_of(batch), words):
+            counts.append(len(s))
+            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            with np.errstate(over="ignore"):
+                signatures.append(min_hashes(s) if len(s) else None)
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature"])
 
-    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, digest binary, signature binary, values binary")
+    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
     """Rows (tree, near, far, node): the leading values of each node's signature in each tree."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, ORDERED)
+        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
         n = len(values)
         packed = values[:, ORDERS].astype(">u2").reshape(n * TREES, DEEP)
         near, far = packed[:, :SHALLOW].copy().view(">i8").ravel(), packed[:, SHALLOW:].copy().view(">i8").ravel()
@@ -159,12 +174,15 @@ def forest(nodes: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Regions of a tree together, in the tree's order."""
-    return rows.repartition("tree", "near").sortWithinPartitions("tree", "near", "far", "node")
+    """Each tree's rows in its order, in ranges of about equal size: a crowded region is dealt over as many as it fills."""
+    return rows.repartitionByRange("tree", "near", "far", "node").sortWithinPartitions("tree", "near", "far", "node")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """The rows of regions of two nodes or more, with the node before in its region and their common prefix."""
+    """The rows of regions of two nodes or more, with the node before in its region and their common prefix.
+
+    The first and last row of a range are kept, too: their region may go on in another range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.zeros((4, 0), np.int64)  # the last row, whose successor isn't known, and the one before
@@ -182,87 +200,197 @@ def neighbours(rows: DataFrame) -> DataFrame:
         with_next = same[:n] | same[1:]
         # rows up to the last but one before, and the last one only when nothing follows
         chosen = with_next.copy()
+        if known == 0:
+            chosen[0] = True
         chosen[: max(known - 1, 0)] = False
-        if not last:
-            chosen[n - 1] = False
+        chosen[n - 1] = last
         at = np.flatnonzero(chosen)
         if not len(at):
             return
         before = np.where(same[at], rows[3, np.maximum(at - 1, 0)], -1)
         differ = (rows[2, at] ^ rows[2, np.maximum(at - 1, 0)]).view(np.uint64)
         common = SHALLOW + sum((differ >> np.uint64(64 - 16 * k)) == 0 for k in range(1, DEEP - SHALLOW)) + (differ == 0)
-        columns = [pa.array(rows[0, at].astype(np.int32)), *[pa.array(rows[k, at]) for k in (1, 2, 3)]]
+        columns = [pa.array(rows[0, at].astype(np.int32)), *[pa.array(rows[k, at]) for k in (1, 3)]]
         columns += [pa.array(before, mask=~same[at]), pa.array(common.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["tree", "near", "far", "node", "before", "common"])
+        yield pa.RecordBatch.from_arrays(columns, ["tree", "near", "node", "before", "common"])
 
-    return in_order(rows).mapInArrow(run, "tree int, near long, far long, node long, before long, common int")
+    return in_order(rows).mapInArrow(run, "tree int, near long, node long, before long, common int")
 
 
-def leading(nodes: DataFrame) -> DataFrame:
-    """Per node: held, its values followed by its shared prefix in each tree."""
+def divided_blocks(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (tree, near, node) of regions with several labels, dealt into blocks: tree, near, i, j, probed, node, label, other.
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, ORDERED)
-        keys = signatures[:, ORDERS[:, :SHALLOW]].reshape(len(signatures), -1)
-        held = [v + k.tobytes() for v, k in zip(batch.column("values").to_pylist(), keys, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(held, pa.binary())], ["node", "held"])
+    All but the members of a region's largest component (``other``) search, in blocks ``i``; all members
+    are searched, in blocks ``j``. A region of at most ``BLOCK`` rows is one block.
+    """
+    named = classes.select("node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = rows.select("tree", "near", "node").join(named, "node")
+    by_label = marked.groupBy("tree", "near", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    regions = by_label.groupBy("tree", "near").agg(
+        F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")
+    )
+    regions = regions.where("labels > 1").select(
+        "tree",
+        "near",
+        F.col("most.label").alias("main"),
+        F.ceil(F.greatest((F.col("n") - F.col("most.n")) / BLOCK, (F.col("size") - F.col("most.size")) / BLOCK_SHINGLES)).cast("int").alias("ni"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"),
+    )
+    met = marked.join(regions, ["tree", "near"]).withColumn("other", F.col("label") != F.col("main"))
+    i, j = F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("node", "label"), F.col("nj")).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    searching = F.when(F.col("other"), F.transform(up_to(F.col("nj")), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(False).alias("probed"))))
+    searched = F.transform(up_to(F.col("ni")), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(True).alias("probed")))
+    places = F.concat(F.coalesce(searching, F.array().cast("array<struct<i:int,j:int,probed:boolean>>")), searched)
+    return met.select("tree", "near", "node", "label", "other", F.explode(places).alias("at")).select("tree", "near", "at.*", "node", "label", "other")
 
-    return map_batches(nodes.select("node", "signature", "values"), rows, "node long, held binary")
 
+KEY = ("tree", "near", "i", "j")
 
-def region_pairs(nodes: np.ndarray, labels: np.ndarray, tree: int, keys: np.ndarray, values: np.ndarray) -> Iterator[np.ndarray]:
-    """Plausible pairs of nodes with different labels in a region of ``tree``, with their prefixes in all trees (``keys``).
 
-    Every pair that shares no region in an earlier tree is looked at; those whose signatures rule the similarity out are left.
-    """
-    # members of the largest component are met by the others only
-    _, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
-    main = which == np.argmax(sizes)
-    for k in np.flatnonzero(~main):
-        apart = np.flatnonzero((labels != labels[k]) & (main | (np.arange(len(nodes)) > k)))
-        for c in range(0, len(apart), BLOCK):
-            met = apart[c : c + BLOCK]
-            met = met[~(keys[met, :tree] == keys[k, :tree]).any(axis=1)]
-            met = nodes[met[np.count_nonzero(values[met] == values[k], axis=1) >= HOPELESS * VALUES]]
-            if len(met):
-                yield np.stack([np.minimum(met, nodes[k]), np.maximum(met, nodes[k])])
-
-
-def divided_pairs(rows: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of one region whose labels differ; rows: (tree, near, far, node, label, held)."""
+def by_block(rows: DataFrame, kind: Callable[[], Plausible | Linked], schema: str) -> DataFrame:
+    """Each block's rows handed to an object of its own: those that search come first and are held, those searched pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, kept = np.zeros((5, 0), np.int64), np.zeros((0, VALUES + 8 * TREES), np.uint8)
+        now, group = None, kind()
         for batch in batches:
-            new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
-            more = np.frombuffer(b"".join(batch.column("held").to_pylist()), np.uint8).reshape(-1, kept.shape[1])
-            held, kept = np.concatenate([left, new], axis=1), np.concatenate([kept, more])
-            cuts = [0, *(np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1)]
-            yield from emit(held, kept, cuts)
-            left, kept = held[:, cuts[-1] :], kept[cuts[-1] :]
-        yield from emit(left, kept, [0, left.shape[1]])
-
-    def emit(held: np.ndarray, kept: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        size = 0
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if (held[4, a:b] == held[4, a : a + 1]).all():
+            if not batch.num_rows:
                 continue
-            keys = kept[a:b, VALUES:].copy().view(np.int64)
-            for pairs in region_pairs(held[3, a:b], held[4, a:b], int(held[0, a]), keys, kept[a:b, :VALUES]):
-                found.append(pairs)
-                size += pairs.shape[1]
-                if size > 100_000:
-                    yield batch_of(found)
-                    found, size = [], 0
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in KEY])
+            probed = batch.column("probed").to_numpy(zero_copy_only=False)
+            node, label, other = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "other"))
+            columns = (node, label, other, *group.load(batch))
+            starts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (probed[1:] != probed[:-1])) + 1
+            for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                key = tuple(keys[:, a].tolist())
+                if key != now:
+                    yield from group.end()
+                    now, group = key, kind()
+                part = [c[a:b] for c in columns]
+                if not probed[a]:
+                    group.held.append(part)
+                elif group.held:
+                    yield from group.meet(key, part)
+        yield from group.end()
+
+    dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "probed", "node")
+    return dealt.mapInArrow(run, schema)
+
+
+class Plausible:
+    """Which rows of a block have a partner whose signature doesn't rule the similarity out."""
+
+    def __init__(self):
+        self.held: list[list] = []
+        self.hit: np.ndarray | None = None
+
+    @staticmethod
+    def load(batch: pa.RecordBatch) -> tuple:
+        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
+        return values, np.ascontiguousarray(values[:, ORDERS[:, :SHALLOW]]).view(np.int64)[..., 0]
+
+    def meet(self, key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        if self.hit is None:
+            self.held = [np.concatenate(c) for c in zip(*self.held, strict=True)] if len(self.held) > 1 else self.held[0]
+            self.key, self.hit = key, np.zeros(len(self.held[0]), bool)
+        nodes, labels, _, values, keys = self.held
+        there, theirs, other, their_values, their_keys = rows
+        tree = key[0]
+        met = np.zeros(len(there), bool)
+        for k in range(len(nodes)):
+            # two that search each other meet once, and a pair in the first tree where it shares a region
+            at = np.flatnonzero((theirs != labels[k]) & (~other | (there > nodes[k])))
+            if tree:
+                at = at[~(their_keys[at, :tree] == keys[k, :tree]).any(axis=1)]
+            at = at[np.count_nonzero(their_values[at] == values[k], axis=1) >= HOPELESS * VALUES]
+            met[at] = True
+            self.hit[k] |= len(at) > 0
+        if met.any():
+            yield self.batch(there[met], theirs[met], other[met], True)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.hit is not None and self.hit.any():
+            yield self.batch(*[c[self.hit] for c in self.held[:3]], False)
+
+    def batch(self, nodes: np.ndarray, labels: np.ndarray, other: np.ndarray, probed: bool) -> pa.RecordBatch:
+        n = len(nodes)
+        columns = [pa.array(np.full(n, k), t) for k, t in zip(self.key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        columns += [pa.array(np.full(n, probed)), pa.array(nodes), pa.array(labels), pa.array(other)]
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "probed", "node", "label", "other"])
+
+
+PLACE = "tree int, near long, i int, j int, probed boolean, node long, label long, other boolean"
+
+
+class Linked:
+    """Links of a block that join labels: similar enough on the full sets, and not joined by earlier ones."""
+
+    def __init__(self, similar: int):
+        self.similar = similar
+        self.held: list[list] = []
+        self.index: tuple | None = None
+        self.joined: dict[int, int] = {}
+
+    @staticmethod
+    def load(batch: pa.RecordBatch) -> tuple:
+        return ([np.frombuffer(s, "<u8") for s in batch.column("shingles").to_pylist()],)
+
+    def root(self, label: int) -> int:
+        while (up := self.joined.get(label, label)) != label:
+            label = up
+        return label
+
+    def indexed(self) -> tuple:
+        """The held sets, and of each shingle in them whose it is."""
+        sets = [s for h in self.held for s in h[3]]
+        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        distinct, first = np.unique(flat[order], return_index=True)
+        nodes, labels = (np.concatenate([h[k] for h in self.held]) for k in (0, 1))
+        return nodes, labels, sizes, distinct, np.append(first, len(flat)), np.repeat(np.arange(len(sets)), sizes)[order]
+
+    def meet(self, key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        if self.index is None:
+            self.index = self.indexed()
+        nodes, labels, sizes, distinct, first, owner = self.index
+        found = []
+        for node, label, other, one in zip(*rows, strict=True):
+            at = np.searchsorted(distinct, one)
+            at = at[distinct[np.minimum(at, len(distinct) - 1)] == one]
+            counts = first[at + 1] - first[at]
+            ends = np.cumsum(counts)
+            cuts = [0, *np.searchsorted(ends, np.arange(COUNTED, ends[-1], COUNTED)), len(at)] if len(at) else [0, 0]
+            shared = np.zeros(len(nodes), np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                n = counts[a:b]
+                begin = np.repeat(first[at[a:b]] - (np.cumsum(n) - n), n)
+                shared += np.bincount(owner[begin + np.arange(len(begin))], minlength=len(nodes))
+            close = (shared > 0) & (100 * shared >= self.similar * (sizes + len(one) - shared)) & (labels != label)
+            for k in np.flatnonzero(close & ((nodes < node) if other else True)).tolist():
+                x, y = self.root(int(labels[k])), self.root(int(label))
+                if x != y:
+                    self.joined[max(x, y)] = min(x, y)
+                    found.append((int(nodes[k]), int(node)))
         if found:
-            yield batch_of(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
 
-    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def joining_links(blocks: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links (a, b) that join labels inside the blocks of divided regions; at most one less than a block has rows."""
+
+    signed = blocks.join(classes.select("node", "signature"), "node").select(*KEY, "probed", "node", "label", "other", "signature")
+    plausible = cut(by_block(signed, Plausible, PLACE))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), words)], pa.binary())], ["node", "shingles"])
 
-    return in_order(rows.select("tree", "near", "far", "node", "label", "held")).mapInArrow(run, "a long, b long")
+    named = plausible.select("node").distinct().join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    sets = cut(map_batches(named.select("node", "text"), rows, "node long, shingles binary"))
+    full = plausible.join(sets, "node").select(*KEY, "probed", "node", "label", "other", "shingles")
+    return by_block(full, lambda: Linked(similar), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -307,10 +435,9 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketched = cut(sketch(docs, words))
     classes = cut(
-        sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("values").alias("values"))
+        sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size"))
     )
-    nodes = classes.select("node", "signature")
-    rows = cut(neighbours(forest(nodes)))
+    rows = cut(neighbours(forest(classes)))
     texts = docs.where("doc_id is not null")
 
     # the strongest pairs next to each other in some tree
@@ -326,11 +453,7 @@ def cluster(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     labels = cut(components(linked))
 
     # every pair of a region that is still divided
-    marked = rows.select("tree", "near", "far", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    region = Window.partitionBy("tree", "near")
-    mixed_rows = marked.withColumns({"_least": F.min("label").over(region), "_most": F.max("label").over(region)}).where("_least < _most")
-    pairs = divided_pairs(mixed_rows.join(leading(classes), "node")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(pairs), texts, words, similar))
+    more = cut(joining_links(divided_blocks(rows, classes, labels), classes, texts, words, similar))
     ids = same_id.join(sketched.groupBy(F.col("doc_id").alias("b")).agg(F.countDistinct("digest").alias("k")).where("k > 1"), "b").select("a", "b")
     # links found late tie whole components, so only their labels are contracted again
     late = more.unionByName(ids)

@@ -17,14 +17,13 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from telemetrica.llm.bytebpe import ChunkTable, parts_of
-from telemetrica.llm.common import map_batches, table, texts_of
+from telemetrica.llm.common import map_batches, resident, table, texts_of
 
 MARKER = "▁"
 WORD = re.compile(f"(?<=[^{MARKER}])(?={MARKER})")
@@ -166,18 +165,16 @@ class PieceCodec:
         return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in texts]
 
 
-@cache
 def codec(path: str, threads: int = THREADS) -> PieceCodec:
     """This process's codec for ``path``."""
-    return PieceCodec(path, threads)
+    return resident(("pieces", path, threads), lambda: PieceCodec(path, threads))
 
 
-@cache
 def peer(path: str):
     """The sentencepiece library's own processor, for parity."""
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return resident(("pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", threads: int = THREADS, with_ids: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import map_batches, table, texts_of
+from telemetrica.llm.common import map_batches, resident, table, texts_of
 
 SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 48
@@ -397,15 +397,9 @@ class Scorer:
         return [self.model.calibrated(logits[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """This process's scorer of ``model``."""
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return resident((f"toxicity {model.key}",), lambda: Scorer(model))
 
 
 def held_out() -> Column:

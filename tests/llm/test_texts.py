@@ -266,19 +266,50 @@ def test_components_are_those_of_all_pairs(spark):
     assert near_duplicates.cluster(docs_of(spark, [])).count() == 0
 
 
-def test_every_pair_of_a_crowded_region_is_met_once():
-    rng = np.random.default_rng(6)
-    n = 300
-    values = rng.integers(0, 256, (n, near_duplicates.VALUES), np.uint8)
-    values[1] = values[0]
-    values[3] = values[2]
-    keys = rng.integers(0, 1 << 60, (n, near_duplicates.TREES))
-    keys[:, 5] = 7
-    keys[3, 2] = keys[2, 2]
-    labels = np.arange(n)
-    found = {tree: [tuple(p) for pairs in near_duplicates.region_pairs(np.arange(n), labels, tree, keys, values) for p in pairs.T] for tree in (2, 5, 6)}
-    # the pair (2, 3) shares a region of tree 2 already; none is met again in tree 6
-    assert found[5] == [(0, 1)] and (2, 3) in found[2] and found[6] == []
+def test_crowds_are_whole_however_small_the_blocks(spark, monkeypatch):
+    """A crowd at the edge of the similarity, its region dealt into many blocks, against all pairs."""
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(3000)]
+    crowd = [rng.choice(words) for _ in range(200)]
+    texts = ["other text of six words here"]
+    for k in range(500):
+        w = list(crowd)
+        for _ in range(k % 14):
+            w[rng.randrange(200)] = rng.choice(words)
+        texts.append(" ".join(w))
+    wanted = plain_components(plain_sets(texts, 5))
+    assert len(set(wanted)) > 20
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 3000)
+    found = rows_by(near_duplicates.cluster(docs_of(spark, texts)))
+    assert [found[i]["component_id"] for i in range(len(texts))] == wanted
+
+
+def test_every_divided_pair_meets_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    rows = spark.createDataFrame([(t, 5, n) for t in (0, 1) for n in range(40)] + [(0, 6, 50), (0, 6, 51)], "tree int, near long, node long")
+    classes = spark.createDataFrame([(n, 100) for n in range(60)], "node long, size long")
+    labels = spark.createDataFrame([(n, 0) for n in range(22)] + [(50, 7), (51, 7)], "node long, label long")
+    blocks = {}
+    for r in near_duplicates.divided_blocks(rows, classes, labels).collect():
+        blocks.setdefault((r["tree"], r["near"], r["i"], r["j"]), {True: [], False: []})[r["probed"]].append((r["node"], r["label"], r["other"]))
+    assert all(near == 5 for _, near, _, _ in blocks)
+    for tree in (0, 1):
+        met = Counter()
+        for key, sides in blocks.items():
+            if key[0] == tree:
+                met.update((min(a, b), max(a, b)) for a, la, _ in sides[False] for b, lb, other in sides[True] if la != lb and (a < b or not other))
+        assert met == Counter((a, b) for a in range(40) for b in range(a + 1, 40) if b >= 22)
+
+
+def test_ranges_lose_no_region(spark):
+    """Rows at the ends of ranges are kept, so that a region cut by a range's end stays whole."""
+    rng = random.Random(2)
+    rows = [(0, 1, rng.randrange(100), n) for n in range(300)] + [(1, 100 + n, 0, n) for n in range(50)]
+    df = spark.createDataFrame(rows, "tree int, near long, far long, node long")
+    found = near_duplicates.neighbours(df).collect()
+    assert {r["node"] for r in found if r["tree"] == 0} == set(range(300)) and sum(r["tree"] == 0 for r in found) == 300
+    assert sum(r["tree"] == 1 for r in found) <= 2 * spark.sparkContext.defaultParallelism
 
 
 def test_null_and_repeated_ids(spark):
@@ -286,6 +317,10 @@ def test_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, a), (1, a), (1, b), (2, b), (3, "c d e f g")], "doc_id long, text string")
     found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicates.cluster(rows).collect()}
     assert found[(None, 26)] is None and found[(2, 26)] == 1 and found[(3, 1)] == 3
+    long = " ".join(f"v{k}" for k in range(200_000))
+    clash = spark.createDataFrame([(1, long, 0, "x"), (2, long + " end", 1, "y")], "doc_id long, text string, label long, _kept string")
+    assert [r["component_id"] for r in near_duplicates.cluster(clash).collect()] == [1, 1]
+    assert near_duplicates.keep(clash).collect()[0]["_kept"] == "x"
 
 
 # --- packing ---------------------------------------------------------------------------------------
