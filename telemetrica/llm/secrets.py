@@ -1,9 +1,14 @@
 """Secret scanning: patterns by kind, and candidates confirmed by the structure they decode to.
 
-Assignments, access ids and hexadecimal runs are reported as matched. Base64 and hexadecimal
-candidates are decoded besides, and reported as a key only if the bytes parse as one: nested DER
-lengths that fill their parents exactly with the integers or object ids of a key encoding, an OpenSSH
-key's length-prefixed fields, or a signed token whose header is JSON with an algorithm.
+Assignments, access ids and hexadecimal runs are reported as matched. Besides, base64 and hexadecimal
+candidates are decoded and reported only if the bytes parse as a key: nested DER lengths that fill their
+parents exactly with the integers or object ids of a key encoding, an OpenSSH key's length-prefixed
+fields, or a signed token whose header is JSON with an algorithm. A key may begin at any character of a
+run: the outer length in its first bytes says where it has to end, so neither what is glued to it, nor
+line breaks inside, nor the alignment of the run matter. Armoured keys may have headers; encrypted ones
+are confirmed by their outer structure or, where nothing but cipher blocks is left, by header and length.
+Long runs are decoded once more (base64 at its four alignments, hexadecimal at both) and what they hold
+is searched the same way.
 
 Defined results: a null text is an empty one, without spans; overlapping spans of different kinds
 are all reported; repeated rows are scanned row by row; other columns are ignored by the scan and
@@ -32,11 +37,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Kinds in the order of the report; the first three are the base.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "hexkey")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "hexkey", "nested")
+TOKEN = re.compile(r"(?=(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,}))e")
+ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+#: Where base64 and hexadecimal forms of a key can begin: a DER sequence, or OpenSSH's magic.
+BLOB = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-])|b3BlbnNzaC1rZXktdjEA")
+HEX_BLOB = re.compile(r"30(?:8[1-3]|[0-7][0-9a-fA-F])|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100")
+RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9a-fA-F]+")
+WRAP = re.compile(r"(?:\\r)?\\n|[ \t]*[\r\n]+[ \t]*")
+PAD = re.compile("={0,2}")
+NESTED = re.compile(r"[A-Za-z0-9+/_-]{64,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*")
+LEAST_BYTES = 36
 MAGIC = b"openssh-key-v1\x00"
 REDACTED = "[REDACTED]"
 
@@ -92,27 +103,92 @@ def is_der_key(data: bytes) -> bool:
     return inner[0][1] == b"\x01" and tags[1] == 0x04 and len(inner[1][1]) >= 20 and tags[2] in (0xA0, 0xA1)
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """True for an OpenSSH private key: its magic, then length-prefixed names, count and keys."""
-    if not data.startswith(MAGIC):
+def is_encrypted_key(data: bytes) -> bool:
+    """True for an encrypted private key's DER: the cipher, named by an object id, and what it made."""
+    outer = der_fields(data)
+    inner = der_fields(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not inner or [t for t, _ in inner] != [0x30, 0x04]:
         return False
-    at, fields = len(MAGIC), 0
-    while at + 4 <= len(data):
-        if fields == 3:
-            at += 4  # the number of keys has no length
-            fields += 1
-            continue
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        if at > len(data):
-            return False
-        fields += 1
-    return fields >= 6 and at == len(data)
+    named = der_fields(inner[0][1])
+    return bool(named) and named[0][0] == 0x06
+
+
+def openssh_size(data: bytes) -> int | None:
+    """How many of the bytes are an OpenSSH private key: magic, three names, a count, so many keys, and the private part."""
+    if not data.startswith(MAGIC):
+        return None
+    at, left = len(MAGIC), 3
+    counted = False
+    while left:
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        left -= 1
+        if not left and not counted:
+            if at + 4 > len(data):
+                return None
+            counted, left = True, int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+    return at if at <= len(data) else None
 
 
 def is_key(data: bytes | None) -> bool:
     """True if the bytes parse whole as a private key."""
-    return bool(data) and (is_der_key(data) or is_openssh_key(data))
+    return bool(data) and (is_der_key(data) or is_encrypted_key(data) or openssh_size(data) == len(data))
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with ``head``, if a key can begin so."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 3 or head[1] == 0x80:
+        return None
+    size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+    return size if size >= LEAST_BYTES and head[2 + k] in (0x02, 0x30) else None
+
+
+def gathered(text: str, at: int, count: int, run: re.Pattern) -> tuple[str, int]:
+    """Up to ``count`` characters of ``run`` from ``at`` on, line breaks left out, and where they end."""
+    parts, end = [], at
+    while count and (m := run.match(text, at, at + count)):
+        parts.append(m[0])
+        count -= len(m[0])
+        end = m.end()
+        wrap = WRAP.match(text, end) if count else None
+        if not wrap:
+            break
+        at = wrap.end()
+    return "".join(parts), end
+
+
+def key_at(text: str, at: int, base: int) -> int | None:
+    """Where the key ends that begins at ``at`` in base 64 or 16; None if none does."""
+    run, bits = (RUN64, 6) if base == 64 else (RUN16, 4)
+    read = (lambda t: decoded(t)) if base == 64 else (lambda t: bytes.fromhex(t[: len(t) & ~1]))
+    size = der_size(read(gathered(text, at, 16, run)[0]) or b"")
+    if size is None:
+        body, _ = gathered(text, at, len(text), run)
+        size = openssh_size(read(body[: len(body) - (len(body) % 4 == 1)]) or b"") if text.startswith(("b3Bl", "6f70", "6F70"), at) else None
+    if size is None:
+        return None
+    need = (8 * size + bits - 1) // bits
+    body, end = gathered(text, at, need, run)
+    if len(body) < need or not is_key((read(body) or b"")[:size]):
+        return None
+    return PAD.match(text, end).end() if base == 64 else end
+
+
+def is_armoured(label: str, body: str) -> bool:
+    """True if the lines between a key's armour parse as that key."""
+    body = body.replace("\\r", "").replace("\\n", "\n")
+    head, blank, rest = body.partition("\n\n")
+    if not blank or ":" not in head:
+        head, rest = "", body
+    data = decoded(rest)
+    if is_key(data):
+        return True
+    return "ENCRYPTED" in head and "DEK-Info" in head and data is not None and len(data) >= LEAST_BYTES and len(data) % 8 == 0
 
 
 def is_signed_token(header: str, body: str) -> bool:
@@ -137,20 +213,47 @@ def base_spans(text: str) -> list[Span]:
     return ordered(out)
 
 
-def confirmed_spans(text: str) -> list[Span]:
-    """Signed tokens and keys whose decoded structure parses."""
-    out = []
+def confirmed_spans(text: str, deeper: bool = True) -> list[Span]:
+    """Signed tokens and keys whose decoded structure parses; with ``deeper`` also long runs that decode to a text with some."""
+    out: list[Span] = []
     if "." in text:
-        out += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+        at = 0
+        for m in TOKEN.finditer(text):
+            if m.start() >= at and is_signed_token(m[1], m[2]):
+                at = m.end(3)
+                out.append(("jwt", m.start(), at))
     if "-----BEGIN " in text:
-        out += [("pem", *m.span()) for m in ARMOR.finditer(text) if is_key(decoded(m[2]))]
-    out += [("key", *m.span()) for m in BLOB.finditer(text) if is_key(decoded(m[0]))]
-    for m in HEX_BLOB.finditer(text):
-        if is_key(bytes.fromhex(m[0])):
-            out.append(("hexkey", *m.span()))
+        at = 0
+        for m in ARMOR.finditer(text):
+            mark = f"-----END {m[1]}-----"
+            end = text.find(mark, m.end()) if m.start() >= at else -1
+            if end >= 0 and is_armoured(m[1], text[m.end() : end]):
+                at = end + len(mark)
+                out.append(("pem", m.start(), at))
+    armoured = list(out)
+    for kind, pattern, base in (("key", BLOB, 64), ("hexkey", HEX_BLOB, 16)):
+        at = 0
+        for m in pattern.finditer(text):
+            if m.start() >= at and (end := key_at(text, m.start(), base)) and not any(a <= m.start() < b for _, a, b in armoured):
+                at = end
+                out.append((kind, m.start(), end))
+    if deeper:
+        taken = [(a, b) for _, a, b in out]
+        for m in NESTED.finditer(text):
+            if not any(a < m.end() and m.start() < b for a, b in taken) and holds_secret(m[0]):
+                out.append(("nested", *m.span()))
     return ordered(out)
 
 
+def holds_secret(run: str) -> bool:
+    """True if a run decodes, at some alignment, to a text with a confirmed secret."""
+    plain = re.sub(r"\s+", "", run)
+    bodies = [decoded(plain[k : k + (len(plain) - k) // 4 * 4]) for k in range(4)]
+    if RUN16.fullmatch(plain):
+        bodies += [bytes.fromhex(plain[k : k + (len(plain) - k) // 2 * 2]) for k in range(2)]
+    return any(confirmed_spans(b.decode("latin-1"), False) for b in bodies if b)
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     """By start, then by kind as listed."""
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
