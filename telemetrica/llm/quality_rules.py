@@ -1,11 +1,14 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
 Each document's statistics are transformed into a vector; every language and source gets a mean and
-covariance by minimum covariance determinant, from all of its documents: a start from medians and
-quartiles, then concentration steps, each of which keeps the nearest share of the documents and takes
-mean and covariance anew. Documents whose Mahalanobis distance is beyond the chi-square cut are
-rejected. A step is one aggregation over binned distances, so no group is ever gathered: the rows that
-move are a bounded number of sums per group, task and bin.
+covariance by minimum covariance determinant, from all of its documents. Three starts (medians and
+quartiles; the same with the correlations of squashed values; plain mean and covariance) take
+concentration steps, each of which keeps the nearest share of the documents and takes mean and covariance
+anew, until no determinant falls any more (``MAX_STEPS`` at most); of the three ends the one with the least
+determinant is the group's estimate. Documents whose Mahalanobis distance is beyond the chi-square cut
+are rejected. A step is one aggregation over binned distances, so no group is ever gathered: the rows
+that move are a bounded number of sums per group, task and bin; the bin in which the share ends counts
+by the part of it that is needed.
 
 Groups under ``MIN_GROUP`` documents are pooled by language, then with each other; those still under it
 are judged by the estimate from all documents that pass the base. Variances have a floor, so that features which are almost always zero don't
@@ -19,6 +22,7 @@ empty result; columns other than those named are ignored by ``assess`` and kept
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -37,7 +41,9 @@ FEATURES = ("symbols", "capitals", "marks", "bare", "echoes", "repeats", "lines"
 FLOOR = (0.06, 0.08, 0.06, 0.06, 0.10, 0.15, 0.25)
 D = len(FEATURES)
 SHARE = 0.7
-STEPS = 4
+MAX_STEPS = 12
+#: Steps end when no group's determinant changes by more than this share.
+SETTLED = 1e-3
 MIN_GROUP = 200
 #: Probability that a regular document lies within the cut.
 WITHIN = 1 - 1e-6
@@ -130,23 +136,46 @@ CUT = chi_square_quantile(WITHIN, D)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
+FIT = "g string, start int, m array<double>, p array<double>, d double"
+
+
+def fit_of(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
+    """Mean, inverse covariance as a list and logarithm of the determinant, with the least deviations added."""
+    cov = cov + np.diag(np.square(FLOOR))
+    inverse = np.linalg.inv(cov)
+    return mean.tolist(), [float(inverse[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
+
+
+def spread_of(n: float, sums: list[float], products: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from count, sums and sums of products."""
+    mean, cov = np.array(sums) / n, np.zeros((D, D))
+    for (i, j), v in zip(PAIRS, products, strict=True):
+        cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
+    return mean, cov
+
+
+def sums_of(x: Callable[[int], Column], weight: Column | None = None) -> list[Column]:
+    """Aggregates s (sums) and q (sums of products) of the components that ``x`` names."""
+    w = (lambda c: c) if weight is None else (lambda c: c * weight)
+    return [F.array(*[F.sum(w(x(i))) for i in range(D)]).alias("s"), F.array(*[F.sum(w(x(i) * x(j))) for i, j in PAIRS]).alias("q")]
+
+
 def precision(moments: DataFrame) -> DataFrame:
-    """(g, n, s, q): count, sums and sums of products per group, as (g, m, p): mean and inverse covariance."""
+    """(g, start, n, s, q): count, sums and sums of products, as ``FIT``."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        means, inverses = [], []
-        for n, s, q in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist(), batch.column("q").to_pylist(), strict=True):
-            mean = np.array(s) / n
-            cov = np.zeros((D, D))
-            for (i, j), v in zip(PAIRS, q, strict=True):
-                cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-            cov = CONSISTENT * cov + np.diag(np.square(FLOOR))
-            inverse = np.linalg.inv(cov)
-            means.append(mean.tolist())
-            inverses.append([float(inverse[i, j]) for i, j in PAIRS])
-        return pa.RecordBatch.from_arrays([batch.column("g"), pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["g", "m", "p"])
+        fits = []
+        for n, s, q in zip(*[batch.column(c).to_pylist() for c in "nsq"], strict=True):
+            mean, cov = spread_of(n, s, q)
+            fits.append(fit_of(mean, CONSISTENT * cov))
+        return as_fits(batch.column("g"), batch.column("start"), fits)
 
-    return map_batches(moments, rows, "g string, m array<double>, p array<double>")
+    return map_batches(moments, rows, FIT)
+
+
+def as_fits(groups: pa.Array, starts: pa.Array, fits: list[tuple]) -> pa.RecordBatch:
+    columns = [groups, starts.cast(pa.int32()), *[pa.array([f[k] for f in fits], pa.list_(pa.float64())) for k in (0, 1)], pa.array([f[2] for f in fits], pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["g", "start", "m", "p", "d"])
 
 
 def distance() -> Column:
@@ -155,30 +184,56 @@ def distance() -> Column:
     return sum(((1 if i == j else 2) * F.col("p")[k] * off[i] * off[j] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def estimates(rows: DataFrame, few: bool) -> DataFrame:
-    """Mean and inverse covariance (g, m, p) per group of ``rows`` (g, x); ``few``: their number is bounded."""
-    small = F.broadcast if few else (lambda df: df)
+def beginnings(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The starts of each group of ``rows`` (g, x), as ``FIT``."""
     quartiles = rows.groupBy("g").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"_{i}") for i in range(D)])
     spread = [F.greatest((F.col(f"_{i}")[2] - F.col(f"_{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(D)]
-    fit = quartiles.select(
-        "g",
-        F.array(*[F.col(f"_{i}")[1] for i in range(D)]).alias("m"),
-        F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("p"),
-    )
-    for _ in range(STEPS):
-        binned = rows.join(small(fit), "g").withColumn("b", F.floor(BINS_PER_DOUBLING * F.log2(distance() + F.lit(1e-3))))
-        sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(D)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in PAIRS]
-        by_bin = binned.groupBy("g", "b").agg(F.count("*").alias("n"), *sums)
-        whole, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        near = by_bin.withColumn("_all", F.sum("n").over(whole)).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        near = near.where(F.col("_before") < SHARE * F.col("_all"))
-        moments = near.groupBy("g").agg(
-            F.sum("n").alias("n"),
-            F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s"),
-            F.array(*[F.sum(f"q{i}_{j}") for i, j in PAIRS]).alias("q"),
-        )
-        fit = precision(moments)
-    return fit
+    middle = cut(quartiles.select("g", F.array(*[F.col(f"_{i}")[1] for i in range(D)]).alias("mid"), F.array(*spread).alias("spread")))
+    squashed = F.array(*[F.tanh((F.col("x")[i] - F.col("mid")[i]) / F.col("spread")[i]) for i in range(D)])
+    with_both = rows.join(small(middle), "g").select("g", "mid", "spread", "x", squashed.alias("z"))
+    of_x, of_z = sums_of(lambda i: F.col("x")[i]), sums_of(lambda i: F.col("z")[i])
+    moments = with_both.groupBy("g").agg(F.count("*").alias("n"), *of_x, of_z[0].alias("zs"), of_z[1].alias("zq"), F.first("mid").alias("mid"), F.first("spread").alias("spread"))
+
+    def starts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fits = []
+        for n, s, q, zs, zq, mid, spread in zip(*[batch.column(c).to_pylist() for c in ("n", "s", "q", "zs", "zq", "mid", "spread")], strict=True):
+            wide = np.square(spread) - np.square(FLOOR)
+            _, cov = spread_of(n, zs, zq)
+            scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            turned = cov / scale[:, None] / scale[None, :] * np.sqrt(wide)[:, None] * np.sqrt(wide)[None, :]
+            np.fill_diagonal(turned, wide)
+            fits += [fit_of(np.array(mid), np.diag(wide)), fit_of(np.array(mid), turned), fit_of(*spread_of(n, s, q))]
+        k = batch.num_rows
+        return as_fits(batch.column("g").take(pa.array(np.repeat(np.arange(k), 3))), pa.array(np.tile([0, 1, 2], k)), fits)
+
+    return map_batches(moments.select("g", "n", "s", "q", "zs", "zq", "mid", "spread"), starts, FIT)
+
+
+def concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """One step from each fit (g, start, m, p): mean and covariance of the nearest ``SHARE`` of the group, as ``FIT``."""
+    binned = rows.join(fit.drop("d"), "g").withColumn("b", F.floor(BINS_PER_DOUBLING * F.log2(distance() + F.lit(1e-3))))
+    by_bin = binned.groupBy("g", "start", "b").agg(F.count("*").alias("n"), *sums_of(lambda i: F.col("x")[i]))
+    whole = Window.partitionBy("g", "start")
+    before = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    near = by_bin.withColumn("_all", F.sum("n").over(whole)).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    part = F.least(F.lit(1.0), (SHARE * F.col("_all") - F.col("_before")) / F.col("n"))
+    near = near.withColumn("_part", part).where("_part > 0")
+    sums = F.array(*[F.sum(F.col("s")[i] * F.col("_part")) for i in range(D)]).alias("s")
+    products = F.array(*[F.sum(F.col("q")[k] * F.col("_part")) for k in range(len(PAIRS))]).alias("q")
+    return precision(near.groupBy("g", "start").agg(F.sum(F.col("n") * F.col("_part")).alias("n"), sums, products).select("g", "start", "n", "s", "q"))
+
+
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """Mean and inverse covariance (g, m, p), with the logarithm d of the determinant, per group of ``rows`` (g, x); ``few``: their number is bounded."""
+    small = F.broadcast if few else (lambda df: df)
+    fit = cut(beginnings(rows, small))
+    for step in range(MAX_STEPS):
+        new = cut(concentrated(rows, small(fit)))
+        moved = new.join(fit.select("g", "start", F.col("d").alias("_d")), ["g", "start"]).agg(F.max(F.abs(F.col("d") - F.col("_d")))).first()[0]
+        fit = new
+        if step and (moved is None or moved < SETTLED):
+            break
+    return fit.groupBy("g").agg(F.min_by(F.struct("m", "p", "d"), F.struct("d", "start")).alias("f")).select("g", "f.*")
 
 
 def grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
@@ -206,7 +261,7 @@ def assess(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = passed.select("g", "x")
     if passed.where(F.col("g") == ALL).limit(1).count():
         rows = rows.where(F.col("g") != ALL).unionByName(passed.select(F.lit(ALL).alias("g"), "x"))
-    fit = estimates(rows, few)
+    fit = estimates(rows, few).drop("d")
     judged = stats.join(F.broadcast(fit) if few else fit, "g", "left").withColumn("distance", distance())
     verdict = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
     return judged.select(id_column, *COUNTS, "base_failed", verdict.alias("kept"), "distance")
