@@ -4,20 +4,23 @@ A vector is approximated by the sum of one full-dimensional word from each codeb
 fitted on a bounded sample (residual k-means, then least squares over beam-searched codes); every
 vector is encoded by beam search and stored as codes with the norm of its approximation. A query is
 scored against blocks of codes by looking up its products with all code words; the best
-``SHORTLIST`` are ranked again on the original vectors, in double precision.
+``SHORTLIST`` are ranked again on the original vectors, in double precision. Codes are dealt to blocks by
+hash, so a block holds about its share of a query's best; a block's list is that share and six standard
+deviations more, which bounds what is shuffled to little more than ``SHORTLIST`` rows a query.
 
 Equal vectors are one class: a class is encoded once and answers with its smallest ids, so any number
 of copies is searched exactly and at the price of one.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without
-id, take no part; nor do vectors whose length isn't the most common one. Repeated rows count once. Ties
-go to the smaller id. With fewer candidates than ``k`` all are returned; an empty table or no query
+id, take no part. Vectors of different lengths aren't compared: each length is searched by itself.
+Repeated rows count once, and an id with several vectors takes part with each. Ties go to the smaller id. With fewer candidates than ``k`` all are returned; an empty table or no query
 gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,9 @@ SAMPLE = 16384
 ROUNDS, REFINEMENTS = 6, 2
 WEIGHT = 0.3
 SHORTLIST = 1024
-BLOCK_CODES, BLOCK_QUERIES = 65536, 512
+BLOCK_CODES, BLOCK_QUERIES = 1 << 18, 512
+#: Vectors that a task encodes.
+TASK_VECTORS = 1 << 16
 K = 10
 
 
@@ -122,9 +127,7 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -133,33 +136,52 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def packed_codes(classes: DataFrame, books: Codebooks) -> DataFrame:
-    """Blocks (block, ids, codes, norms) of encoded classes, each of ``BLOCK_CODES`` at most."""
+def coded(classes: DataFrame, books: Codebooks) -> DataFrame:
+    """(id, code, norm) of each class; a narrow stage."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes, norms = books.encode(matrix(batch.column("v")))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], ["id", "code", "norm"])
+
+    return map_batches(classes.select("id", "v"), rows, "id long, code binary, norm float")
+
+
+def packed_codes(codes: DataFrame, blocks: int) -> DataFrame:
+    """(block, ids, codes, norms): the rows of ``coded``, dealt to ``blocks`` blocks by the hash of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            codes, norms = books.encode(matrix(batch.column("v")))
-            ids, block = batch.column("id").to_numpy(), batch.column("block").to_numpy()
+            block = batch.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and (held[0][0] != block[a] or sum(len(h[1]) for h in held) + b - a > 2 * BLOCK_CODES):
-                    yield packed(held)
+                if a == b:
+                    continue
+                if held and now != block[a]:
+                    yield packed(now, held)
                     held = []
-                held.append((int(block[a]), ids[a:b], codes[a:b], norms[a:b]))
+                now = int(block[a])
+                held.append(batch.slice(a, b - a))
         if held:
-            yield packed(held)
+            yield packed(now, held)
 
-    def packed(held: list) -> pa.RecordBatch:
-        ids, codes, norms = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-        columns = [pa.array([held[0][0]], pa.int64())]
-        columns += [pa.array([x.tobytes()], pa.binary()) for x in (ids.astype("<i8"), codes, norms.astype("<f4"))]
-        return pa.RecordBatch.from_arrays(columns, ["block", "ids", "codes", "norms"])
+    def packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        of = pa.Table.from_batches(held)
+        ids, norms = of.column("id").to_numpy(), of.column("norm").to_numpy()
+        columns = [ids.astype("<i8").tobytes(), b"".join(of.column("code").to_pylist()), norms.astype("<f4").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], ["block", "ids", "codes", "norms"])
 
-    dealt = classes.repartition("block").sortWithinPartitions("block")
+    dealt = codes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "block long, ids binary, codes binary, norms binary")
 
 
+def block_list(shortlist: int, blocks: int) -> int:
+    """How many of a query's best a block reports, so that of the best ``shortlist`` none is missed but with a chance of 1 in 10^9."""
+    share = shortlist / blocks
+    return min(shortlist, int(share + 6 * share**0.5 + 16))
+
+
 def packed_queries(queries: DataFrame) -> DataFrame:
     """Blocks (ids, vectors) of queries, each of ``BLOCK_QUERIES`` at most."""
 
@@ -205,24 +227,42 @@ def distances(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs, rows, "query_id long, class_id long, score double")
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, is_query, k: int = K, shortlist: int = SHORTLIST) -> DataFrame:
     """The ``k`` nearest found for each row that ``is_query`` (a condition on id) takes, itself excepted:
     query_id, rank, vec_id, score.
     """
     rows = usable(vectors)
+    lengths = [r[0] for r in rows.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect()]  # a number a length
+    found = [_search(rows.where(F.size("v") == d) if len(lengths) > 1 else rows, is_query, k, shortlist) for d in lengths]
+    found = [f for f in found if f is not None]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], RESULT)
+
+
+def _search(rows: DataFrame, is_query, k: int, shortlist: int) -> DataFrame | None:
+    """``search`` among vectors (id, v) of one length; None without queries."""
+    spark = rows.sparkSession
     keyed = rows.withColumn("digest", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)).distinct()
     smallest = Window.partitionBy("digest").orderBy("id")
     members = cut(keyed.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1))
     classes = members.where("n = 1").select("id", "v", "digest")
     queries = cut(keyed.where(is_query).select("id", "v"))
+    if not queries.limit(1).count():
+        return None
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.transform("v", lambda x: x.cast("float")).alias("v")).toArrow()
-    if not chosen.num_rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = Codebooks.fitted(matrix(chosen.column("v").combine_chunks()))
-    blocks = max(1, -(-classes.count() // BLOCK_CODES))
-    coded = cut(packed_codes(classes.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")), books))
-    against = packed_queries(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    found = shortlists(coded.join(against, "block"), books, shortlist)
+    del chosen
+    many = classes.count()
+    blocks, tasks = max(1, -(-many // BLOCK_CODES)), max(spark.sparkContext.defaultParallelism, -(-many // TASK_VECTORS))
+    codes = cut(packed_codes(coded(classes.select("id", "v").repartition(tasks), books), blocks))
+    # where blocks are fewer than tasks can be, each meets the queries in several parts
+    parts = -(-spark.sparkContext.defaultParallelism // blocks)
+    dealt = codes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    against = packed_queries(queries.repartition(tasks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    against = against.withColumn("part", F.pmod(F.xxhash64("qids"), F.lit(parts)))
+    found = shortlists(dealt.join(against, ["block", "part"]), books, block_list(shortlist, blocks))
     best = Window.partitionBy("query_id").orderBy("approx", "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= shortlist).select("query_id", "id")
     exact = distances(found.join(classes.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "q", "id", "v"))
