@@ -5,8 +5,9 @@ four-grams, and the smoothed log-odds of the word and of its strongest gram betw
 training documents (counted in training without the document's own fifth of the sample). Two gated recurrent layers read each window in both directions, attention pools their
 states, and a document's score is calibrated from the logits of all its overlapping windows.
 
-The network is fitted on the driver on a bounded sample of labelled documents: at most
-``SAMPLE_DOCS`` of each class, of each at most ``SAMPLE_WINDOWS`` windows spread over the whole text.
+The network is fitted on the driver on a bounded sample of labelled documents: at most ``SAMPLE_DOCS`` of
+each class, in the order of a hash of their ids, as long as they have ``SAMPLE_WINDOWS`` windows together
+(one that doesn't fit is passed over). A sampled document enters with all its windows.
 Scoring reads every window of every text; memory is bounded by ``WINDOW_BATCH`` windows.
 
 Defined results: null, empty and wordless texts have no windows and get the lowest calibrated score;
@@ -25,13 +26,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import map_batches, resident, table, texts_of
+from telemetrica.llm.common import cut, map_batches, resident, table, texts_of
 
-SAMPLE_DOCS = 1500
-SAMPLE_WINDOWS = 48
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 60_000
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, GRAM_ODDS = 2048, 2048, 1 << 18, 1 << 16
 WIDTH, HIDDEN, ATTEND = 6, 8, 8
@@ -420,15 +420,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         windows = []
         for text in texts_of(batch):
             words = tokens(text)
-            at = starts(len(words))
-            if len(at) > SAMPLE_WINDOWS:
-                at = [at[k * len(at) // SAMPLE_WINDOWS] for k in range(SAMPLE_WINDOWS)]
-            windows.append([" ".join(words[a : a + WINDOW]) for a in at])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(windows, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
+            windows.append([" ".join(words[a : a + WINDOW]) for a in starts(len(words))])
+        columns = [batch.column("doc_id"), batch.column("toxic"), pa.array([len(w) for w in windows], pa.int32()), pa.array(windows, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "n", "windows"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_batches(chosen, rows, f"doc_id {kind}, toxic int, windows array<string>").dropDuplicates(["doc_id"]).collect()
-    found = sorted((r for r in found if r["windows"]), key=lambda r: r["doc_id"])
+    cutup = cut(map_batches(chosen, rows, f"doc_id {kind}, toxic int, n int, windows array<string>").where("n > 0"))
+    # of rows that share an id the one with most windows
+    first = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.xxhash64("windows"))
+    one = cutup.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    left, taken = {0: SAMPLE_WINDOWS, 1: SAMPLE_WINDOWS}, []
+    for r in one.select("doc_id", "toxic", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            taken.append((r["doc_id"],))
+    if not taken:
+        return fit([], [], None)
+    ids = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}")
+    found = one.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "windows").collect()
+    found.sort(key=lambda r: r["doc_id"])
     total = sum(sizes.values())
     return fit([r["windows"] for r in found], [r["toxic"] for r in found], sizes.get(1, 0) / total if total else None)
 
