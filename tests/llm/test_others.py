@@ -90,6 +90,53 @@ def test_tree_leaves_out_what_all_pages_share(spark):
     assert all(by[k]["text"] == f"own words {k} {k * k}" for k in range(20)) and len(found) == len(pages)
     assert by[99]["text"] == "Same line\nown" and by[100]["text"] == "" and by[101]["text"] == "alone" and by[101]["n_chars"] == 5
     assert html_extract.main_text(df.limit(0)).count() == 0
+    deep = "<div>" * 20_000 + "core" + "</div>" * 20_000 + "<p>long " + "word " * 100_000
+    clash = spark.createDataFrame([(1, "u", deep, "x", 3)], "page_id long, url string, html string, host string, low int")
+    assert html_extract.main_text(clash).collect()[0]["text"] == "core\nlong " + ("word " * 100_000).strip()
+
+
+def plain_ratings(pages):
+    """A host's ratings from its pages, path by path, without any of the distributed sums."""
+    seen: dict = {}
+    for page in pages:
+        for path, above, within, shown, said in html_extract.variants(page):
+            seen.setdefault(path, []).append((above, within, shown, said))
+
+    def entropy(values):
+        n = len(values)
+        return -sum(values.count(v) / n * np.log(values.count(v) / n) for v in set(values)) / np.log(n) if n > 1 else 1.0
+
+    def importance(path):
+        rows = seen[path]
+        inner = [c for c, r in seen.items() if r[0][0] == path]
+        content = entropy([r[3] for r in rows])
+        if inner:
+            content = max(content, sum(importance(c) * len(seen[c]) for c in inner) / sum(len(seen[c]) for c in inner))
+        own = (1 - html_extract.BELOW) * entropy([r[2] for r in rows]) + html_extract.BELOW * content
+        return (len(rows) * own + html_extract.DOUBT) / (len(rows) + html_extract.DOUBT)
+
+    def most(path):
+        heard = [c for c, r in seen.items() if r[0][0] == path and len(r) >= html_extract.HEARD * len(seen[path])]
+        return max([importance(path), *map(most, heard)])
+
+    low = {p for p in seen if most(p) < html_extract.LEAST_IMPORTANCE}
+    high = {p for p, r in seen.items() if not r[0][1] and importance(p) - html_extract.DOUBT / (len(r) + html_extract.DOUBT) >= html_extract.HIGH_IMPORTANCE}
+    return {p for p in low if seen[p][0][0] not in low}, high
+
+
+def test_tree_against_plain_ratings(spark):
+    rng = random.Random(3)
+    block = lambda k: rng.choice(["<div id=a>Same</div>", f"<div class=b><p>own {k}</p></div>", "<ul><li>x<li>y</ul>", "<section><b>s</b></section>", f"<i>{k % 3}</i>"])
+    pages = []
+    for host, n in (("one.example", 30), ("two.example", 7), ("few.example", 2)):
+        for k in range(n):
+            inner = "".join(block(k) for _ in range(rng.randint(1, 5)))
+            pages.append((f"https://{host}/{k}", f"<body><header>H</header>{inner}<article><p>text {k}</p><div class=t>Team</div></article>{'<div>' * 80}deep{'</div>' * 80}</body>"))
+    df = spark.createDataFrame(pages, "url string, html string")
+    found = {r["host"]: (set(r["low"]), set(r["high"])) for r in html_extract.tree(df).collect()}
+    for host in ("one.example", "two.example", "few.example"):
+        assert found[host] == plain_ratings([h for u, h in pages if host in u]), host
+    assert found["one.example"][0] and not found["few.example"][0]
 
 
 def test_tree_decides_inside_and_beside_articles(spark):
@@ -125,6 +172,27 @@ def test_nearest_against_brute_force(spark):
     assert additive_search.search(df.where("vec_id in (0, 1)"), F.col("id") % 100 == 0).count() == 1
 
 
+def test_short_lists_find_the_nearest_of_many(spark, monkeypatch):
+    """A list of one in forty of the rows, from several blocks, against brute force; lengths are searched apart."""
+    monkeypatch.setattr(additive_search, "BLOCK_CODES", 1000)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 4000)] + 0.5 * rng.normal(size=(4000, 24))).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000 + i, [float(i), 1.0]) for i in range(0, 300, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in additive_search.search(df, F.col("id") % 100 == 0, shortlist=100).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & found[q])
+    assert hit / 400 >= 0.9
+    assert found[5100] == {5000 + i for i in (0, 20, 40, 60, 80, 120, 140, 160, 180, 200)} and len(found) == 40 + 3
+    assert additive_search.block_list(1024, 1) == 1024 and additive_search.block_list(1024, 100) < 50
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 
 
@@ -166,6 +234,27 @@ def test_ends_of_long_words_are_read():
     assert zlib.crc32(b"diot") % toxicity.GRAM_ODDS in row and len(row) == 2 * 125
 
 
+def test_scores_are_those_of_each_window_alone():
+    """Batched scoring of whole texts against every window by itself, with grams padded row by row."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["vile", "fine", "東京", "a", "x" * 40]) + str(rng.randrange(30))
+    docs = [[" ".join(word() for _ in range(rng.randint(1, toxicity.WINDOW))) for _ in range(3)] for _ in range(60)]
+    model = toxicity.fit(docs, [int("vile1 " in " ".join(d)) for d in docs])
+    texts = ["", "!?", *[" ".join(word() for _ in range(n)) for n in (1, 31, 32, 33, 70, 500)]]
+    found = toxicity.Scorer(model).scores(texts)
+    for text, score in zip(texts, found, strict=True):
+        words, logits = toxicity.tokens(text), []
+        for a in toxicity.starts(len(words)):
+            rows = [toxicity.word_row(w) for w in words[a : a + toxicity.WINDOW]]
+            grams = np.full((1, len(rows), max(len(r[2]) for r in rows)), -1)
+            for k, r in enumerate(rows):
+                grams[0, k, : len(r[2])] = r[2]
+            odds = np.array([[[model.odds[r[0]], max(model.gram_odds[g] for g in r[2])] for r in rows]], np.float32)
+            x = model.net.inputs(np.array([[r[1] for r in rows]]), grams, odds)
+            logits.append(model.net.logits({d: x @ model.net.p[f"W{d}"] + model.net.p[f"c{d}"] for d in "fb"}, np.ones((1, len(rows)), np.float32))[0])
+        assert score == pytest.approx(model.calibrated(np.array(logits)), abs=1e-5)
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(3)
     bad, fine = [f"vile{k}" for k in range(6)], [f"w{k}" for k in range(300)]
@@ -188,6 +277,8 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     assert found[400]["score"] == found[401]["score"] and found[400]["predicted"] == 0
     assert toxicity.keep(docs, model).columns == docs.columns
+    again = docs.unionByName(docs.where("doc_id < 40"))
+    assert toxicity.score(again, toxicity.train(again, table)).count() == again.count()
     none = toxicity.train(docs, table.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0

@@ -54,6 +54,7 @@ def test_pieces_have_parity(text):
     codec = sentence_pieces.codec(PIECES)
     ids = codec.encode([text])[0]
     assert np.frombuffer(ids, "<u4").tolist() == sentence_pieces.peer(PIECES).encode(text)
+    assert codec.decode([ids])[0] == codec.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).removeprefix(" ")
     if "▁" not in text:
         assert codec.decode([ids])[0] == text
 
@@ -94,6 +95,7 @@ def test_unigram_models_are_rebuilt(tmp_path):
 def test_piece_rows(spark):
     found = rows_by(sentence_pieces.encode(docs_of(spark, [None, "", "a b", "a b", "x" * 5000]), PIECES))
     assert all(r["parity"] and r["round_trip"] for r in found.values()) and found[0]["n_tokens"] == 0
+    assert sentence_pieces.encode(docs_of(spark, []), PIECES).count() == 0
 
 
 # --- secrets ---------------------------------------------------------------------------------------
@@ -119,6 +121,54 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
     assert secrets.confirmed_spans(token.replace(token[:8], "AAAAAAAA")) == []
 
 
+def openssh():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return secrets.MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"ssh-ed25519" * 4) + field(bytes(range(100)))
+
+
+def plain_keys(text):
+    """Shortest key in base64 at each position, leftmost first, by trying every end."""
+    out, at = [], 0
+    while at < len(text):
+        m = re.compile("[A-Za-z0-9+/_-]*").match(text, at)
+        for end in range(at + 48, m.end() + 1):
+            data = secrets.decoded(text[at:end])
+            # the last character may hold spare bits only
+            if data and secrets.is_key(data) and (len(data) * 8 + 5) // 6 == end - at:
+                while end < len(text) and text[end] == "=":
+                    end += 1
+                out.append(("key", at, end))
+                at = end - 1
+                break
+        at += 1
+    return out
+
+
+def test_keys_at_any_place_of_a_run_against_trying_all():
+    rng = random.Random(11)
+    bodies = [base64.b64encode(x).decode() for x in (RSA, PKCS8, openssh(), RSA[:-1], bytes(range(90)))]
+    glue = ["x", "/", "ab+", " ", "\n", "MII", "Mab", "'", "=", "word. "]
+    for _ in range(60):
+        text = "".join(rng.choice(glue) for _ in range(rng.randint(0, 4))) + rng.choice(bodies) + rng.choice(glue) + rng.choice(bodies).rstrip("=") + rng.choice(["", "Z", " end"])
+        assert [s for s in secrets.confirmed_spans(text, False) if s[0] == "key"] == plain_keys(text), text
+
+
+def test_wrapped_armoured_and_nested_forms():
+    key = base64.b64encode(RSA).decode()
+    lines = "\n".join(key[k : k + 64] for k in range(0, len(key), 64))
+    kinds = lambda t: [k for k, _, _ in secrets.confirmed_spans(t)]
+    assert secrets.confirmed_spans(f"a {lines} b") == [("key", 2, 2 + len(lines))]
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(pem) == ["pem"] and kinds(pem.replace("\n", "\\n")) == ["pem"] and kinds(pem.replace(lines, "A" * 64)) == []
+    locked = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", base64.b64encode(bytes(64)).decode(), "-----END RSA PRIVATE KEY-----"])
+    assert kinds(locked) == ["pem"]
+    assert "nested" in kinds("data: " + base64.b64encode(pem.encode()).decode()) and "nested" in kinds("x" + base64.b64encode(b"k: " + pem.encode()).decode().rstrip("="))
+    assert kinds("f" + RSA.hex()) == ["hexkey"] and kinds(RSA.hex().upper() + "0") == ["hexkey"] and kinds(RSA.hex()[:-2]) == []
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")) + der(4, bytes(64)))
+    assert kinds("k=" + base64.b64encode(sealed).decode()) == ["key"]
+    assert kinds("MIIMIIMII" * 2000 + " e" * 1000 + "ey" * 20_000) == []
+
+
 def test_base_spans_against_plain_scanning():
     rng = random.Random(4)
     bits = ["password", "API_key", "apikey", "Token", " ", ":", "=", '"', "'", "abcdefgh", "short", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "0f", "\n", "ſecret"]
@@ -140,6 +190,9 @@ def test_secret_rows_and_redaction(spark):
     clean = rows_by(secrets.redact(docs_of(spark, texts)))
     assert clean[2]["text"] == '[REDACTED]" and [REDACTED]' and clean[2]["n_chars"] == len(clean[2]["text"])
     assert clean[3]["text"] == "clean text" and clean[0]["text"] is None
+    assert secrets.scan(docs_of(spark, [])).count() == 0 and secrets.redact(docs_of(spark, [])).count() == 0
+    long = "word " * 200_000 + "AKIA" + "B" * 16
+    assert rows_by(secrets.scan(docs_of(spark, [long])))[0]["spans"] == "access:1000000:1000020"
 
 
 # --- quality ---------------------------------------------------------------------------------------
@@ -192,23 +245,37 @@ def test_small_groups_are_judged_by_all_documents(spark):
     assert {i for i, r in rows_by(quality_rules.assess(tiny)).items() if r["kept"]} == set(range(240, 260))
 
 
-def test_estimates_match_plain_concentration(spark):
-    """The distributed steps against the same steps in numpy, on one group."""
+def test_estimates_have_the_least_determinant(spark):
+    """The distributed steps against plain concentration of exact shares from many random starts."""
     rng = np.random.default_rng(3)
-    x = np.abs(rng.normal(0.2, 0.05, (500, quality_rules.D)))
-    x[:60] += 1
+    x = np.abs(rng.normal(0.3, 0.15, (500, quality_rules.D)))
+    x[:, 1] = np.abs(x[:, 0] + rng.normal(0, 0.02, 500))
+    x[:110] += 1
     rows = spark.createDataFrame([("g", [float(v) for v in r]) for r in x], "g string, x array<double>")
     fit = quality_rules.estimates(rows, True).first()
-    low, mid, high = (np.sort(x, axis=0)[int(np.ceil(q * 500)) - 1] for q in (0.25, 0.5, 0.75))
-    mean, inverse = mid, np.diag(1 / np.maximum((high - low) / 1.349, quality_rules.FLOOR) ** 2)
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
-        b = np.floor(quality_rules.BINS_PER_DOUBLING * np.log2(d + 1e-3))
-        before = np.array([(b < v).sum() for v in b])
-        near = x[before < quality_rules.SHARE * 500]
-        mean = near.mean(0)
-        inverse = np.linalg.inv(quality_rules.CONSISTENT * np.cov(near.T, bias=True) + np.diag(np.square(quality_rules.FLOOR)))
-    assert np.allclose(fit["m"], mean, atol=0.01) and np.allclose(fit["p"][0], inverse[0, 0], rtol=0.1)
+    h, best = int(quality_rules.SHARE * 500), None
+    for _ in range(60):
+        near = x[rng.choice(500, quality_rules.D + 1, replace=False)]
+        for _ in range(40):
+            mean, cov = near.mean(0), quality_rules.CONSISTENT * np.cov(near.T, bias=True) + np.diag(np.square(quality_rules.FLOOR))
+            near = x[np.argsort(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:h]]
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov)
+    inverse = np.zeros((quality_rules.D, quality_rules.D))
+    for (i, j), v in zip(quality_rules.PAIRS, fit["p"], strict=True):
+        inverse[i, j] = inverse[j, i] = v
+    far = [np.einsum("ni,ij,nj->n", x - m, p, x - m) > quality_rules.CUT for m, p in ((np.array(fit["m"]), inverse), best[1:])]
+    assert abs(fit["d"] - best[0]) < 0.1 and np.allclose(fit["m"], best[1], atol=0.02) and np.allclose(np.diag(inverse), np.diag(best[2]), rtol=0.15)
+    assert (far[0] == far[1]).all() and far[0][:110].all() and not far[0][110:].any()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b!", "#", "$x", "\n", " ", "\t", "\x0b", "é", "\x85", "||", "A"]), max_size=60).map("".join))
+def test_base_counts_against_plain_ones(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    wanted = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:k] for k, x in enumerate(lines)), plain_repeats(words))
+    assert quality_rules.statistics(text)[:5] == wanted
 
 
 # --- near-duplicates -------------------------------------------------------------------------------
