@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; chosen here only where all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL).rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read again, so that later plans start from the table."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` has written for this application; results made from them must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

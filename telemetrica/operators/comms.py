@@ -8,26 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = (("RTU", "rtu_id"), ("POLL_GROUP", "poll_group_id"), ("COMMS_DOMAIN", "comms_domain_id"))
-#: Warning and critical limits, in the order in which reasons are given.
+#: Columns, the names their reasons have, and warning and critical limits, in the order of the reasons.
 LIMITS = (
-    ("timeout_rate", 0.02, 0.10),
-    ("retry_rate", 0.05, 0.20),
-    ("crc_error_rate", 0.001, 0.01),
-    ("avg_poll_jitter_ms", 250.0, 750.0),
-    ("avg_poll_cycle_ms", 2000.0, 5000.0),
+    ("timeout_rate", "timeout_rate", 0.02, 0.10),
+    ("retry_rate", "retry_rate", 0.05, 0.20),
+    ("crc_error_rate", "crc_error_rate", 0.001, 0.01),
+    ("avg_poll_jitter_ms", "jitter_ms", 250.0, 750.0),
+    ("avg_poll_cycle_ms", "poll_cycle_ms", 2000.0, 5000.0),
 )
+#: Fixed value: the order of node types in budgets and reports.
+BUDGET_ORDER = ("COMMS_DOMAIN", "POLL_GROUP", "RTU")
 
 
 @dataclass(frozen=True)
 class BudgetConfig:
+    """Polling interval, sizes, capacities by type and by node, and limits."""
+
     poll_interval_ms: float = 1000.0
-    bytes_per_signal: float = 18.0
-    overhead_bytes: float = 200.0
-    capacity_bps: dict[str, float] = field(default_factory=lambda: {"RTU": 9600.0, "POLL_GROUP": 9600.0, "COMMS_DOMAIN": 9600.0})
+    bytes_per_signal: int = 18
+    overhead_bytes: int = 200
+    capacity_bps: dict[str, int] = field(default_factory=lambda: {"RTU": 9600, "POLL_GROUP": 9600, "COMMS_DOMAIN": 9600})
+    per_node_capacity_bps: dict[str, int] = field(default_factory=dict)
     degraded: float = 0.70
     critical: float = 0.90
     headroom: float = 0.10
 
+    def __post_init__(self) -> None:
+        if self.poll_interval_ms <= 0:
+            raise ValueError("poll_interval_ms must be positive")
+        if min([*self.capacity_bps.values(), *self.per_node_capacity_bps.values()]) <= 0:
+            raise ValueError("capacities must be positive")
+
 
 def rollup(metrics: DataFrame) -> DataFrame:
     """Per scan and node of each level: samples, rates (counts over samples), averages, byte sums."""
@@ -47,11 +58,12 @@ def rollup(metrics: DataFrame) -> DataFrame:
 
 
 def health(rollups: DataFrame, limits=LIMITS) -> DataFrame:
-    """comms_class (OK, DEGRADED, CRITICAL) and reasons of rollups."""
-    rank = [F.when(F.col(c) >= critical, 2).when(F.col(c) >= warn, 1).otherwise(0) for c, warn, critical in limits]
+    """comms_class (OK, DEGRADED, CRITICAL) and reasons of rollups; unknown averages say nothing."""
+    rank = [F.when(F.col(c) >= critical, 2).when(F.col(c) >= warn, 1).otherwise(0) for c, _, warn, critical in limits]
     worst = F.greatest(*rank)
-    reasons = F.array_compact(F.array(*[F.when(r > 0, F.lit(c)) for r, (c, _, _) in zip(rank, limits, strict=True)]))
-    return rollups.withColumns({"comms_class": F.when(worst == 2, "CRITICAL").when(worst == 1, "DEGRADED").otherwise("OK"), "reasons": F.array_join(reasons, ",")})
+    said = [F.when(r == 2, f"{name}_critical").when(r == 1, f"{name}_degraded") for r, (_, name, _, _) in zip(rank, limits, strict=True)]
+    kind = F.when(worst == 2, "CRITICAL").when(worst == 1, "DEGRADED").otherwise("OK")
+    return rollups.withColumns({"comms_class": kind, "reasons": F.array_join(F.array_compact(F.array(*said)), ",")})
 
 
 def worst_nodes(healths: DataFrame, n: int = 10) -> DataFrame:
@@ -60,16 +72,41 @@ def worst_nodes(healths: DataFrame, n: int = 10) -> DataFrame:
     return healths.where("comms_class <> 'OK'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def budget(rollups: DataFrame, c: BudgetConfig = BudgetConfig(), signals: Column | None = None) -> DataFrame:
-    """Observed bits a second against capacity: utilization, headroom and level; expected bytes inform."""
-    capacity = F.coalesce(*[F.when(F.col("node_type") == t, F.lit(v)) for t, v in c.capacity_bps.items()])
-    observed = F.coalesce(F.col("bytes_tx") + F.col("bytes_rx"), F.lit(0))
-    seconds = F.coalesce("avg_poll_cycle_ms", F.lit(c.poll_interval_ms)) / 1000
-    df = rollups.withColumns({"capacity_bps": capacity, "observed_bytes": observed, "observed_bps": observed * 8 / seconds})
-    df = df.withColumn("expected_bytes", c.overhead_bytes + c.bytes_per_signal * (F.lit(0) if signals is None else signals))
+def budget(rollups: DataFrame, c: BudgetConfig = BudgetConfig(), signals: str | None = None) -> DataFrame:
+    """Observed bits a second over the configured interval against capacity: utilization, headroom, level and reasons.
+
+    ``signals`` names a column with the signals below a node; expected bytes inform only. Without bytes nothing was observed.
+    """
+    of_type = F.coalesce(*[F.when(F.col("node_type") == t, F.lit(v)) for t, v in c.capacity_bps.items()])
+    named = F.create_map(*[F.lit(x) for pair in c.per_node_capacity_bps.items() for x in pair])[F.col("node_id")] if c.per_node_capacity_bps else F.lit(None).cast("int")
+    observed = F.greatest(F.coalesce(F.col("bytes_tx") + F.col("bytes_rx"), F.lit(0)), F.lit(0))
+    below = F.lit(0) if signals is None else F.greatest(F.coalesce(F.col(signals), F.lit(0)), F.lit(0))
+    df = rollups.withColumns({"capacity_bps": F.coalesce(named, of_type), "observed_bytes": observed, "expected_bytes": (c.overhead_bytes + c.bytes_per_signal * below).cast("long")})
+    df = df.withColumn("observed_bps", F.col("observed_bytes") * 8.0 / (c.poll_interval_ms / 1000))
     df = df.withColumn("utilization", F.col("observed_bps") / F.col("capacity_bps"))
     df = df.withColumn("headroom", 1 - F.col("utilization"))
-    return df.withColumn("budget_level", F.when(F.col("utilization") >= c.critical, "CRITICAL").when(F.col("utilization") >= c.degraded, "DEGRADED").otherwise("OK"))
+    level = F.when(F.col("utilization") >= c.critical, "CRITICAL").when(F.col("utilization") >= c.degraded, "DEGRADED").otherwise("OK")
+    df = df.withColumn("budget_level", level)
+    used = F.when(F.col("budget_level") != "OK", F.concat(F.lit("UTILIZATION_"), F.col("budget_level")))
+    return df.withColumn("budget_reasons", F.array_join(F.array_compact(F.array(used, F.when(F.col("headroom") <= c.headroom, "LOW_HEADROOM"))), ","))
+
+
+def budget_of_all(nodes: DataFrame, rollups: DataFrame, c: BudgetConfig = BudgetConfig()) -> DataFrame:
+    """The budget of every node (node_type, node_id, signals) in every scan with rollups, those without traffic too."""
+    scans = rollups.select("scan_index").distinct()
+    # a row a scan and node is the result asked for
+    every = nodes.select("node_type", "node_id", "signals").join(scans)
+    return budget(every.join(rollups, ["scan_index", "node_type", "node_id"], "left"), c, "signals")
+
+
+def budget_summary(budgets: DataFrame, n: int = 10) -> DataFrame:
+    """Per scan the bottleneck (place 1 of all nodes that aren't OK) and the ``n`` fullest nodes of each level."""
+    kind = F.coalesce(*[F.when(F.col("node_type") == t, k) for k, t in enumerate(BUDGET_ORDER)])
+    order = [F.when(F.col("budget_level") == "CRITICAL", 0).otherwise(1), F.desc("utilization"), kind, F.col("node_id")]
+    rows = budgets.where("budget_level <> 'OK'")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("scan_index", "budget_level").orderBy(*order))).where(F.col("place") <= n)
+    first = F.row_number().over(Window.partitionBy("scan_index").orderBy(*order))
+    return rows.withColumn("is_bottleneck", first == 1)
 
 
 def poll_health(polls: DataFrame) -> DataFrame:
@@ -86,7 +123,9 @@ def poll_statistics(polls: DataFrame, key: str, order: str) -> DataFrame:
         {
             "total_polls": total,
             "failed_polls": failed,
+            "successful_polls": total - failed,
             "failure_rate": failed / total,
+            "current_dropout_streak": F.col("dropout_streak"),
             "avg_rtt_ms": F.avg("rtt_ms").over(w),
             "avg_jitter_ms": F.avg("jitter_ms").over(w),
             "max_dropout_streak": F.max("dropout_streak").over(w),

@@ -75,39 +75,82 @@ def status(df: DataFrame, p: IncidentPolicy = IncidentPolicy(), c: SignalConfig
 
 
 def lifecycle(df: DataFrame, key: str, recovered: Column, start: int, end: int, watched: list[str]) -> DataFrame:
-    """event (started, updated, resolved or null), active and start_scan_index per row of ``key``.
+    """event (started, updated, resolved or null), changed, active and start_scan_index per row of ``key``.
 
-    Needs ``degraded``; an update is a degraded row whose ``watched`` columns differ from the last one.
+    Needs ``degraded`` and a ``scan_ord`` that counts scans. An update is a degraded row whose ``watched``
+    columns, those in ``changed``, differ from the incident's. While an incident lasts, and on the row that
+    resolves it, the watched columns hold what its last degraded row said.
     """
     w = by_signal(key)
     df = df.withColumns({"_n": F.row_number().over(w), "_well": ~F.col("degraded") & recovered})
     df = df.withColumns({"_up": run_length_of("degraded", "_n", w) >= start, "_down": run_length_of("_well", "_n", w) >= end})
     df = df.withColumn("active", latch(F.col("_up"), F.col("_down"), w))
-    df = df.withColumn("_was", F.coalesce(F.lag("active").over(w), F.lit(False)))
-    seen = F.struct(*watched)
-    df = df.withColumn("_seen", F.last(F.when(F.col("degraded"), seen), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = F.when(F.col("degraded"), F.struct(*watched))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"_was": F.coalesce(F.lag("active").over(w), F.lit(False)), "_seen": F.last(seen, ignorenulls=True).over(earlier)})
     begun = F.col("active") & ~F.col("_was")
+    moved = F.array_compact(F.array(*[F.when(~F.col(f"_seen.{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in watched]))
     event = F.when(begun, "started").when(~F.col("active") & F.col("_was"), "resolved")
-    event = event.when(F.col("active") & F.col("degraded") & ~F.col("_seen").eqNullSafe(seen), "updated")
-    back = F.lag("scan_ord", start - 1).over(w) if start > 1 else F.col("scan_ord")
-    df = df.withColumns({"event": event, "_start": F.when(begun, back)})
-    df = df.withColumn("start_scan_index", F.last("_start", ignorenulls=True).over(so_far(w)))
-    df = df.withColumn("start_scan_index", F.when(F.col("active") | F.col("_was"), F.col("start_scan_index")))
-    return df.drop("_n", "_well", "_up", "_down", "_was", "_seen", "_start")
+    event = event.when(F.col("active") & F.col("degraded") & (F.size(moved) > 0), "updated")
+    df = df.withColumns({"event": event, "changed": F.when(event == "updated", moved), "_start": F.when(begun, F.col("scan_ord") - (start - 1))})
+    during = F.col("active") | F.col("_was")
+    df = df.withColumn("start_scan_index", F.when(during, F.last("_start", ignorenulls=True).over(so_far(w))))
+    held = {c: F.when(during & ~F.col("degraded"), F.col(f"_seen.{c}")).otherwise(F.col(c)) for c in watched}
+    return df.withColumns(held).drop("_n", "_well", "_up", "_down", "_was", "_seen", "_start")
+
+
+def action_of(cause: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])[cause]
+
+
+def signal_message() -> Column:
+    """What an event of a signal says."""
+    name = F.col("signal_id").cast("string")
+    parts = F.array_join(F.transform("changed", lambda c: F.concat(c, F.lit(" "), F.when(c == "cause", F.col("cause")).otherwise(F.col("severity")))), ", ")
+    started = F.concat(F.lit("Incident started for "), name, F.lit(" due to "), F.col("cause"), F.lit("."))
+    updated = F.concat(F.lit("Incident updated for "), name, F.lit(" with "), parts, F.lit("."))
+    return F.when(F.col("event") == "started", started).when(F.col("event") == "resolved", F.concat(F.lit("Incident resolved for "), name, F.lit("."))).when(F.col("event") == "updated", updated)
+
+
+def group_message() -> Column:
+    """What an event of a group says."""
+    value = lambda c: F.when(c == "cause", F.concat(F.lit("cause "), F.col("cause"))).when(c == "severity", F.concat(F.lit("severity "), F.col("severity"))).otherwise("members")
+    parts = F.array_join(F.transform("changed", value), ", ")
+    plain = F.concat(F.lit("Group incident "), F.col("event"), F.lit(" for "), F.col("group_id"))
+    return F.when(F.col("event") == "updated", F.concat(plain, F.lit(" with "), parts, F.lit("."))).otherwise(F.concat(plain, F.lit(".")))
+
+
+def signal_details(components: tuple[str, ...] = COMPONENTS) -> Column:
+    """The details of a signal's row: component scores (the missing score alone for absent signals), ratios and alerts."""
+    lack = F.greatest(F.least(100 * (1 - F.col("missing_ratio")), F.lit(100.0)), F.lit(0.0))
+    scores = F.create_map(*[x for c in components for x in (F.lit(c), F.col(f"score_{c}"))])
+    there = F.col("sqi").isNotNull()
+    return F.struct(
+        F.when(there, scores).otherwise(F.create_map(F.lit("missing"), lack)).alias("components"),
+        F.col("raw_missing_ratio").alias("missing_ratio"),
+        F.col("missing_ratio").alias("effective_missing_ratio"),
+        *[F.when(there, F.col(c)).alias(c) for c in ("alert_level", "drift_alert", "spike_alert", "quality_class")],
+    )
+
+
+def with_times(df: DataFrame, key: str, time: str) -> DataFrame:
+    """start_timestamp (of the row that confirmed the incident) and end_timestamp of incident rows."""
+    w = by_signal(key)
+    start = F.last(F.when(F.col("event") == "started", F.col(time)), ignorenulls=True).over(so_far(w))
+    return df.withColumns({"start_timestamp": F.when(F.col("start_scan_index").isNotNull(), start), "end_timestamp": F.when(F.col("event") == "resolved", F.col(time))})
 
 
 def signal_incidents(df: DataFrame, p: IncidentPolicy = IncidentPolicy(), run_id: str = "run") -> DataFrame:
     """Every row with its incident state; events are the rows whose ``event`` isn't null."""
     df = lifecycle(df, "signal_id", F.col("recovered"), p.start_persistence, p.end_persistence, ["cause", "severity"])
     held = by_signal(["signal_id", "start_scan_index"])
-    worst = F.min(F.when(F.col("degraded"), F.col("status_sqi"))).over(so_far(held))
-    # the run that starts an incident lies before its first row
-    action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])[F.col("cause")]
+    worst = F.min(F.when(F.col("degraded") & F.col("active"), F.col("status_sqi"))).over(so_far(held))
     return df.withColumns(
         {
             "incident_id": F.when(F.col("start_scan_index").isNotNull(), F.concat_ws(":", F.lit(run_id), F.col("signal_id").cast("string"), F.col("start_scan_index").cast("string"))),
             "min_sqi": F.when(F.col("start_scan_index").isNotNull(), worst),
-            "recommended_action": action,
+            "recommended_action": action_of(F.col("cause")),
+            "message": signal_message(),
         }
     )
 
@@ -151,41 +194,86 @@ def group_incidents(df: DataFrame, p: GroupPolicy = GroupPolicy(), run_id: str =
     """Group rows with their incident state; recovery is any scan in which the group isn't degraded."""
     df = lifecycle(df, "group_id", F.lit(True), p.start_persistence, p.end_persistence, ["cause", "severity", "degraded_signals"])
     name = F.concat_ws(":", F.lit(run_id), F.lit("group"), F.col("group_id"), F.col("start_scan_index").cast("string"))
-    return df.withColumn("group_incident_id", F.when(F.col("start_scan_index").isNotNull(), name))
+    return df.withColumns({"group_incident_id": F.when(F.col("start_scan_index").isNotNull(), name), "message": group_message()})
 
 
-def suppress(events: DataFrame, groups: DataFrame, causes: tuple[str, ...] = ("comms",), kinds: tuple[str, ...] = ("started", "updated")) -> DataFrame:
-    """Signal events with ``suppressed`` (a matching group incident is active) and ``reemit_scan``.
+def group_details(df: DataFrame) -> DataFrame:
+    """Per scan and group: cause_counts and top_causes of its degraded members, as ``cause=n`` lists by name and by count."""
+    per = df.where(F.col("group_id").isNotNull() & F.col("degraded")).groupBy("group_id", "scan_ord", "cause").agg(F.count("*").alias("n"))
+    pairs = F.collect_list(F.struct((-F.col("n")).alias("less"), "cause", "n"))  # one entry a cause
+    said = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat(x["cause"], F.lit("="), x["n"].cast("string"))), ",")
+    got = per.groupBy("group_id", "scan_ord").agg(F.array_sort(pairs).alias("_p"))
+    by_name = F.array_sort(F.transform("_p", lambda x: F.struct(x["cause"].alias("cause"), x["n"].alias("n"))))
+    return got.select("group_id", "scan_ord", said(by_name).alias("cause_counts"), said(F.col("_p")).alias("top_causes"))
 
-    A suppressed event comes back at the scan in which its group's incident resolves.
+
+def active_groups(groups: DataFrame) -> DataFrame:
+    """The incident that each group has after its last scan, if one is active."""
+    last = groups.groupBy("group_id").agg(F.max_by(F.struct("active", "group_incident_id", "cause", "severity", "degraded_signals"), "scan_ord").alias("_l"))
+    return last.select("group_id", "_l.*").where("active").drop("active")
+
+
+def suppress(events: DataFrame, groups: DataFrame, causes: tuple[str, ...] = ("comms",), kinds: tuple[str, ...] = ("started", "updated"), passed: bool = True) -> DataFrame:
+    """Signal events with ``suppressed`` (their group has an active incident of such a cause) and ``reemit_scan``.
+
+    A suppressed event comes back at the scan in which its group's incident resolves. Resolved events pass
+    if ``passed``, whatever ``kinds`` says. Groups are joined once, by group and scan.
     """
-    hot = groups.where("active").where(F.col("cause").isin(*causes)).select("group_id", "scan_ord", F.lit(True).alias("_hot"))
     after = Window.partitionBy("group_id").orderBy("scan_ord").rowsBetween(0, Window.unboundedFollowing)
-    ends = groups.withColumn("reemit_scan", F.first(F.when(F.col("event") == "resolved", F.col("scan_ord")), ignorenulls=True).over(after))
-    joined = events.join(hot, ["group_id", "scan_ord"], "left").join(ends.select("group_id", "scan_ord", "reemit_scan"), ["group_id", "scan_ord"], "left")
+    state = groups.select(
+        "group_id",
+        "scan_ord",
+        (F.col("active") & F.lower("cause").isin(*causes)).alias("_hot"),
+        F.first(F.when(F.col("event") == "resolved", F.col("scan_ord")), ignorenulls=True).over(after).alias("reemit_scan"),
+    )
+    joined = events.join(state, ["group_id", "scan_ord"], "left")
     off = F.coalesce(F.col("_hot"), F.lit(False)) & F.col("event").isin(*kinds)
+    if passed:
+        off = off & (F.col("event") != "resolved")
     return joined.withColumns({"suppressed": off, "reemit_scan": F.when(off, F.col("reemit_scan"))}).drop("_hot")
 
 
 def suppression_counts(events: DataFrame) -> DataFrame:
-    """Per scan: events in, suppressed by kind, passed on."""
+    """Per scan: member events, those suppressed by kind, deferred, and emitted again."""
     n = lambda p: F.sum(F.when(p, 1).otherwise(0))
-    return events.groupBy("scan_ord").agg(
+    off = F.col("suppressed")
+    here = events.groupBy("scan_ord").agg(
         F.count("*").alias("total_events"),
-        n(F.col("suppressed")).alias("suppressed_events"),
-        n(F.col("suppressed") & (F.col("event") == "started")).alias("suppressed_started"),
-        n(F.col("suppressed") & (F.col("event") == "updated")).alias("suppressed_updated"),
-        n(~F.col("suppressed")).alias("passed_events"),
+        n(off).alias("suppressed_events"),
+        *[n(off & (F.col("event") == e)).alias(f"suppressed_{e}") for e in ("started", "updated", "resolved")],
+        n(off).alias("deferred_events"),
     )
+    again = events.where("reemit_scan is not null").groupBy(F.col("reemit_scan").alias("scan_ord")).agg(F.count("*").alias("reemitted_events"))
+    return here.join(again, "scan_ord", "full").fillna(0)
 
 
-def impact(events: DataFrame) -> DataFrame:
-    """Per signal: incidents started and resolved, and durations in scans (mean, median and 95 % by nearest rank)."""
-    ends = events.where(F.col("event").isin("started", "resolved")).groupBy("signal_id", "incident_id").agg(
-        F.max(F.when(F.col("event") == "started", F.col("start_scan_index"))).alias("s"), F.max(F.when(F.col("event") == "resolved", F.col("scan_ord"))).alias("e")
-    )
-    spent = F.col("e") - F.col("s")
-    return ends.groupBy("signal_id").agg(
-        F.count("s").alias("started"), F.count("e").alias("resolved"), F.avg(spent).alias("mean_scans"),
-        F.expr("percentile_disc(0.5) within group (order by e - s)").alias("p50_scans"), F.expr("percentile_disc(0.95) within group (order by e - s)").alias("p95_scans"),
+def impact(events: DataFrame, incident: str = "incident_id", time: str = "timestamp") -> DataFrame:
+    """One row: events by type, incidents still active, and durations from confirmation to resolution (mean, and 50 and 95 % by nearest rank).
+
+    ``events``: (event, ``incident``, ``time``); durations are 0 without resolved incidents.
+    """
+    ends = events.groupBy(incident).agg(
+        F.count(F.when(F.col("event") == "started", 1)).alias("s"),
+        F.count(F.when(F.col("event") == "updated", 1)).alias("u"),
+        F.count(F.when(F.col("event") == "resolved", 1)).alias("r"),
+        F.greatest(F.max(F.when(F.col("event") == "resolved", F.col(time))) - F.min(F.when(F.col("event") == "started", F.col(time))), F.lit(0.0)).alias("spent"),
+    ).withColumn("spent", F.when(F.col("r") > 0, F.coalesce("spent", F.lit(0.0))))
+    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by spent)"), F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return ends.agg(
+        total("s").alias("started"), total("u").alias("updated"), total("r").alias("resolved"), total(F.when((F.col("s") > 0) & (F.col("r") == 0), 1).otherwise(0)).alias("active_end"),
+        F.coalesce(F.avg("spent"), F.lit(0.0)).alias("mean_duration"), rank(0.5).alias("p50"), rank(0.95).alias("p95"),
     )
+
+
+def started_by(events: DataFrame, *columns: str) -> DataFrame:
+    """Started events counted by ``columns``: the histogram of causes, or the leaderboard of groups."""
+    return events.where("event = 'started'").groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def spam_ratio(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: started signal and group incidents and their ratio, 0 without group incidents."""
+    a = events.agg(F.count(F.when(F.col("event") == "started", 1)).alias("signal_started"))
+    b = groups.agg(F.count(F.when(F.col("event") == "started", 1)).alias("group_started"))
+    ratio = F.when(F.col("group_started") > 0, F.col("signal_started") / F.col("group_started")).otherwise(0.0)
+    return a.join(F.broadcast(b)).withColumn("ratio", ratio)

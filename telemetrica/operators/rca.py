@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemetrica.functions.folds import TrackerConfig, confidence_step, ordered_fold, tracker_step
 from telemetrica.functions.windows import by_signal, run_length_of
-from telemetrica.operators.topology import TYPES, closure, siblings
+from telemetrica.operators.topology import TYPES, closure
 
 #: Weights, least affected share and score ceiling.
 WEIGHTS = {"coverage": 0.45, "concentration": 0.25, "coherence": 0.20, "signature": 0.10}
@@ -35,8 +35,10 @@ def observations(rows: DataFrame, classes: tuple[str, ...] = ("POOR", "BAD"), mi
     known = F.upper(F.col("quality_class"))
     known = F.when(known.isin("EXCELLENT", "GOOD", "FAIR", "POOR", "BAD"), known).otherwise("GOOD")
     gone = F.coalesce(F.col("missing_ratio") >= missing_limit, F.lit(False))
-    hit = F.col("event_cause").isNotNull() | known.isin(*classes) | gone
-    cause = F.coalesce("event_cause", "low_cause", F.when(gone, "missing"))
+    poor = known.isin(*classes)
+    hit = F.col("event_cause").isNotNull() | poor | gone
+    # the lowest component speaks for signals of an affected class only
+    cause = F.coalesce("event_cause", F.when(poor, F.coalesce("low_cause", F.lit("unknown"))), F.when(gone, "missing"))
     cause = F.when(F.lower(F.trim(cause)).isin(*CAUSES), F.lower(F.trim(cause))).otherwise("unknown")
     w = by_signal()
     df = rows.withColumns({"quality_class": known, "is_affected": hit, "cause": F.when(hit, cause), "_n": F.row_number().over(w)})
@@ -47,11 +49,16 @@ def observations(rows: DataFrame, classes: tuple[str, ...] = ("POOR", "BAD"), mi
     return df.withColumn("onset_scan", F.when(F.col("is_affected"), onset)).drop("_n", "_run")
 
 
-def evidence(obs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = COHERENCE_SCANS) -> DataFrame:
-    """Per scan and node: totals over all descendants, causes, onsets, coherence, signature, concentration."""
+def descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, signal_id): every node with the signals below it, signals with themselves."""
     signals = nodes.where("type = 'signal'").select("id")
     under = closure(edges).join(signals, F.col("descendant") == F.col("id"), "left_semi").select(F.col("ancestor").alias("node_id"), F.col("descendant").alias("signal_id"))
-    under = under.unionByName(signals.select(F.col("id").alias("node_id"), F.col("id").alias("signal_id")))
+    return under.unionByName(signals.select(F.col("id").alias("node_id"), F.col("id").alias("signal_id")))
+
+
+def evidence(obs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = COHERENCE_SCANS) -> DataFrame:
+    """Per scan and node: totals over all descendants, causes, onsets, coherence, signature, concentration."""
+    under = descendants(nodes, edges)
     totals = under.groupBy("node_id").agg(F.count("*").alias("total"))
     hit = F.col("is_affected")
     count = lambda *names: F.sum(F.when(hit & F.col("cause").isin(*names), 1).otherwise(0))
@@ -73,11 +80,24 @@ def evidence(obs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = COHERE
             "signature": F.when(F.col("affected") > 0, F.col("comms_causes") / F.col("affected")).otherwise(0.0),
         }
     )
-    beside = siblings(nodes, edges).select(F.col("id").alias("node_id"), "sibling")
-    others = got.select(F.col("node_id").alias("sibling"), "scan_ord", F.col("fraction").alias("_f"))
-    best = beside.join(others, "sibling").groupBy("node_id", "scan_ord").agg(F.max("_f").alias("_best"))
-    got = got.join(best, ["node_id", "scan_ord"], "left")
-    return got.withColumn("concentration", F.coalesce(F.col("fraction") - F.col("_best"), F.lit(0.0))).drop("_best")
+    # the best of a node's siblings is the best under its parent, or the second best where the node is that itself
+    under_what = edges.select(F.col("child").alias("node_id"), F.col("parent").alias("_over"))
+    got = got.join(under_what, "node_id", "left").withColumn("_over", F.coalesce("_over", F.concat(F.lit("\x00"), "type")))
+    mine = F.struct(F.col("fraction"), F.col("node_id"))
+    top = got.groupBy("scan_ord", "_over").agg(F.max(mine).alias("_one"))
+    got = got.join(top, ["scan_ord", "_over"])
+    second = got.where(F.col("node_id") != F.col("_one.node_id")).groupBy("scan_ord", "_over").agg(F.max("fraction").alias("_two"))
+    got = got.join(second, ["scan_ord", "_over"], "left")
+    best = F.when(F.col("node_id") == F.col("_one.node_id"), F.col("_two")).otherwise(F.col("_one.fraction"))
+    return got.withColumn("concentration", F.coalesce(F.col("fraction") - best, F.lit(0.0))).drop("_over", "_one", "_two")
+
+
+def representatives(obs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """Per scan and node its affected signals, worst index first, then by onset and id: (scan_ord, node_id, place, signal_id)."""
+    under = descendants(nodes, edges)
+    rows = obs.where("is_affected").join(under, "signal_id")
+    order = Window.partitionBy("scan_ord", "node_id").orderBy(F.coalesce("sqi", F.lit(100.0)), F.coalesce("onset_scan", F.lit(999_999_999)), "signal_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("scan_ord", "node_id", "place", "signal_id")
 
 
 def likeness(obs: DataFrame) -> DataFrame:
@@ -132,25 +152,50 @@ def confidences(cands: DataFrame, required: int = 2, scale: float = 0.2, thresho
         first = F.last("_first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         out = cands.withColumn("_first", start).withColumn("stable_scans", F.col("scan_ord") - first).drop("_first")
         out = out.withColumn("confidence", clamp(0.4 * F.col("score") + 0.3 * clamp(margin / scale) + 0.3 * F.least(F.col("stable_scans") / required, F.lit(1.0))))
-    label = F.when(F.col("confidence") >= 0.9, "very_high").when(F.col("confidence") >= 0.75, "high").when(F.col("confidence") >= 0.5, "medium").when(F.col("confidence") >= 0.25, "low").otherwise("very_low")
+    label = F.when(F.col("confidence") >= 0.9, "VERY_HIGH").when(F.col("confidence") >= 0.75, "HIGH").when(F.col("confidence") >= 0.5, "MODERATE").when(F.col("confidence") >= 0.25, "LOW").otherwise("VERY_LOW")
     return out.withColumn("confidence_label", label)
 
 
-def report(obs: DataFrame, ranked: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """Per scan: overall_state, observed, affected, and the primary candidate."""
+def report(obs: DataFrame, ranked: DataFrame, min_confidence: float = 0.0, secondaries: int = 5) -> DataFrame:
+    """Per scan: overall_state, observed and affected signals, the primary candidate if confident enough, and the next ones.
+
+    ``secondary`` joins the ids ranked behind the primary by commas; ``impacted_*`` those of affected nodes by type.
+    """
     state = obs.groupBy("scan_ord").agg(F.count("*").alias("observed"), F.sum(F.col("is_affected").cast("int")).alias("affected_signals"))
     word = F.when(F.col("affected_signals") == 0, "OK").when(F.col("affected_signals") > 0.5 * F.col("observed"), "OUTAGE").otherwise("DEGRADED")
-    top = ranked.where(F.col("confidence") >= min_confidence).groupBy("scan_ord").agg(F.min_by(F.struct("node_id", "type", "score", "confidence"), "rank").alias("_p"))
-    joined = state.withColumn("overall_state", word).join(top, "scan_ord", "left")
-    return joined.select("scan_ord", "observed", "affected_signals", "overall_state", F.col("_p.node_id").alias("primary_node_id"), F.col("_p.type").alias("primary_type"), F.col("_p.score").alias("primary_score"))
+    later = F.when((F.col("rank") > 1) & (F.col("rank") <= 1 + secondaries), F.struct("rank", "node_id"))
+    top = ranked.groupBy("scan_ord").agg(
+        F.min_by(F.struct("node_id", "type", "score", "confidence"), "rank").alias("_p"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(later)), lambda x: x["node_id"]), ",").alias("secondary"),  # at most ``secondaries``
+    )
+    joined = state.withColumn("overall_state", word).join(top, "scan_ord", "left").withColumn("secondary", F.coalesce("secondary", F.lit("")))
+    sure = F.when(F.col("_p.confidence") >= min_confidence, F.col("_p"))
+    names = {"primary_node_id": "node_id", "primary_type": "type", "primary_score": "score", "primary_confidence": "confidence"}
+    return joined.select("scan_ord", "observed", "affected_signals", "overall_state", *[sure[c].alias(k) for k, c in names.items()], "secondary")
+
+
+def impacted(ev: DataFrame) -> DataFrame:
+    """(scan_ord, type, node_id) of the nodes with affected signals below them."""
+    return ev.where("affected > 0").select("scan_ord", "type", "node_id")
+
+
+def supporting(events: DataFrame, most: int = 30) -> DataFrame:
+    """Per scan the incident events (signal_id, sqi) that support a report: lowest index first, then by id."""
+    order = Window.partitionBy("scan_ord").orderBy(F.coalesce("sqi", F.lit(100.0)), "signal_id")
+    return events.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def track(ranked: DataFrame, scans: DataFrame, c: TrackerConfig = TrackerConfig()) -> DataFrame:
-    """Node incidents by fold; scans without the node close it (``scans``: scan_ord)."""
-    grid = ranked.select("node_id").distinct().join(F.broadcast(scans.select("scan_ord").distinct()))
-    rows = grid.join(ranked.select("node_id", "scan_ord", "score", "confidence"), ["node_id", "scan_ord"], "left")
+def track(ranked: DataFrame, last_scan: DataFrame, c: TrackerConfig = TrackerConfig()) -> DataFrame:
+    """Node incidents by fold. A node that isn't a candidate any more gets one row without score in the scan after
+    its last one in a row, which closes its incident; later ones would change nothing. ``last_scan``: one row, scan_ord.
+    """
+    w = by_signal("node_id")
+    rows = ranked.select("node_id", "scan_ord", "score", "confidence")
+    ends = rows.withColumn("_next", F.lead("scan_ord").over(w)).where(F.coalesce(F.col("_next") != F.col("scan_ord") + 1, F.lit(True)))
+    gaps = ends.join(F.broadcast(last_scan.select(F.col("scan_ord").alias("_last")))).where(F.col("scan_ord") < F.col("_last"))
+    gaps = gaps.select("node_id", (F.col("scan_ord") + 1).alias("scan_ord"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("confidence"))
     outputs = "action string, peak_confidence double, peak_score double, start_scan long"
-    return ordered_fold(rows, "node_id", "scan_ord", ["scan_ord", "score", "confidence"], outputs, lambda: None, tracker_step(c)).where("action <> 'none'")
+    return ordered_fold(rows.unionByName(gaps), "node_id", "scan_ord", ["scan_ord", "score", "confidence"], outputs, lambda: None, tracker_step(c)).where("action <> 'none'")
 
 
 def suppressors(active: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("comms_domain", "poll_group", "rtu"), least: float = 0.5) -> DataFrame:

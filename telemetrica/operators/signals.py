@@ -48,6 +48,7 @@ class SignalConfig:
     sample_interval: float = 0.1
     cadence: int = 1
     innovation: InnovationConfig = field(default_factory=InnovationConfig)
+    innovation_enabled: bool = False
     weights: tuple[float, ...] = (0.25, 0.25, 0.20, 0.15, 0.15, 0.0, 0.0, 0.0)
     noise_threshold: float = 0.1
     drift_threshold: float = 1.0
@@ -111,7 +112,7 @@ def filter_bank(df: DataFrame, filters: dict[str, Column]) -> DataFrame:
 
 def smooth(df: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
     """filtered_ewma and highpass, by fold."""
-    return ordered_fold(df, "signal_id", "scan_ord", ["value"], "filtered_ewma double, highpass double", lambda: None, ewma_step(c.alpha), ["signal_id", "scan_ord", "value"])
+    return ordered_fold(df, "signal_id", "scan_ord", ["value"], "filtered_ewma double, highpass double", lambda: None, ewma_step(c.alpha), df.columns)
 
 
 def buffer_reads(df: DataFrame, n: int) -> DataFrame:
@@ -168,15 +169,6 @@ def drift_statistics(df: DataFrame, window: int = 50) -> DataFrame:
 # --- variance and spikes ---------------------------------------------------------------------------
 
 
-def exact_moments(frame) -> tuple[Column, Column, Column]:
-    """Count, mean and sample variance over a frame from decimal sums, free of rolling-sum error."""
-    x = F.col("value").cast("decimal(18,6)")
-    n = F.count("value").over(frame)
-    s, q = F.sum(x).over(frame).cast("double"), F.sum(x * x).over(frame).cast("double")
-    mean = s / n
-    return n, mean, F.when(n > 1, F.greatest((q - s * mean) / (n - 1), F.lit(0.0))).otherwise(0.0)
-
-
 def variance(df: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
     """mean, variance, std_dev and noise_level over the last samples."""
     frame = last_rows(by_signal(), c.variance_window)
@@ -288,13 +280,13 @@ def stale(df: DataFrame, c: SignalConfig = DEFAULT, time: str = "ts") -> DataFra
 
 def step_change(df: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
     """step_change and step_offset, by fold."""
-    return ordered_fold(df, "signal_id", "scan_ord", ["value"], "step_change boolean, step_offset double", lambda: ((), None, None, 0, 0, False), step_change_step(c.step), ["signal_id", "scan_ord", "value"])
+    return ordered_fold(df, "signal_id", "scan_ord", ["value"], "step_change boolean, step_offset double", lambda: ((), None, None, 0, 0, False), step_change_step(c.step), df.columns)
 
 
 def innovation(df: DataFrame, c: SignalConfig = DEFAULT, time: str = "ts") -> DataFrame:
     """The innovation_* columns, by fold; rows with null values are predicted only."""
     outputs = ", ".join(f"innovation_{x} {'boolean' if x == 'spike' else 'double'}" for x in ("residual", "S", "z", "v_hat", "eta", "spike", "spike_ema", "drift_delta", "drift_ema"))
-    folded = ordered_fold(df, "signal_id", "scan_ord", ["value", time], outputs, lambda: None, innovation_step(c.innovation), ["signal_id", "scan_ord", "value"])
+    folded = ordered_fold(df, "signal_id", "scan_ord", ["value", time], outputs, lambda: None, innovation_step(c.innovation), df.columns)
     return folded.withColumn("noise_excess", F.greatest(F.sqrt(F.greatest("innovation_eta", F.lit(0.0))) - 1, F.lit(0.0)))
 
 
@@ -392,14 +384,33 @@ def quality_changes(df: DataFrame) -> DataFrame:
     return df.withColumn("previous_class", before).where(F.col("previous_class").isNotNull() & (F.col("previous_class") != F.col("quality_class")))
 
 
-def process(df: DataFrame, c: SignalConfig = DEFAULT) -> DataFrame:
-    """The native pipeline of non-missing samples: filters, drift, variance, spikes, stale, plausibility, index."""
-    wanted = c.enabled()
-    df = spikes(variance(drift(moving_average(df, c), c), c), c)
-    if "oscillation" in wanted:
-        df = oscillation(df, c)
-    if "stale" in wanted:
-        df = stale(df, c)
-    if "plausibility" in wanted:
-        df = plausibility(df, c)
-    return quality_index(df, c)
+def process(df: DataFrame, c: SignalConfig = DEFAULT, required: set[str] = frozenset(), filters: bool = False) -> DataFrame:
+    """The pipeline of a signal: every component that has a weight or is required is planned, the others score 100.
+
+    Input: rows (signal_id, scan_ord, ts, value) with all samples, missing ones too, and optionally quality
+    or penalty. Missing ratios and the innovation filter see all rows; detectors, index and result only
+    non-missing ones. With ``filters`` the smoothed columns are added. Where the innovation filter is on, it
+    says what noise, drift and spikes are.
+    """
+    wanted = c.enabled(required)
+    if "penalty" not in df.columns:
+        df = quality_mask(df) if "quality" in df.columns else df.withColumn("penalty", F.when(F.col("value").isNull(), 1.0).otherwise(0.0))
+    if "missing" in wanted:
+        df = missing(df, c)
+    if c.innovation_enabled:
+        df = innovation(df, c)
+    df = moving_average(df.where("value is not null"), c)
+    if filters:
+        df = smooth(df, c)
+    if "step" in wanted:
+        df = step_change(df, c)
+    df = variance(drift(df, c), c)
+    df = df.withColumns({"is_spike": F.col("innovation_spike"), "spike_frequency": F.col("innovation_spike_ema")}) if c.innovation_enabled else spikes(df, c)
+    for name, detector in (("oscillation", oscillation), ("stale", stale), ("plausibility", plausibility)):
+        if name in wanted:
+            df = detector(df, c)
+    if not c.innovation_enabled:
+        return quality_index(df, c)
+    kept = df.withColumns({"_noise": F.col("noise_level"), "_drift": F.col("drift"), "noise_level": F.col("noise_excess"), "drift": F.col("innovation_drift_ema")})
+    out = quality_index(kept, c).withColumns({"noise_level": F.col("_noise"), "drift": F.col("_drift")})
+    return out.withColumn("drift_alert", F.abs("drift") >= c.drift_alert).drop("_noise", "_drift")

@@ -299,6 +299,54 @@ def signal_quality(spark, sf_dir):
     return rounded(index_rows(spark, sf_dir), *KEYS, "score_noise", "score_drift", "score_spikes", "sqi", "quality_class", "sqi_trend", "alert_level", "drift_alert", "spike_alert")
 
 
+#: Every component has weight and limits that the series crosses.
+EVERY = SignalConfig(
+    weights=(0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.2, 0.1), frequencies=(0.5, 1.0, 2.0), frequency_threshold=0.2, value_min=1.0, value_max=150.0, max_rate=50.0, plausibility_persistence=2, plausibility_recovery=3,
+    stale_window=2, stale_recovery=2, missing_window=20,
+)
+
+
+def rough_series(spark, sf_dir):
+    """The series in tens of fifty, which repeat, with times of ten-thousand seconds, which repeat too, and bad and uncertain samples."""
+    df = flat_series(spark, sf_dir)
+    return df.withColumn("ts", F.floor(F.col("ts") / 10_000) * 10_000.0)
+
+
+FULL_STEP = STEP.split("fold AS (")[1].rsplit(") SELECT", 1)[0].replace("FROM m WHERE", "FROM sm WHERE").replace("JOIN m s", "JOIN sm s").replace("s.scan_ord = f.scan_ord + 1", "s.nth = f.nth + 1")
+EVERY_SQL = f"""WITH RECURSIVE {SERIES}, masked AS (SELECT signal_id, scan_ord, floor(ts / 10000) * 10000e0 AS ts, CASE WHEN k <> 0 THEN floor(value / 50) * 50e0 END AS value,
+    avg(CASE WHEN k = 0 THEN 1e0 WHEN k = 1 THEN 0.5e0 ELSE 0 END) {W} ROWS 19 PRECEDING) AS missing_ratio FROM series
+), present AS (SELECT *, row_number() {W}) AS nth FROM masked WHERE value IS NOT NULL
+), sm AS (SELECT *, CASE WHEN count(value) {W} ROWS 9 PRECEDING) = 10 THEN avg(value) {W} ROWS 9 PRECEDING) END AS mean FROM present
+), steps AS ({FULL_STEP.replace("SELECT signal_id, scan_ord, NULL::DOUBLE AS cand", "SELECT signal_id, nth, NULL::DOUBLE AS cand").replace("SELECT signal_id, scan_ord, CASE WHEN act", "SELECT signal_id, nth, CASE WHEN act").replace("SELECT s.signal_id, s.scan_ord, s.mean", "SELECT s.signal_id, s.nth, s.mean").replace("FROM fold f", "FROM steps f").replace("WHERE scan_ord = 1", "WHERE nth = 1")}
+), st AS (SELECT *, CASE WHEN value = lag(value) {W}) THEN 0 ELSE 1 END AS br, coalesce(ts <= lag(ts) {W}), false) AS late, abs(value - lag(value) {W})) / CASE WHEN ts - lag(ts) {W}) > 0 THEN ts - lag(ts) {W}) ELSE 1 END AS rate,
+    coalesce(value - lag(value) {W}), 0) AS drift, avg(value) {W} ROWS 19 PRECEDING) AS mean, coalesce(var_samp(value) {W} ROWS 19 PRECEDING), 0) AS variance,
+    list(value) {W} ROWS 49 PRECEDING) AS x FROM present
+), isl AS (SELECT *, sum(br) {W}) AS isl, value < 1 OR value > 150 OR coalesce(rate > 50, false) AS bad FROM st
+), marks AS (SELECT *, late OR row_number() OVER (PARTITION BY signal_id, isl ORDER BY scan_ord) >= 2 AS raw, sum(CASE WHEN bad THEN 0 ELSE 1 END) {W}) AS bi, sum(CASE WHEN bad THEN 1 ELSE 0 END) {W}) AS bj FROM isl
+), flags AS (SELECT *, max(raw) {W} ROWS 1 PRECEDING) AS stale, CASE WHEN bad AND sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id, bi ORDER BY scan_ord) >= 2 THEN true
+    WHEN NOT bad AND sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY signal_id, bj ORDER BY scan_ord) >= 3 THEN false END AS sw FROM marks
+), noise AS (SELECT *, coalesce(last_value(sw IGNORE NULLS) {W}), false) AS violation, CASE WHEN abs(mean) > 1e-9 THEN sqrt(variance) / abs(mean) ELSE sqrt(variance) END AS noise_level FROM flags
+), {SPIKES.format(base='noise')}, xs AS (SELECT signal_id, scan_ord, unnest(x) AS v, unnest(range(0, 50)) AS i FROM present_windows),
+  ms AS (SELECT signal_id, scan_ord, avg(v) AS m, stddev_pop(v) AS sd FROM xs GROUP BY ALL),
+  z AS (SELECT signal_id, scan_ord, i, CASE WHEN sd > 0 THEN (v - m) / sd ELSE v - m END AS z FROM xs JOIN ms USING (signal_id, scan_ord)),
+  c AS (SELECT signal_id, scan_ord, f, sum(z * sin(2 * pi() * f * 0.1 * i)) / 50 AS s, sum(z * cos(2 * pi() * f * 0.1 * i)) / 50 AS c FROM z, (VALUES (0.5e0), (1e0), (2e0)) fs(f) GROUP BY ALL),
+  osc AS (SELECT signal_id, scan_ord, sum(s * s + c * c) FILTER (sqrt(s * s + c * c) > 0.2) AS e FROM c GROUP BY ALL),
+  scores AS (SELECT p.signal_id, p.scan_ord, 100 * exp(-noise_level / 0.1e0) AS score_noise, 100 * exp(-abs(drift) / 1e0) AS score_drift, 100 * (1 - least(spike_frequency / 0.05e0, 1e0)) AS score_spikes,
+    100 * exp(-coalesce(e, 0) / 0.3e0) AS score_oscillation, 100 * (1 - missing_ratio) AS score_missing, CASE WHEN stale THEN 0e0 ELSE 100e0 END AS score_stale, CASE WHEN t.active THEN 0e0 ELSE 100e0 END AS score_step,
+    CASE WHEN violation THEN 0e0 ELSE 100e0 END AS score_plausibility FROM spiked p LEFT JOIN osc o USING (signal_id, scan_ord) JOIN steps t ON t.signal_id = p.signal_id AND t.nth = p.nth)
+  SELECT signal_id, scan_ord, round(score_noise, 9) AS score_noise, round(score_spikes, 9) AS score_spikes, round(score_oscillation, 6) AS score_oscillation, round(score_missing, 9) AS score_missing, score_stale, score_step, score_plausibility,
+    round(0.2e0 * score_noise + 0.1e0 * (score_drift + score_spikes + score_oscillation + score_missing + score_stale) + 0.2e0 * score_step + 0.1e0 * score_plausibility, 6) AS sqi FROM scores""".replace(
+    "FROM present_windows)", "FROM st WHERE len(x) = 50)"
+)
+
+
+@query("signal_quality_full", EVERY_SQL)
+def signal_quality_full(spark, sf_dir):
+    df = signals.process(rough_series(spark, sf_dir), EVERY)
+    df = df.withColumns({c: F.round(c, 6) for c in ("score_oscillation", "sqi")})
+    return rounded(df, *KEYS, *[f"score_{c}" for c in signals.COMPONENTS if c != "drift"], "sqi")
+
+
 @query("signal_quality_latest", f"WITH {INDEX} SELECT signal_id, max(scan_ord) AS scan_ord, round(max_by(sqi, scan_ord), 9) AS sqi, max_by(quality_class, scan_ord) AS quality_class FROM quality GROUP BY signal_id")
 def signal_quality_latest(spark, sf_dir):
     df = index_rows(spark, sf_dir)
@@ -324,17 +372,18 @@ def dominant_cause(spark, sf_dir):
 
 # --- incidents -------------------------------------------------------------------------------------
 
-FAST = incidents.IncidentPolicy(start_persistence=2, end_persistence=3)
+#: Limits under which the grid's signals and groups fall ill and get well again.
+FAST = incidents.IncidentPolicy(start_persistence=2, end_persistence=3, start_sqi=40.0, end_sqi=45.0, critical_sqi=36.0, component_floor=40.0)
 
 
 def grid_status(spark, sf_dir) -> DataFrame:
-    """Status of the grid's cells: present ones with their index, absent ones by missing ratio."""
+    """Status of the grid's cells, stored once: present ones with their index, absent ones by missing ratio."""
     grid = src.event_grid(spark, sf_dir).withColumn("penalty", F.when(F.col("value").isNull(), 1.0).otherwise(0.0))
     full = signals.missing(grid, SignalConfig(missing_window=20))
     there = full.where("value is not null")
     scored = signals.quality_index(signals.spikes(signals.variance(signals.drift(there))))
-    wanted = [*KEYS, "sqi", *[f"score_{c}" for c in signals.COMPONENTS]]
-    return incidents.status(full.join(scored.select(*wanted), list(KEYS), "left"), FAST)
+    wanted = [*KEYS, "sqi", *[f"score_{c}" for c in signals.COMPONENTS], "alert_level", "drift_alert", "spike_alert", "quality_class"]
+    return stored(incidents.status(full.join(scored.select(*wanted), list(KEYS), "left"), FAST))
 
 
 STATUS = f"""{GRID}, full_grid AS (SELECT *, avg(CASE WHEN value IS NULL THEN 1e0 ELSE 0 END) {W} ROWS 19 PRECEDING) AS missing_ratio FROM grid
@@ -345,10 +394,10 @@ scored AS (SELECT *, 100 * exp(-noise_level / 0.1e0) AS a, 100 * exp(-abs(drift)
 ), idx AS (SELECT signal_id, scan_ord, a, b, c, d, greatest(least(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 15e0 + 0.15e0 * d, 100e0), 0e0) AS sqi FROM scored
 ), joined AS (SELECT f.signal_id, f.scan_ord, f.missing_ratio, 100 * (1 - f.missing_ratio) AS lack, i.sqi, a, b, c, d FROM full_grid f LEFT JOIN idx i USING (signal_id, scan_ord)
 ), status AS (SELECT signal_id, scan_ord,
-  CASE WHEN sqi IS NULL THEN lack <= 70 ELSE sqi <= 50 OR lack <= 70 END AS degraded, CASE WHEN sqi IS NULL THEN lack >= 70 ELSE sqi >= 60 END AS recovered,
-  CASE WHEN sqi IS NULL THEN CASE WHEN lack <= 70 THEN 'missing' ELSE 'unknown' END
-    WHEN least(a, b, c, d) > 70 THEN 'unknown' WHEN d <= least(a, b, c) THEN 'missing' WHEN b <= least(a, c) THEN 'drift' WHEN c <= a THEN 'spikes' ELSE 'noise' END AS cause,
-  CASE WHEN sqi <= 25 THEN 'critical' ELSE 'warning' END AS severity, coalesce(sqi, lack) AS status_sqi FROM joined)"""
+  CASE WHEN sqi IS NULL THEN lack <= 40 ELSE sqi <= 40 OR lack <= 40 END AS degraded, CASE WHEN sqi IS NULL THEN lack >= 40 ELSE sqi >= 45 END AS recovered,
+  CASE WHEN sqi IS NULL THEN CASE WHEN lack <= 40 THEN 'missing' ELSE 'unknown' END
+    WHEN least(a, b, c, d) > 40 THEN 'unknown' WHEN d <= least(a, b, c) THEN 'missing' WHEN b <= least(a, c) THEN 'drift' WHEN c <= a THEN 'spikes' ELSE 'noise' END AS cause,
+  CASE WHEN sqi <= 36 THEN 'critical' ELSE 'warning' END AS severity, coalesce(sqi, lack) AS status_sqi FROM joined)"""
 
 
 @query("incident_status", f"WITH {STATUS} SELECT signal_id, scan_ord, degraded, recovered, cause, severity, round(status_sqi, 9) AS status_sqi FROM status")
@@ -356,26 +405,47 @@ def incident_status(spark, sf_dir):
     return rounded(grid_status(spark, sf_dir), *KEYS, "degraded", "recovered", "cause", "severity", "status_sqi")
 
 
-LIFE = """{name}_l AS (SELECT *, sum(CASE WHEN degraded THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN {well} THEN 0 ELSE 1 END) OVER w AS j,
-    last_value(CASE WHEN degraded THEN seen END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY scan_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-    lag(scan_ord, {start} - 1) OVER w AS back FROM {base} WINDOW w AS (PARTITION BY {key} ORDER BY scan_ord)
-), {name}_s AS (SELECT *, CASE WHEN degraded AND sum(CASE WHEN degraded THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, i ORDER BY scan_ord) >= {start} THEN true
-    WHEN {well} AND sum(CASE WHEN {well} THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, j ORDER BY scan_ord) >= {end} THEN false END AS sw FROM {name}_l
-), {name}_a AS (SELECT *, coalesce(last_value(sw IGNORE NULLS) OVER w, false) AS active FROM {name}_s WINDOW w AS (PARTITION BY {key} ORDER BY scan_ord)
-), {name}_w AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY {key} ORDER BY scan_ord), false) AS was FROM {name}_a
-), {name} AS (SELECT *, CASE WHEN active AND NOT was THEN 'started' WHEN was AND NOT active THEN 'resolved' WHEN active AND degraded AND before IS DISTINCT FROM seen THEN 'updated' END AS event,
-    CASE WHEN active OR was THEN last_value(CASE WHEN active AND NOT was THEN back END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY scan_ord) END AS start_scan_index FROM {name}_w)"""
-INCIDENTS = f"""{STATUS}, seen AS (SELECT *, cause || '/' || severity AS seen FROM status), {LIFE.format(name='lives', base='seen', key='signal_id', well='(NOT degraded AND recovered)', start=2, end=3)}"""
-
-
-def grid_incidents(spark, sf_dir) -> DataFrame:
-    return incidents.signal_incidents(grid_status(spark, sf_dir), FAST)
+#: One scan after another, as a machine would: the row before decides with the row at hand.
+LIFE = """{name}_rows AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY scan_ord) AS n FROM {base}
+), {name}_fold AS (
+  SELECT DISTINCT {key}, 0::BIGINT AS n, NULL::BIGINT AS scan_ord, false AS active, 0 AS ill, 0 AS well, NULL::VARCHAR AS cause, NULL::VARCHAR AS severity, NULL::VARCHAR AS parts,
+    NULL::BIGINT AS start_scan_index, NULL::BIGINT AS since, NULL::DOUBLE AS min_sqi, NULL::VARCHAR AS event, NULL::VARCHAR AS changed, false AS shown FROM {base}
+  UNION ALL
+  SELECT {key}, n, scan_ord, begun OR (was AND NOT ended), CASE WHEN was OR begun OR NOT degraded THEN 0 ELSE ill + 1 END, CASE WHEN was AND better AND NOT ended THEN well + 1 ELSE 0 END,
+    CASE WHEN begun OR (was AND degraded) OR NOT was THEN cause ELSE cause0 END, CASE WHEN begun OR (was AND degraded) OR NOT was THEN severity ELSE severity0 END,
+    CASE WHEN begun OR (was AND degraded) OR NOT was THEN parts ELSE parts0 END, CASE WHEN begun THEN scan_ord - {start} + 1 WHEN was THEN start0 END, CASE WHEN begun THEN scan_ord WHEN was THEN since0 END,
+    CASE WHEN begun THEN status_sqi WHEN was AND degraded THEN least(min0, status_sqi) WHEN was THEN min0 END,
+    CASE WHEN begun THEN 'started' WHEN ended THEN 'resolved' WHEN was AND degraded AND (cause <> cause0 OR severity <> severity0 OR parts <> parts0) THEN 'updated' END,
+    CASE WHEN was AND degraded THEN concat_ws(',', CASE WHEN cause <> cause0 THEN 'cause' END, CASE WHEN severity <> severity0 THEN 'severity' END, CASE WHEN parts <> parts0 THEN 'parts' END) END, was OR begun
+  FROM (SELECT b.{key}, b.n, b.scan_ord, b.degraded, b.cause, b.severity, b.parts, b.status_sqi, f.active AS was, f.ill, f.well, f.cause AS cause0, f.severity AS severity0, f.parts AS parts0,
+      f.start_scan_index AS start0, f.since AS since0, f.min_sqi AS min0, NOT f.active AND b.degraded AND f.ill + 1 >= {start} AS begun, NOT b.degraded AND b.{recovered} AS better,
+      f.active AND NOT b.degraded AND b.{recovered} AND f.well + 1 >= {end} AS ended
+    FROM {name}_fold f JOIN {name}_rows b ON b.{key} = f.{key} AND b.n = f.n + 1)
+), {name} AS (SELECT f.* FROM {name}_fold f WHERE f.n > 0)"""
+INCIDENTS = f"""RECURSIVE {STATUS}, sbase AS (SELECT *, '' AS parts FROM status), {LIFE.format(name='lives', base='sbase', key='signal_id', recovered='recovered', start=2, end=3)}"""
+
+
+def grid_incidents(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    df = incidents.signal_incidents(grid_status(spark, sf_dir) if rows is None else rows, FAST)
+    return incidents.with_times(df.withColumn("timestamp", F.col("scan_ord") * 3600.0), "signal_id", "timestamp")
+
+
+@query("signal_incidents", f"""WITH {INCIDENTS} SELECT l.signal_id, l.scan_ord, event, l.cause, l.severity, start_scan_index, 'run:' || l.signal_id || ':' || start_scan_index AS incident_id,
+  round(s.status_sqi, 9) AS status_sqi, round(min_sqi, 9) AS min_sqi, since * 3600e0 AS start_timestamp, CASE WHEN event = 'resolved' THEN l.scan_ord * 3600e0 END AS end_timestamp,
+  CASE event WHEN 'started' THEN 'Incident started for ' || l.signal_id || ' due to ' || l.cause || '.' WHEN 'resolved' THEN 'Incident resolved for ' || l.signal_id || '.'
+    ELSE 'Incident updated for ' || l.signal_id || ' with ' || concat_ws(', ', CASE WHEN changed LIKE '%cause%' THEN 'cause ' || l.cause END, CASE WHEN changed LIKE '%severity%' THEN 'severity ' || l.severity END) || '.' END AS message
+  FROM lives l JOIN status s USING (signal_id, scan_ord) WHERE event IS NOT NULL""")
+def signal_incidents(spark, sf_dir):
+    wanted = ("event", "cause", "severity", "start_scan_index", "incident_id", "status_sqi", "min_sqi", "start_timestamp", "end_timestamp", "message")
+    return rounded(grid_incidents(spark, sf_dir).where("event is not null"), *KEYS, *wanted)
 
 
-@query("signal_incidents", f"""WITH {INCIDENTS} SELECT signal_id, scan_ord, event, cause, severity, start_scan_index, 'run:' || signal_id || ':' || start_scan_index AS incident_id,
-  round(status_sqi, 9) AS status_sqi FROM lives WHERE event IS NOT NULL""")
-def signal_incidents(spark, sf_dir):
-    return rounded(grid_incidents(spark, sf_dir).where("event is not null"), *KEYS, "event", "cause", "severity", "start_scan_index", "incident_id", "status_sqi")
+@query("incident_details", f"""WITH {INCIDENTS} SELECT l.signal_id, l.scan_ord, round(j.lack, 9) AS score_missing, round(j.a, 9) AS score_noise, round(j.missing_ratio, 9) AS missing_ratio,
+  CASE WHEN j.sqi <= 25 THEN 'critical' WHEN j.sqi <= 50 THEN 'warning' WHEN j.sqi IS NOT NULL THEN 'none' END AS alert_level FROM lives l JOIN joined j USING (signal_id, scan_ord) WHERE event IS NOT NULL""")
+def incident_details(spark, sf_dir):
+    rows = grid_incidents(spark, sf_dir).where("event is not null").withColumn("d", incidents.signal_details())
+    told = rows.select(*KEYS, F.col("d.components")["missing"].alias("score_missing"), F.col("d.components")["noise"].alias("score_noise"), F.col("d.effective_missing_ratio").alias("missing_ratio"), F.col("d.alert_level").alias("alert_level"))
+    return rounded(told, *told.columns)
 
 
 @query("incident_counts", f"WITH {INCIDENTS} SELECT event, cause, count(*) AS n FROM lives WHERE event IS NOT NULL GROUP BY ALL")
@@ -383,35 +453,56 @@ def incident_counts(spark, sf_dir):
     return grid_incidents(spark, sf_dir).where("event is not null").groupBy("event", "cause").agg(F.count("*").alias("n"))
 
 
+@query("top_causes", f"WITH {INCIDENTS} SELECT cause, count(*) AS n FROM lives WHERE event = 'started' GROUP BY ALL ORDER BY n DESC, cause LIMIT 3")
+def top_causes(spark, sf_dir):
+    return incidents.started_by(grid_incidents(spark, sf_dir), "cause").orderBy(F.desc("n"), "cause").limit(3)
+
+
 GROUPED = incidents.GroupPolicy(depth=1)
 GROUPS = f"""{INCIDENTS}, members AS (SELECT split_part(signal_id, '_', 1) AS group_id, scan_ord, count(*) AS members, count(*) FILTER (degraded) AS degraded_members,
   coalesce(string_agg(CASE WHEN degraded THEN signal_id END, ',' ORDER BY signal_id), '') AS degraded_signals, count(*) FILTER (degraded AND cause = 'missing') AS gone FROM status GROUP BY ALL
 ), gstatus AS (SELECT *, degraded_members::DOUBLE / members AS fraction, degraded_members >= 2 AND degraded_members::DOUBLE / members >= 0.5 AS degraded,
   CASE WHEN gone > degraded_members - gone THEN 'comms' WHEN degraded_members - gone > gone THEN 'data_quality' ELSE 'mixed' END AS cause,
   CASE WHEN degraded_members::DOUBLE / members >= 0.8 THEN 'critical' ELSE 'warning' END AS severity FROM members
-), gseen AS (SELECT *, cause || '/' || severity || '/' || degraded_signals AS seen FROM gstatus), {LIFE.format(name='glives', base='gseen', key='group_id', well='(NOT degraded)', start=2, end=2)}"""
+), gbase AS (SELECT *, degraded_signals AS parts, true AS recovered, NULL::DOUBLE AS status_sqi FROM gstatus), {LIFE.format(name='glives', base='gbase', key='group_id', recovered='recovered', start=2, end=2)}"""
 
 
-def grid_groups(spark, sf_dir) -> DataFrame:
-    rows = grid_status(spark, sf_dir).withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
+def grid_groups(spark, sf_dir, status: DataFrame | None = None) -> DataFrame:
+    status = grid_status(spark, sf_dir) if status is None else status
+    rows = status.withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
     return incidents.group_incidents(incidents.group_status(rows, GROUPED), GROUPED)
 
 
-@query("group_incidents", f"""WITH {GROUPS} SELECT group_id, scan_ord, event, cause, severity, members, degraded_members, degraded_signals, round(fraction, 9) AS fraction, start_scan_index
-  FROM glives WHERE event IS NOT NULL""")
+@query("group_incidents", f"""WITH {GROUPS} SELECT g.group_id, g.scan_ord, event, g.cause, g.severity, members, degraded_members, g.parts AS degraded_signals, round(fraction, 9) AS fraction, start_scan_index,
+  'run:group:' || g.group_id || ':' || start_scan_index AS group_incident_id, 'Group incident ' || event || ' for ' || g.group_id || CASE WHEN event = 'updated' THEN ' with ' || concat_ws(', ',
+    CASE WHEN changed LIKE '%cause%' THEN 'cause ' || g.cause END, CASE WHEN changed LIKE '%severity%' THEN 'severity ' || g.severity END, CASE WHEN changed LIKE '%parts%' THEN 'members' END) ELSE '' END || '.' AS message
+  FROM glives g JOIN gstatus s USING (group_id, scan_ord) WHERE event IS NOT NULL""")
 def group_incidents(spark, sf_dir):
-    return rounded(grid_groups(spark, sf_dir).where("event is not null"), "group_id", "scan_ord", "event", "cause", "severity", "members", "degraded_members", "degraded_signals", "fraction", "start_scan_index")
+    wanted = ("event", "cause", "severity", "members", "degraded_members", "degraded_signals", "fraction", "start_scan_index", "group_incident_id", "message")
+    return rounded(grid_groups(spark, sf_dir).where("event is not null"), "group_id", "scan_ord", *wanted)
 
 
-SUPPRESSED = f"""{GROUPS}, ends AS (SELECT group_id, scan_ord, active AND cause = 'comms' AS hot, min(CASE WHEN event = 'resolved' THEN scan_ord END)
-    OVER (PARTITION BY group_id ORDER BY scan_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reemit FROM glives
-), filtered AS (SELECT l.signal_id, l.scan_ord, l.event, coalesce(e.hot, false) AND l.event IN ('started', 'updated') AS suppressed, e.reemit
-  FROM (SELECT *, split_part(signal_id, '_', 1) AS group_id FROM lives WHERE event IS NOT NULL) l LEFT JOIN ends e USING (group_id, scan_ord))"""
+@query("group_details", f"""WITH {GROUPS}, per AS (SELECT split_part(signal_id, '_', 1) AS group_id, scan_ord, cause, count(*) AS n FROM status WHERE degraded GROUP BY ALL)
+  SELECT group_id, scan_ord, string_agg(cause || '=' || n, ',' ORDER BY cause) AS cause_counts, string_agg(cause || '=' || n, ',' ORDER BY n DESC, cause) AS top_causes FROM per GROUP BY ALL""")
+def group_details(spark, sf_dir):
+    return incidents.group_details(grid_status(spark, sf_dir).withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED)))
+
+
+@query("active_groups", f"""WITH {GROUPS}, z AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY scan_ord DESC) AS back FROM glives)
+  SELECT group_id, 'run:group:' || group_id || ':' || start_scan_index AS group_incident_id, cause, severity, parts AS degraded_signals FROM z WHERE back = 1 AND active""")
+def active_groups(spark, sf_dir):
+    return incidents.active_groups(grid_groups(spark, sf_dir))
+
+
+SUPPRESSED = f"""{GROUPS}, filtered AS (SELECT l.signal_id, l.scan_ord, l.event, coalesce(g.active AND g.cause = 'comms', false) AND l.event IN ('started', 'updated') AS suppressed,
+    (SELECT min(r.scan_ord) FROM glives r WHERE r.group_id = l.group_id AND r.event = 'resolved' AND r.scan_ord >= l.scan_ord) AS reemit
+  FROM (SELECT *, split_part(signal_id, '_', 1) AS group_id FROM lives WHERE event IS NOT NULL) l LEFT JOIN glives g ON g.group_id = l.group_id AND g.scan_ord = l.scan_ord)"""
 
 
 def grid_suppressed(spark, sf_dir) -> DataFrame:
-    events = grid_incidents(spark, sf_dir).where("event is not null").withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
-    return incidents.suppress(events.select(*KEYS, "group_id", "event"), grid_groups(spark, sf_dir))
+    status = grid_status(spark, sf_dir)
+    events = grid_incidents(spark, sf_dir, status).where("event is not null").withColumn("group_id", incidents.group_of(F.col("signal_id"), GROUPED))
+    return incidents.suppress(events.select(*KEYS, "group_id", "event"), grid_groups(spark, sf_dir, status))
 
 
 @query("event_suppression", f"WITH {SUPPRESSED} SELECT signal_id, scan_ord, event, suppressed, CASE WHEN suppressed THEN reemit END AS reemit_scan FROM filtered")
@@ -419,19 +510,50 @@ def event_suppression(spark, sf_dir):
     return grid_suppressed(spark, sf_dir).select(*KEYS, "event", "suppressed", "reemit_scan")
 
 
-@query("suppression_counts", f"""WITH {SUPPRESSED} SELECT scan_ord, count(*) AS total_events, count(*) FILTER (suppressed) AS suppressed_events,
-  count(*) FILTER (suppressed AND event = 'started') AS suppressed_started, count(*) FILTER (suppressed AND event = 'updated') AS suppressed_updated,
-  count(*) FILTER (NOT suppressed) AS passed_events FROM filtered GROUP BY scan_ord""")
+@query("suppression_counts", f"""WITH {SUPPRESSED}, here AS (SELECT scan_ord, count(*) AS total_events, count(*) FILTER (suppressed) AS suppressed_events,
+  count(*) FILTER (suppressed AND event = 'started') AS suppressed_started, count(*) FILTER (suppressed AND event = 'updated') AS suppressed_updated FROM filtered GROUP BY scan_ord
+), again AS (SELECT reemit AS scan_ord, count(*) AS reemitted_events FROM filtered WHERE suppressed AND reemit IS NOT NULL GROUP BY ALL)
+  SELECT scan_ord, coalesce(total_events, 0) AS total_events, coalesce(suppressed_events, 0) AS suppressed_events, coalesce(suppressed_started, 0) AS suppressed_started,
+  coalesce(suppressed_updated, 0) AS suppressed_updated, 0::BIGINT AS suppressed_resolved, coalesce(suppressed_events, 0) AS deferred_events, coalesce(reemitted_events, 0) AS reemitted_events
+  FROM here FULL JOIN again USING (scan_ord)""")
 def suppression_counts(spark, sf_dir):
-    return incidents.suppression_counts(grid_suppressed(spark, sf_dir))
+    return incidents.suppression_counts(stored(grid_suppressed(spark, sf_dir)))
+
 
+SPANS = """SELECT '{scope}' AS scope, count(*) FILTER (event = 'started') AS started, count(*) FILTER (event = 'updated') AS updated, count(*) FILTER (event = 'resolved') AS resolved,
+  count(*) FILTER (event = 'started') - count(*) FILTER (event = 'resolved') AS active_end, round(coalesce(avg(spent), 0), 9) AS mean_duration,
+  coalesce(quantile_disc(spent, 0.5), 0) AS p50, coalesce(quantile_disc(spent, 0.95), 0) AS p95 FROM (SELECT event, CASE WHEN event = 'resolved' THEN (scan_ord - since) * 3600e0 END AS spent FROM {lives})"""
 
-@query("impact_report", f"""WITH {INCIDENTS}, spans AS (SELECT signal_id, start_scan_index, max(CASE WHEN event = 'started' THEN start_scan_index END) AS s, max(CASE WHEN event = 'resolved' THEN scan_ord END) AS e
-  FROM lives WHERE event IN ('started', 'resolved') GROUP BY ALL)
-  SELECT signal_id, count(s) AS started, count(e) AS resolved, round(avg(e - s), 9) AS mean_scans, quantile_disc(e - s, 0.5) AS p50_scans, quantile_disc(e - s, 0.95) AS p95_scans FROM spans GROUP BY signal_id""")
+
+def both_incidents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Signal and group incidents of one stored status, with times."""
+    status = grid_status(spark, sf_dir)
+    return grid_incidents(spark, sf_dir, status), grid_groups(spark, sf_dir, status).withColumn("timestamp", F.col("scan_ord") * 3600.0)
+
+
+@query("impact_report", f"WITH {GROUPS} {SPANS.format(scope='signal', lives='lives')} UNION ALL {SPANS.format(scope='group', lives='glives')}")
 def impact_report(spark, sf_dir):
-    df = incidents.impact(grid_incidents(spark, sf_dir))
-    return rounded(df.withColumns({c: F.col(c).cast("long") for c in ("p50_scans", "p95_scans")}), "signal_id", "started", "resolved", "mean_scans", "p50_scans", "p95_scans")
+    one, two = both_incidents(spark, sf_dir)
+    one, two = incidents.impact(one.where("event is not null")), incidents.impact(two.where("event is not null"), "group_incident_id")
+    df = one.withColumn("scope", F.lit("signal")).unionByName(two.withColumn("scope", F.lit("group")))
+    return rounded(df, "scope", "started", "updated", "resolved", "active_end", "mean_duration", "p50", "p95")
+
+
+@query("impact_causes", f"WITH {GROUPS} SELECT 'signal' AS scope, cause, count(*) AS n FROM lives WHERE event = 'started' GROUP BY ALL UNION ALL SELECT 'group', cause, count(*) FROM glives WHERE event = 'started' GROUP BY ALL")
+def impact_causes(spark, sf_dir):
+    one, two = both_incidents(spark, sf_dir)
+    return incidents.started_by(one, "cause").withColumn("scope", F.lit("signal")).unionByName(incidents.started_by(two, "cause").withColumn("scope", F.lit("group")))
+
+
+@query("impact_groups", f"WITH {GROUPS} SELECT group_id, count(*) AS n FROM glives WHERE event = 'started' GROUP BY ALL")
+def impact_groups(spark, sf_dir):
+    return incidents.started_by(grid_groups(spark, sf_dir), "group_id")
+
+
+@query("spam_ratio", f"""WITH {GROUPS}, n AS (SELECT (SELECT count(*) FROM lives WHERE event = 'started') AS signal_started, (SELECT count(*) FROM glives WHERE event = 'started') AS group_started)
+  SELECT signal_started, group_started, round(CASE WHEN group_started > 0 THEN signal_started::DOUBLE / group_started ELSE 0 END, 9) AS ratio FROM n""")
+def spam_ratio(spark, sf_dir):
+    return rounded(incidents.spam_ratio(*both_incidents(spark, sf_dir)), "signal_started", "group_started", "ratio")
 
 
 # --- comms and topology ----------------------------------------------------------------------------
@@ -439,7 +561,7 @@ def impact_report(spark, sf_dir):
 METRICS = """metrics AS (
   SELECT year(l_shipdate) * 12 + month(l_shipdate) AS scan_index, CAST(l_suppkey AS VARCHAR) AS rtu_id, CAST(s_nationkey AS VARCHAR) AS poll_group_id, CAST(n_regionkey AS VARCHAR) AS comms_domain_id,
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS timeout_count, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS retry_count, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS crc_error_count,
-    CAST(l_discount * 10000 AS DOUBLE) AS poll_jitter_ms, 1000e0 AS poll_cycle_ms, CAST(floor(l_quantity) AS BIGINT) AS bytes_tx, CAST(floor(l_extendedprice / 100) AS BIGINT) AS bytes_rx
+    CAST(l_discount * 10000 AS DOUBLE) AS poll_jitter_ms, 500e0 * l_linenumber AS poll_cycle_ms, CAST(floor(l_quantity) AS BIGINT) AS bytes_tx, CAST(floor(l_extendedprice / 100) AS BIGINT) AS bytes_rx
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 )"""
 ROLLUP = f"""{METRICS}, rollups AS (SELECT scan_index, t AS node_type, CASE t WHEN 'RTU' THEN rtu_id WHEN 'POLL_GROUP' THEN poll_group_id ELSE comms_domain_id END AS node_id, count(*) AS sample_count,
@@ -464,7 +586,7 @@ def comms_rows(spark, sf_dir) -> DataFrame:
         flag(F.col("l_linestatus") == "F").alias("retry_count"),
         flag(F.col("l_linenumber") == 7).alias("crc_error_count"),
         (F.col("l_discount") * 10000).cast("double").alias("poll_jitter_ms"),
-        F.lit(1000.0).alias("poll_cycle_ms"),
+        (F.col("l_linenumber") * 500.0).alias("poll_cycle_ms"),
         F.floor("l_quantity").cast("long").alias("bytes_tx"),
         F.floor(F.col("l_extendedprice") / 100).cast("long").alias("bytes_rx"),
     )
@@ -480,14 +602,17 @@ def comms_rollup(spark, sf_dir):
     return rounded(df, *NODE, "sample_count", "timeout_rate", "retry_rate", "crc_error_rate", "avg_poll_jitter_ms", "bytes_tx", "bytes_rx")
 
 
-HEALTH = f"""{ROLLUP}, health AS (SELECT *, CASE WHEN timeout_rate >= 0.1 OR retry_rate >= 0.2 OR crc_error_rate >= 0.01 OR round(avg_poll_jitter_ms, 6) >= 750 THEN 'CRITICAL'
-  WHEN timeout_rate >= 0.02 OR retry_rate >= 0.05 OR crc_error_rate >= 0.001 OR round(avg_poll_jitter_ms, 6) >= 250 THEN 'DEGRADED' ELSE 'OK' END AS comms_class,
-  concat_ws(',', CASE WHEN timeout_rate >= 0.02 THEN 'timeout_rate' END, CASE WHEN retry_rate >= 0.05 THEN 'retry_rate' END, CASE WHEN crc_error_rate >= 0.001 THEN 'crc_error_rate' END,
-    CASE WHEN round(avg_poll_jitter_ms, 6) >= 250 THEN 'avg_poll_jitter_ms' END) AS reasons FROM rollups)"""
+#: Limits that the rollups of the driver tables lie on both sides of.
+MIXED = (("timeout_rate", "timeout_rate", 0.2, 0.4), ("retry_rate", "retry_rate", 0.5, 1.1), ("crc_error_rate", "crc_error_rate", 0.03, 0.2), ("avg_poll_jitter_ms", "jitter_ms", 480.0, 650.0), ("avg_poll_cycle_ms", "poll_cycle_ms", 1500.0, 2200.0))
+REASONS = ", ".join(f"CASE WHEN {c} >= {critical} THEN '{name}_critical' WHEN {c} >= {warn} THEN '{name}_degraded' END" for c, name, warn, critical in MIXED)
+HEALTH = f"""{ROLLUP}, exact AS (SELECT * REPLACE (round(avg_poll_jitter_ms, 6) AS avg_poll_jitter_ms, round(avg_poll_cycle_ms, 6) AS avg_poll_cycle_ms) FROM rollups
+), reasoned AS (SELECT *, concat_ws(',', {REASONS}) AS reasons FROM exact
+), health AS (SELECT *, CASE WHEN reasons LIKE '%critical%' THEN 'CRITICAL' WHEN reasons <> '' THEN 'DEGRADED' ELSE 'OK' END AS comms_class FROM reasoned)"""
 
 
 def healths(spark, sf_dir) -> DataFrame:
-    return comms.health(comms.rollup(comms_rows(spark, sf_dir)).withColumn("avg_poll_jitter_ms", F.round("avg_poll_jitter_ms", 6)))
+    rows = comms.rollup(comms_rows(spark, sf_dir))
+    return comms.health(rows.withColumns({c: F.round(c, 6) for c in ("avg_poll_jitter_ms", "avg_poll_cycle_ms")}), MIXED)
 
 
 @query("comms_health", f"WITH {HEALTH} SELECT scan_index, node_type, node_id, comms_class, reasons FROM health")
@@ -501,12 +626,51 @@ def comms_worst(spark, sf_dir):
     return comms.worst_nodes(healths(spark, sf_dir)).select(*NODE, "comms_class", "place")
 
 
-@query("comms_budget", f"""WITH {ROLLUP}, b AS (SELECT *, (bytes_tx + bytes_rx) * 8 / (avg_poll_cycle_ms / 1000) AS observed_bps FROM rollups)
-  SELECT scan_index, node_type, node_id, round(observed_bps, 6) AS observed_bps, round(observed_bps / 9600e0, 9) AS utilization,
-  CASE WHEN observed_bps / 9600e0 >= 0.9 THEN 'CRITICAL' WHEN observed_bps / 9600e0 >= 0.7 THEN 'DEGRADED' ELSE 'OK' END AS budget_level FROM b""")
+#: An interval that isn't the mean poll cycle, a node with a capacity of its own, and limits on both sides.
+NARROW = comms.BudgetConfig(poll_interval_ms=500.0, capacity_bps={"RTU": 30_000, "POLL_GROUP": 120_000, "COMMS_DOMAIN": 1_000_000}, per_node_capacity_bps={"7": 9_000})
+BUDGET = f"""{{base}}, capacities AS (SELECT *, CASE WHEN node_id = '7' THEN 9000 WHEN node_type = 'RTU' THEN 30000 WHEN node_type = 'POLL_GROUP' THEN 120000 ELSE 1000000 END AS capacity_bps FROM {{rows}}
+), used AS (SELECT *, coalesce(bytes_tx + bytes_rx, 0) * 8e0 / 0.5e0 AS observed_bps FROM capacities), b AS (SELECT *, observed_bps / capacity_bps AS utilization FROM used
+), budgets AS (SELECT *, CASE WHEN utilization >= 0.9 THEN 'CRITICAL' WHEN utilization >= 0.7 THEN 'DEGRADED' ELSE 'OK' END AS budget_level FROM b)"""
+TOLD = "concat_ws(',', CASE WHEN budget_level <> 'OK' THEN 'UTILIZATION_' || budget_level END, CASE WHEN 1 - utilization <= 0.1e0 THEN 'LOW_HEADROOM' END) AS budget_reasons"
+
+
+@query("comms_budget", f"""WITH {BUDGET.format(base=ROLLUP, rows='rollups')} SELECT scan_index, node_type, node_id, round(observed_bps, 6) AS observed_bps, round(utilization, 9) AS utilization,
+  budget_level, {TOLD} FROM budgets""")
 def comms_budget(spark, sf_dir):
-    df = comms.budget(comms.rollup(comms_rows(spark, sf_dir))).withColumn("observed_bps", F.round("observed_bps", 6))
-    return rounded(df, *NODE, "observed_bps", "utilization", "budget_level")
+    df = comms.budget(comms.rollup(comms_rows(spark, sf_dir)), NARROW).withColumn("observed_bps", F.round("observed_bps", 6))
+    return rounded(df, *NODE, "observed_bps", "utilization", "budget_level", "budget_reasons")
+
+
+ALL_NODES = f"""{ROLLUP}, every_node AS (SELECT 'RTU' AS node_type, CAST(s_suppkey AS VARCHAR) AS node_id, count(DISTINCT l_partkey % 4) AS signals FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL
+  UNION ALL SELECT 'POLL_GROUP', CAST(n_nationkey AS VARCHAR), count(DISTINCT l_suppkey * 4 + l_partkey % 4) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL
+  UNION ALL SELECT 'COMMS_DOMAIN', CAST(n_regionkey AS VARCHAR), count(DISTINCT l_suppkey * 4 + l_partkey % 4) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL
+), full_rows AS (SELECT i.scan_index, n.node_type, n.node_id, n.signals, r.bytes_tx, r.bytes_rx FROM (SELECT DISTINCT scan_index FROM rollups) i CROSS JOIN every_node n
+  LEFT JOIN rollups r ON r.scan_index = i.scan_index AND r.node_type = n.node_type AND r.node_id = n.node_id)"""
+
+
+def comms_nodes(spark, sf_dir) -> DataFrame:
+    """(node_type, node_id, signals) of suppliers, nations and regions."""
+    nodes, edges = places(spark, sf_dir)
+    kinds = F.create_map(*[F.lit(x) for pair in (("rtu", "RTU"), ("poll_group", "POLL_GROUP"), ("comms_domain", "COMMS_DOMAIN")) for x in pair])
+    counts = topology.descendant_counts(stored(nodes), stored(edges)).where("type <> 'signal'")
+    return counts.select(kinds[F.col("type")].alias("node_type"), F.expr("substring(id, 2)").alias("node_id"), F.col("descendants").alias("signals"))
+
+
+def all_budgets(spark, sf_dir) -> DataFrame:
+    return comms.budget_of_all(comms_nodes(spark, sf_dir), stored(comms.rollup(comms_rows(spark, sf_dir))), NARROW)
+
+
+@query("budget_of_all_nodes", f"""WITH {BUDGET.format(base=ALL_NODES, rows='full_rows')} SELECT scan_index, node_type, node_id, 200 + 18 * signals AS expected_bytes, round(utilization, 9) AS utilization,
+  budget_level, {TOLD} FROM budgets""")
+def budget_of_all_nodes(spark, sf_dir):
+    return rounded(all_budgets(spark, sf_dir), *NODE, "expected_bytes", "utilization", "budget_level", "budget_reasons")
+
+
+@query("budget_summary", f"""WITH {BUDGET.format(base=ROLLUP, rows='rollups')}, ordered AS (SELECT *, CASE node_type WHEN 'COMMS_DOMAIN' THEN 0 WHEN 'POLL_GROUP' THEN 1 ELSE 2 END AS kind FROM budgets WHERE budget_level <> 'OK'
+), placed AS (SELECT *, row_number() OVER (PARTITION BY scan_index, budget_level ORDER BY utilization DESC, kind, node_id)::INT AS place FROM ordered QUALIFY place <= 10)
+  SELECT scan_index, node_type, node_id, budget_level, place, row_number() OVER (PARTITION BY scan_index ORDER BY budget_level, utilization DESC, kind, node_id) = 1 AS is_bottleneck FROM placed""")
+def budget_summary(spark, sf_dir):
+    return comms.budget_summary(comms.budget(comms.rollup(comms_rows(spark, sf_dir)), NARROW)).select(*NODE, "budget_level", "place", "is_bottleneck")
 
 
 POLLS = "polls AS (SELECT user_id AS rtu_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, k > 1 AS poll_success, value * 5 AS rtt_ms, value AS jitter_ms, k AS dropout_streak FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events))"
@@ -639,22 +803,27 @@ LABELLED = f"""{SERIES}, li AS (SELECT *, sum(CASE WHEN value > 100 THEN 0 ELSE
 def matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = src.event_series(spark, sf_dir)
     labels = intervals(rows, F.col("value") > 100)
-    return evaluation.match(intervals(rows, F.col("value") > 120), labels), labels
+    # invented causes and severities, of which labels name some
+    told = lambda df: df.withColumns({"cause": F.concat(F.lit("c"), (F.col("start") % 3).cast("string")), "severity": F.concat(F.lit("s"), (F.col("start") % 2).cast("string"))})
+    labels = told(labels).withColumn("severity", F.when(F.col("start") % 2 == 0, F.col("severity")))
+    return evaluation.match(told(intervals(rows, F.col("value") > 120)), labels), labels
 
 
 @query("label_match", f"""WITH {LABELLED}, pairs AS (SELECT p.signal_id, p.s AS pred_start, p.e AS pred_end, l.s AS label_start, l.e AS label_end FROM predicted p JOIN labelled l ON l.signal_id = p.signal_id AND p.s <= l.e AND p.e >= l.s),
   firsts AS (SELECT *, row_number() OVER (PARTITION BY signal_id, label_start ORDER BY pred_start) AS k FROM pairs)
   SELECT p.signal_id, p.s AS pred_start, p.e AS pred_end, f.label_start, f.label_end FROM predicted p LEFT JOIN firsts f ON f.signal_id = p.signal_id AND f.pred_start = p.s AND f.k = 1""")
 def label_match(spark, sf_dir):
-    return matched(spark, sf_dir)[0]
+    return matched(spark, sf_dir)[0].select("signal_id", "pred_start", "pred_end", "label_start", "label_end")
 
 
 @query("evaluation_metrics", f"""WITH {LABELLED}, hits AS (SELECT l.signal_id, l.s, min(p.s) AS ps FROM labelled l JOIN predicted p ON l.signal_id = p.signal_id AND p.s <= l.e AND p.e >= l.s GROUP BY ALL),
   n AS (SELECT (SELECT count(*) FROM predicted) AS predicted, (SELECT count(*) FROM hits) AS matched, (SELECT count(*) FROM labelled) AS labels, (SELECT avg(greatest(ps - s, 0)) FROM hits) AS m)
-  SELECT predicted, matched, labels, round(matched::DOUBLE / predicted, 9) AS precision, round(matched::DOUBLE / labels, 9) AS recall, round(coalesce(m, 0), 9) AS mttd_scans,
+  SELECT predicted, matched, labels, predicted / 5e0 AS starts_ratio, (SELECT round(avg(CASE WHEN ps % 3 = s % 3 THEN 1 ELSE 0 END), 9) FROM hits) AS cause_accuracy,
+  (SELECT round(avg(CASE WHEN ps % 2 = s % 2 THEN 1 ELSE 0 END) FILTER (s % 2 = 0), 9) FROM hits) AS severity_accuracy, round(matched::DOUBLE / predicted, 9) AS precision, round(matched::DOUBLE / labels, 9) AS recall, round(coalesce(m, 0), 9) AS mttd_scans,
   round(2 * (matched::DOUBLE / predicted) * (matched::DOUBLE / labels) / (matched::DOUBLE / predicted + matched::DOUBLE / labels), 9) AS f1 FROM n""")
 def evaluation_metrics(spark, sf_dir):
-    return rounded(evaluation.metrics(*matched(spark, sf_dir)), "predicted", "matched", "labels", "precision", "recall", "mttd_scans", "f1")
+    wanted = ("predicted", "matched", "labels", "precision", "recall", "mttd_scans", "f1", "cause_accuracy", "severity_accuracy", "starts_ratio")
+    return rounded(evaluation.metrics(*matched(spark, sf_dir), group_started=5), *wanted)
 
 
 @query("scan_cost", f"""WITH {GRID}, n AS (SELECT scan_ord, count(*) AS n FROM grid GROUP BY ALL), r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telemetrica.functions.storage import stored
+
 #: Field names and types of scan records.
 SAMPLE = "struct<value:double,quality:string,source_timestamp:double>"
 COMMS = (
@@ -63,16 +65,33 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scans_of(rows: DataFrame, order: str) -> DataFrame:
-    """(scan_ord, ts, signal_id, value): one scan per timestamp; of repeated cells the last in ``order``."""
-    cells = rows.where("timestamp is not null").groupBy("timestamp", "signal_id").agg(F.max_by("value", order).alias("value"))
-    times = cells.select("timestamp").distinct().withColumn("scan_ord", F.row_number().over(Window.orderBy("timestamp")))
-    return cells.join(times, "timestamp").select("scan_ord", F.col("timestamp").alias("ts"), "signal_id", "value")
+    """(scan_ord, ts, signal_id, value): one scan per timestamp, every signal of the rows in it (absent cells null);
+    of repeated cells the last in ``order``. Rows without timestamp are scans of their own behind the others.
+    """
+    timed = rows.where("timestamp is not null")
+    cells = timed.groupBy("timestamp", "signal_id").agg(F.max_by(F.struct("value"), order).alias("v")).select("timestamp", "signal_id", "v.value")
+    times = numbered(timed.select("timestamp").distinct(), "timestamp", "scan_ord")
+    loose = numbered(rows.where("timestamp is null"), order, "_k")
+    grid = times.join(rows.select("signal_id").distinct()).join(cells, ["timestamp", "signal_id"], "left")
+    after = times.agg(F.coalesce(F.max("scan_ord"), F.lit(0)).alias("_after"))  # one row
+    last = loose.join(F.broadcast(after)).select((F.col("_after") + F.col("_k")).alias("scan_ord"), F.lit(None).cast("double").alias("ts"), "signal_id", "value")
+    return grid.select("scan_ord", F.col("timestamp").alias("ts"), "signal_id", "value").unionByName(last)
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` numbered from 1 in ``order``, by ranges: each range is numbered by itself and starts after those before it."""
+    ranged = stored(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_r", F.spark_partition_id()))
+    sizes = ranged.groupBy("_r").agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("_r").orderBy(order))
+    return ranged.withColumn("_at", at).join(F.broadcast(sizes.select("_r", before.alias("_b"))), "_r").withColumn(name, F.col("_at") + F.col("_b")).drop("_r", "_at", "_b")
 
 
 def scan_interval(times: DataFrame, default: float) -> DataFrame:
     """One row: the median of the positive steps between timestamps, or the default."""
-    step = F.col("timestamp") - F.lag("timestamp").over(Window.orderBy("timestamp"))
-    steps = times.select("timestamp").distinct().withColumn("step", step).where("step > 0")
+    at = numbered(times.select("timestamp").where("timestamp is not null").distinct(), "timestamp", "_k")
+    before = at.select((F.col("_k") + 1).alias("_k"), F.col("timestamp").alias("_b"))
+    steps = at.join(before, "_k").withColumn("step", F.col("timestamp") - F.col("_b")).where("step > 0")
     return steps.agg(F.coalesce(F.median("step"), F.lit(default)).alias("scan_interval"))
 
 
@@ -90,10 +109,16 @@ def registry(rows: DataFrame, most: int | None = None, policy: str = "error") ->
 
 
 def densify(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Every registered signal in every scan from its first on; absent cells are missing."""
-    scans = rows.groupBy("scan_ord").agg(F.max("ts").alias("scan_ts"))
-    grid = scans.join(known.select("signal_id", "first_scan"), F.col("scan_ord") >= F.col("first_scan"))
-    return grid.join(rows.drop("ts"), ["scan_ord", "signal_id"], "left").withColumnRenamed("scan_ts", "ts").drop("first_scan")
+    """Every registered signal in every scan from its first on; absent cells are missing.
+
+    Each signal's scan numbers are spelt out from its first to the last of all and met with the scans that
+    there are, so all joins are on equal keys; scan numbers count scans.
+    """
+    cells = [c for c in rows.columns if c not in ("ts", "signal_id", "scan_ord")]
+    scans = rows.groupBy("scan_ord").agg(F.max("ts").alias("ts")) if "ts" in rows.columns else rows.select("scan_ord").distinct()
+    last = scans.agg(F.max("scan_ord").alias("_last"))  # one row
+    spelt = known.select("signal_id", "first_scan").join(F.broadcast(last)).select("signal_id", F.explode(F.sequence("first_scan", "_last")).alias("scan_ord"))
+    return spelt.join(scans, "scan_ord").join(rows.select("scan_ord", "signal_id", *cells), ["scan_ord", "signal_id"], "left")
 
 
 def unknown_signals(rows: DataFrame, known: DataFrame, policy: str = "ignore") -> DataFrame:
@@ -133,11 +158,12 @@ def seconds(column: str) -> Column:
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signal per user: (signal_id, scan_ord, ts, value, quality), in order of time."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value", "props")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # renamed before numbering, so that later windows find the rows dealt and sorted by the key already
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.col("user_id").alias("signal_id"), "value", "props")
+    order = Window.partitionBy("signal_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int") % 10
     return events.select(
-        F.col("user_id").alias("signal_id"),
+        "signal_id",
         F.row_number().over(order).cast("long").alias("scan_ord"),
         seconds("ts").alias("ts"),
         "value",
@@ -149,8 +175,6 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly scans of 20 signals (type and user class), null where nothing happened since the first one."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "user_id", "value")
     hour = F.floor(seconds("ts") / 3600).cast("long")
-    cells = events.groupBy(hour.alias("scan_ord"), F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string")).alias("signal_id")).agg(F.avg("value").alias("value"))
+    cells = stored(events.groupBy(hour.alias("scan_ord"), F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string")).alias("signal_id")).agg(F.avg("value").alias("value")))
     first = cells.groupBy("signal_id").agg(F.min("scan_ord").alias("first_scan"))
-    # the signals are few by construction: types times four
-    grid = cells.select("scan_ord").distinct().join(F.broadcast(first), F.col("scan_ord") >= F.col("first_scan"))
-    return grid.join(cells, ["scan_ord", "signal_id"], "left").select("signal_id", "scan_ord", "value")
+    return densify(cells, first).select("signal_id", "scan_ord", "value")
