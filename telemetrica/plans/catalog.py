@@ -836,34 +836,160 @@ def scan_cost(spark, sf_dir):
 # --- root causes -----------------------------------------------------------------------------------
 
 
-def rca_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Observations over the grid's incidents and a topology of its signals (two groups of types, then types, then classes)."""
-    rows = stored(grid_incidents(spark, sf_dir).select(*KEYS, "missing_ratio", "active", "cause"))
-    obs = rows.select(*KEYS, F.lit("GOOD").alias("quality_class"), "missing_ratio", F.when(F.col("active"), F.col("cause")).alias("event_cause"), F.lit(None).cast("string").alias("low_cause"))
-    names = rows.select("signal_id").distinct()
-    kind = F.substring_index("signal_id", "_", 1)
-    up = names.select("signal_id", F.concat(F.lit("rtu_"), kind).alias("r"), F.concat(F.lit("pg_"), F.substring(kind, 1, 1)).alias("g"))
-    nodes = up.select(F.col("signal_id").alias("id"), F.lit("signal").alias("type")).unionByName(up.select(F.col("r").alias("id"), F.lit("rtu").alias("type")).distinct())
-    nodes = nodes.unionByName(up.select(F.col("g").alias("id"), F.lit("poll_group").alias("type")).distinct()).unionByName(spark.range(1).select(F.lit("cd").alias("id"), F.lit("comms_domain").alias("type")))
-    edges = up.select(F.col("r").alias("parent"), F.col("signal_id").alias("child")).unionByName(up.select(F.col("g").alias("parent"), F.col("r").alias("child")).distinct())
-    return stored(rca.observations(obs)), nodes, edges.unionByName(up.select(F.lit("cd").alias("parent"), F.col("g").alias("child")).distinct())
+#: Limit of missing ratios under which signals come and go.
+LOST = 0.6
 
 
-def ranked(spark, sf_dir) -> DataFrame:
-    return stored(rca.confidences(rca.candidates(stored(rca.evidence(*rca_inputs(spark, sf_dir))))))
+def grid_places(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A topology of the grid's signals: event types, their first letters, one domain."""
+    kind = F.substring_index("signal_id", "_", 1)
+    up = stored(names.select("signal_id", F.concat(F.lit("rtu_"), kind).alias("r"), F.concat(F.lit("pg_"), F.substring(kind, 1, 1)).alias("g")))
+    level = lambda c, t: up.select(F.col(c).alias("id"), F.lit(t).alias("type")).distinct()
+    top = names.sparkSession.range(1).select(F.lit("cd").alias("id"), F.lit("comms_domain").alias("type"))
+    nodes = level("signal_id", "signal").unionByName(level("r", "rtu")).unionByName(level("g", "poll_group")).unionByName(top)
+    over = lambda a, b: up.select(a.alias("parent"), b.alias("child")).distinct()
+    edges = over(F.col("r"), F.col("signal_id")).unionByName(over(F.col("g"), F.col("r"))).unionByName(over(F.lit("cd"), F.col("g")))
+    return nodes, edges
 
 
-@query("root_causes")
+def rca_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored observations over the grid's incidents, and its topology."""
+    rows = grid_incidents(spark, sf_dir)
+    lowest = signals.dominant_cause()
+    least = F.least(*[F.col(f"score_{c}") for c in signals.COMPONENTS])
+    low = F.when(F.col("sqi").isNotNull(), F.when(least < 100, lowest).otherwise("unknown"))
+    # missing and in every fifth scan critical incidents count, and the classes of one signal in four, so that there are well, ill and lost scans
+    grave = F.col("active") & ((F.col("cause") == "missing") | ((F.col("severity") == "critical") & (F.col("scan_ord") % 5 == 0)))
+    seen = F.when(F.col("signal_id").endswith("_3"), F.col("quality_class")).alias("quality_class")
+    obs = rows.select(*KEYS, seen, "sqi", "missing_ratio", F.when(grave, F.col("cause")).alias("event_cause"), low.alias("low_cause"))
+    obs = stored(rca.observations(obs, missing_limit=LOST))
+    return obs, *grid_places(obs.select("signal_id").distinct())
+
+
+OBSERVED = f"""{INCIDENTS}, facts AS (SELECT l.signal_id, l.scan_ord, j.sqi, j.missing_ratio, CASE WHEN l.active AND (l.cause = 'missing' OR (l.severity = 'critical' AND l.scan_ord % 5 = 0)) THEN l.cause END AS event_cause, coalesce(j.sqi >= 25 AND j.sqi < 50, false) AND l.signal_id LIKE '%\\_3' ESCAPE '\\' AS poor,
+    CASE WHEN least(a, b, c, d) >= 100 THEN 'unknown' WHEN a <= least(b, c, d) THEN 'noise' WHEN b <= least(c, d) THEN 'drift' WHEN c <= d THEN 'spikes' ELSE 'missing' END AS low
+  FROM lives l JOIN joined j USING (signal_id, scan_ord)
+), hits AS (SELECT *, event_cause IS NOT NULL OR poor OR missing_ratio >= 0.6 AS hit, coalesce(event_cause, CASE WHEN poor THEN low END, 'missing') AS cause FROM facts
+), breaks AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) {W}) AS i FROM hits
+), obs AS (SELECT *, min(CASE WHEN hit THEN scan_ord END) OVER (PARTITION BY signal_id, i) AS onset FROM breaks
+), tree AS (SELECT DISTINCT signal_id AS node_id, 'signal' AS type, 'rtu_' || split_part(signal_id, '_', 1) AS over FROM obs UNION ALL
+  SELECT DISTINCT 'rtu_' || split_part(signal_id, '_', 1), 'rtu', 'pg_' || signal_id[1] FROM obs UNION ALL SELECT DISTINCT 'pg_' || signal_id[1], 'poll_group', 'cd' FROM obs UNION ALL SELECT 'cd', 'comms_domain', NULL
+), leaf AS (SELECT DISTINCT signal_id FROM obs
+), under AS (SELECT signal_id AS node_id, signal_id FROM leaf UNION ALL SELECT 'rtu_' || split_part(signal_id, '_', 1), signal_id FROM leaf UNION ALL SELECT 'pg_' || signal_id[1], signal_id FROM leaf UNION ALL SELECT 'cd', signal_id FROM leaf
+), ev AS (SELECT scan_ord, t.node_id, t.type, t.over, any_value(n.total) AS total, count(*) FILTER (hit) AS affected, coalesce(max(onset) FILTER (hit) - min(onset) FILTER (hit), 0) AS span,
+    count(*) FILTER (hit AND cause IN ('missing', 'stale')) AS comms, count(*) FILTER (hit AND cause IN ('noise', 'drift', 'spikes', 'oscillation')) AS quality
+  FROM obs JOIN under u USING (signal_id) JOIN tree t ON t.node_id = u.node_id JOIN (SELECT node_id, count(*) AS total FROM under GROUP BY ALL) n ON n.node_id = u.node_id GROUP BY scan_ord, t.node_id, t.type, t.over
+), fr AS (SELECT *, affected::DOUBLE / total AS fraction, exp(-span / 5e0) AS coherence, CASE WHEN affected > 0 THEN comms::DOUBLE / affected ELSE 0 END AS signature FROM ev
+), conc AS (SELECT *, coalesce(fraction - (SELECT max(o.fraction) FROM fr o WHERE o.scan_ord = fr.scan_ord AND o.over = fr.over AND o.node_id <> fr.node_id), 0) AS concentration FROM fr
+), cand AS (SELECT *, greatest(least((0.45e0 * fraction + 0.25e0 * greatest(least((concentration + 1) / 2, 1), 0) + 0.2e0 * coherence + 0.1e0 * signature) / 1.2e0, 1), 0) AS score, CASE type WHEN 'comms_domain' THEN 0 WHEN 'poll_group' THEN 1 WHEN 'rtu' THEN 2 ELSE 3 END AS kind
+  FROM conc WHERE fraction >= CASE type WHEN 'comms_domain' THEN 0.25e0 WHEN 'poll_group' THEN 0.25e0 WHEN 'rtu' THEN 0.5e0 ELSE 1e0 END
+), rk AS (SELECT *, row_number() OVER q AS rank, coalesce(score - lead(score) OVER q, 0.2e0) AS margin, CASE WHEN lag(scan_ord) OVER v = scan_ord - 1 THEN NULL ELSE scan_ord END AS first
+  FROM cand WINDOW q AS (PARTITION BY scan_ord ORDER BY score DESC, kind, node_id), v AS (PARTITION BY node_id ORDER BY scan_ord)
+), ranked AS (SELECT *, 0.4e0 * score + 0.3e0 * least(margin / 0.2e0, 1) + 0.3e0 * least((scan_ord - last_value(first IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY scan_ord)) / 2e0, 1) AS confidence FROM rk)"""
+CANDIDATES = """SELECT scan_ord, node_id, type, total, affected, round(fraction, 9) AS fraction, round(concentration, 9) AS concentration, round(coherence, 9) AS coherence, round(signature, 9) AS signature,
+  round(score, 9) AS score, rank::INT AS rank, round(confidence, 9) AS confidence,
+  CASE WHEN confidence >= 0.9 THEN 'VERY_HIGH' WHEN confidence >= 0.75 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MODERATE' WHEN confidence >= 0.25 THEN 'LOW' ELSE 'VERY_LOW' END AS confidence_label,
+  CASE WHEN affected = 0 THEN 'INVESTIGATE' WHEN comms::DOUBLE / affected > 0.7 THEN CASE type WHEN 'comms_domain' THEN 'CHECK_NETWORK_INFRASTRUCTURE' WHEN 'poll_group' THEN 'CHECK_POLL_GROUP_CONFIG' WHEN 'rtu' THEN 'CHECK_RTU_CONNECTIVITY'
+    ELSE 'CHECK_SIGNAL_PATH' END WHEN quality::DOUBLE / affected > 0.5 THEN 'CHECK_SENSOR_CALIBRATION' ELSE 'INVESTIGATE' END AS action FROM ranked"""
+
+
+def ranked(inputs) -> DataFrame:
+    return stored(rca.confidences(rca.candidates(stored(rca.evidence(*inputs)))))
+
+
+@query("root_causes", f"WITH {OBSERVED} {CANDIDATES}")
 def root_causes(spark, sf_dir):
-    return rounded(ranked(spark, sf_dir), "scan_ord", "node_id", "type", "total", "affected", "fraction", "concentration", "coherence", "signature", "score", "rank", "action", "confidence", "confidence_label")
+    wanted = ("scan_ord", "node_id", "type", "total", "affected", "fraction", "concentration", "coherence", "signature", "score", "rank", "action", "confidence", "confidence_label")
+    return rounded(ranked(rca_inputs(spark, sf_dir)), *wanted)
 
 
-@query("root_cause_report")
+@query("root_cause_report", f"""WITH {OBSERVED}, state AS (SELECT scan_ord, count(*) AS observed, count(*) FILTER (hit) AS affected_signals FROM obs GROUP BY ALL)
+  SELECT s.scan_ord, observed, affected_signals, CASE WHEN affected_signals = 0 THEN 'OK' WHEN affected_signals > 0.5 * observed THEN 'OUTAGE' ELSE 'DEGRADED' END AS overall_state,
+  CASE WHEN p.confidence >= 0.5 THEN p.node_id END AS primary_node_id, CASE WHEN p.confidence >= 0.5 THEN p.type END AS primary_type, CASE WHEN p.confidence >= 0.5 THEN round(p.score, 9) END AS primary_score,
+  coalesce((SELECT string_agg(r.node_id, ',' ORDER BY r.rank) FROM ranked r WHERE r.scan_ord = s.scan_ord AND r.rank BETWEEN 2 AND 6), '') AS secondary
+  FROM state s LEFT JOIN ranked p ON p.scan_ord = s.scan_ord AND p.rank = 1""")
 def root_cause_report(spark, sf_dir):
-    return rounded(rca.report(rca_inputs(spark, sf_dir)[0], ranked(spark, sf_dir)), "scan_ord", "observed", "affected_signals", "overall_state", "primary_node_id", "primary_type", "primary_score")
+    inputs = rca_inputs(spark, sf_dir)
+    rows = rca.report(inputs[0], ranked(inputs), min_confidence=0.5)
+    return rounded(rows, "scan_ord", "observed", "affected_signals", "overall_state", "primary_node_id", "primary_type", "primary_score", "secondary")
+
+
+@query("impacted_nodes", f"WITH {OBSERVED} SELECT scan_ord, type, node_id FROM ev WHERE affected > 0")
+def impacted_nodes(spark, sf_dir):
+    return rca.impacted(rca.evidence(*rca_inputs(spark, sf_dir)))
+
+
+@query("representative_signals", f"""WITH {OBSERVED} SELECT scan_ord, node_id, row_number() OVER (PARTITION BY scan_ord, node_id ORDER BY coalesce(sqi, 100), onset, signal_id)::INT AS place, signal_id
+  FROM obs JOIN under USING (signal_id) WHERE hit QUALIFY place <= 12""")
+def representative_signals(spark, sf_dir):
+    return rca.representatives(*rca_inputs(spark, sf_dir))
+
+
+@query("supporting_incidents", f"""WITH {OBSERVED} SELECT l.scan_ord, l.signal_id, l.event, row_number() OVER (PARTITION BY l.scan_ord ORDER BY coalesce(sqi, 100), l.signal_id)::INT AS place
+  FROM lives l JOIN facts f USING (signal_id, scan_ord) WHERE l.event IS NOT NULL QUALIFY place <= 3""")
+def supporting_incidents(spark, sf_dir):
+    return rca.supporting(grid_incidents(spark, sf_dir).where("event is not null"), 3).select("scan_ord", "signal_id", "event", "place")
+
+
+LINKS = f"""{OBSERVED}, aff AS (SELECT scan_ord, count(*) FILTER (hit) AS n, count(*) FILTER (hit AND cause IN ('missing', 'stale')) AS m,
+    max(onset) FILTER (hit AND cause IN ('missing', 'stale')) - min(onset) FILTER (hit AND cause IN ('missing', 'stale')) AS span FROM obs GROUP BY ALL
+), lk AS (SELECT scan_ord, CASE WHEN n > 0 THEN greatest(least(0.6e0 * m / n + 0.5e0 * coalesce(exp(-span / 4e0), 0) - 0.9e0 * (n - m) / n, 1), 0) ELSE 0 END AS raw FROM aff
+), likeness AS (SELECT scan_ord, CASE WHEN raw >= 0.35 THEN raw ELSE 0 END AS likeness FROM lk
+), strong AS (SELECT *, greatest(least((greatest(least((fraction - 0.7e0) / 0.2e0, 1), 0) + greatest(least((signature * 0.2e0 - 0.02e0) / 0.08e0, 1), 0) + greatest(least((coherence * 1000e0 - 250) / 500e0, 1), 0)) / 3, 1), 0) AS strength FROM conc
+), boosted AS (SELECT s.*, likeness, CASE type WHEN 'rtu' THEN 0.5e0 WHEN 'signal' THEN 0e0 ELSE 1e0 END * likeness AS lifted FROM strong s JOIN likeness USING (scan_ord)
+), both_terms AS (SELECT *, 0.35e0 * lifted * strength * fraction * greatest(least(concentration, 1), 0) AS boost, 0.25e0 * lifted * (1 - strength) * fraction AS counter FROM boosted)"""
+
+
+@query("comms_root_causes", f"""WITH {LINKS} SELECT scan_ord, node_id, round(likeness, 9) AS likeness, round(strength, 9) AS strength, round(boost, 9) AS comms_boost, round(counter, 9) AS comms_counter,
+  round(greatest(least((0.45e0 * fraction + 0.25e0 * greatest(least((concentration + 1) / 2, 1), 0) + 0.2e0 * coherence + 0.1e0 * signature + boost - counter) / 1.2e0, 1), 0), 9) AS score
+  FROM both_terms WHERE fraction >= CASE type WHEN 'comms_domain' THEN 0.25e0 WHEN 'poll_group' THEN 0.25e0 WHEN 'rtu' THEN 0.5e0 ELSE 1e0 END""")
+def comms_root_causes(spark, sf_dir):
+    """Candidates with boost and counter of communications; the nodes' measures are made of their evidence."""
+    inputs = rca_inputs(spark, sf_dir)
+    found = stored(rca.evidence(*inputs))
+    measures = found.select("scan_ord", "node_id", F.col("fraction").alias("utilization"), (F.col("signature") * 0.2).alias("timeout_rate"), (F.col("coherence") * 1000).alias("avg_poll_jitter_ms"))
+    rows = rca.candidates(found, rca.likeness(inputs[0]), rca.strength(measures))
+    return rounded(rows, "scan_ord", "node_id", "likeness", "strength", "comms_boost", "comms_counter", "score")
+
+
+TRACKED = f"""{OBSERVED}, ends AS (SELECT node_id, scan_ord, lead(scan_ord) OVER (PARTITION BY node_id ORDER BY scan_ord) AS next FROM ranked
+), trows AS (SELECT node_id, scan_ord, score, confidence FROM ranked UNION ALL SELECT node_id, scan_ord + 1, NULL, NULL FROM ends WHERE coalesce(next <> scan_ord + 1, true) AND scan_ord < (SELECT max(scan_ord) FROM obs)
+), tnum AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY scan_ord) AS n FROM trows
+), track AS (
+  SELECT DISTINCT node_id, 0::BIGINT AS n, NULL::BIGINT AS scan_ord, NULL::BIGINT AS start, NULL::DOUBLE AS pc, NULL::DOUBLE AS ps, NULL::BIGINT AS until, 'none' AS action, NULL::DOUBLE AS oc, NULL::DOUBLE AS os, NULL::BIGINT AS ostart FROM tnum
+  UNION ALL
+  SELECT node_id, n, scan_ord, CASE WHEN opened THEN scan_ord WHEN kept THEN start END, CASE WHEN opened THEN confidence WHEN kept THEN greatest(pc, confidence) END, CASE WHEN opened THEN score WHEN kept THEN greatest(ps, score) END,
+    CASE WHEN closed THEN scan_ord + 3 ELSE until END, CASE WHEN opened THEN 'opened' WHEN kept THEN 'updated' WHEN closed THEN 'closed' ELSE 'none' END,
+    CASE WHEN opened THEN confidence WHEN kept THEN greatest(pc, confidence) WHEN closed THEN pc END, CASE WHEN opened THEN score WHEN kept THEN greatest(ps, score) WHEN closed THEN ps END, CASE WHEN opened THEN scan_ord ELSE start END
+  FROM (SELECT *, start IS NOT NULL AND NOT closed AS kept, NOT closed AND start IS NULL AND score IS NOT NULL AND NOT coalesce(scan_ord < until, false) AND confidence >= 0.7 AND score >= 0.5 AS opened FROM (
+    SELECT t.node_id, t.n, t.scan_ord, t.score, t.confidence, f.start, f.pc, f.ps, f.until, f.start IS NOT NULL AND (t.score IS NULL OR t.confidence < 0.3 OR t.score < 0.2) AS closed FROM track f JOIN tnum t ON t.node_id = f.node_id AND t.n = f.n + 1))
+), tracked AS (SELECT node_id, scan_ord, action, oc AS peak_confidence, os AS peak_score, ostart AS start_scan FROM track WHERE action <> 'none')"""
+
+
+def tracked(inputs) -> DataFrame:
+    return rca.track(ranked(inputs), inputs[0].agg(F.max("scan_ord").alias("scan_ord")))
 
 
-@query("node_incidents")
+@query("node_incidents", f"WITH {TRACKED} SELECT node_id, scan_ord, action, round(peak_confidence, 9) AS peak_confidence, round(peak_score, 9) AS peak_score, start_scan FROM tracked")
 def node_incidents(spark, sf_dir):
-    rows = ranked(spark, sf_dir)
-    return rounded(rca.track(rows, src.event_grid(spark, sf_dir)), "node_id", "scan_ord", "action", "peak_confidence", "peak_score", "start_scan")
+    return rounded(tracked(rca_inputs(spark, sf_dir)), "node_id", "scan_ord", "action", "peak_confidence", "peak_score", "start_scan")
+
+
+@query("topology_suppression", f"""WITH {TRACKED}, act AS (SELECT k.scan_ord, k.node_id, k.peak_confidence FROM tracked k JOIN tree t USING (node_id) WHERE action <> 'closed' AND type <> 'signal' AND peak_confidence >= 0.5
+), ups AS (SELECT node_id AS d, over AS a FROM tree WHERE over IS NOT NULL UNION ALL SELECT u.d, t.over FROM ups u JOIN tree t ON t.node_id = u.a WHERE t.over IS NOT NULL
+), sup AS (SELECT scan_ord, d AS node_id, a.node_id AS suppressed_by, row_number() OVER (PARTITION BY scan_ord, d ORDER BY peak_confidence DESC, a.node_id) AS k FROM act a JOIN ups ON ups.a = a.node_id)
+  SELECT scan_ord, node_id, suppressed_by FROM sup WHERE k = 1""")
+def topology_suppression(spark, sf_dir):
+    inputs = rca_inputs(spark, sf_dir)
+    active = tracked(inputs).where("action <> 'closed'").join(inputs[1].select(F.col("id").alias("node_id"), "type"), "node_id")
+    return rca.suppressors(active, inputs[2])
+
+
+@query("unsuppressed_candidates", f"""WITH {TRACKED}, act AS (SELECT k.scan_ord, k.node_id, k.peak_confidence FROM tracked k JOIN tree t USING (node_id) WHERE action <> 'closed' AND type <> 'signal' AND peak_confidence >= 0.5
+), ups AS (SELECT node_id AS d, over AS a FROM tree WHERE over IS NOT NULL UNION ALL SELECT u.d, t.over FROM ups u JOIN tree t ON t.node_id = u.a WHERE t.over IS NOT NULL)
+  SELECT scan_ord, node_id FROM ranked r WHERE NOT EXISTS (FROM act a JOIN ups ON ups.a = a.node_id WHERE a.scan_ord = r.scan_ord AND ups.d = r.node_id)""")
+def unsuppressed_candidates(spark, sf_dir):
+    inputs = rca_inputs(spark, sf_dir)
+    rows = ranked(inputs)
+    active = rca.track(rows, inputs[0].agg(F.max("scan_ord").alias("scan_ord"))).where("action <> 'closed'").join(inputs[1].select(F.col("id").alias("node_id"), "type"), "node_id")
+    return rca.unsuppressed(rows.select("scan_ord", "node_id"), rca.suppressors(active, inputs[2]))
