@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from telemetrica.llm.common import resident
+
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = re.compile(r"\s\s")
@@ -70,6 +72,19 @@ class ChunkTable:
         return self.new
 
 
+def plain_core(spec: dict):
+    """tiktoken's encoding set up from a byte-level vocabulary file, if the file's ids are in the order of its merges; else None."""
+    vocabulary, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
+        return None
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    ranks = {bytes(map(alphabet.__getitem__, p)): k for p, k in vocabulary.items() if p not in added}
+    return tiktoken.Encoding("plain", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+
 #: Marks that end many words; none of them joins letters, and no added token ends in one.
 TAIL = ".,;:!?*#%&$|-"
 #: Below this code point two libraries' letter classes are taken to agree.
@@ -94,18 +109,8 @@ class IdTable(ChunkTable):
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.tails: dict[str, bytes] = {}
-        self.fast = self._fast(spec)
-
-    def _fast(self, spec: dict):
-        vocabulary = spec["model"]["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(pairs)) or any(t[-1] in TAIL for t in self.special):
-            return None
-        import tiktoken
-
-        alphabet = byte_alphabet()
-        ranks = {bytes(map(alphabet.__getitem__, p)): k for p, k in vocabulary.items() if p not in self.special}
-        return tiktoken.Encoding("plain", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        core = None if any(t[-1] in TAIL for t in self.special) else plain_core(spec)
+        self.fast = core and core.encode_ordinary
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
@@ -135,14 +140,9 @@ class IdTable(ChunkTable):
         return [known[s] + self.tails[c[len(s) :]] if len(s) < len(c) else known[s] for c, s in zip(chunks, stems, strict=True)]
 
 
-_tables: dict[str, IdTable] = {}
-
-
 def id_table(path: str) -> IdTable:
     """This process's table for ``path``."""
-    if path not in _tables:
-        _tables[path] = IdTable(path)
-    return _tables[path]
+    return resident(("ids", path), lambda: IdTable(path))
 
 
 def encode_ids(texts: list[str], path: str) -> list[bytes]:

@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetrica.llm.bytebpe import PRE_TOKEN, ChunkTable, byte_alphabet, chunks_of, parts_of
-from telemetrica.llm.common import map_batches, table, texts_of
+from telemetrica.llm.bytebpe import PRE_TOKEN, ChunkTable, byte_alphabet, chunks_of, parts_of, plain_core
+from telemetrica.llm.common import map_batches, resident, table, texts_of
 
 LIMIT = 1024
+#: Words of at most this many bytes are counted together, ``TOGETHER`` at a time.
+SHORT, TOGETHER = 24, 1 << 14
 MEMO_ENTRIES = 400_000
 
 
@@ -40,16 +41,33 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.special = [t["content"] for t in spec["added_tokens"]]
         added = set(self.special)
-        self.units = {raw(p) for p in spec["model"]["vocab"] if p not in added}
+        self.units = [raw(p) for p in spec["model"]["vocab"] if p not in added]
+        self.place = {u: k for k, u in enumerate(self.units)}
         self.longest = max(map(len, self.units))
-        self.whole: dict[bytes, bool] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.last: dict[bytes, tuple[int, bytes]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.core, self.core_id = plain_core(spec), {raw(p): k for p, k in spec["model"]["vocab"].items() if p not in added}
+        self.whole = np.full(len(self.units), -1, np.int8)
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, bytes | list[int]] = {}
         self.pattern = regex.compile(PRE_TOKEN)
-        self.odd = re.compile(r"[\s']")
+        self.odd = re.compile("|".join([r"(?!\A)[\s']", *map(re.escape, self.special)]))
         self.cuts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.table = ChunkTable(lambda chunks: [self._relative(c) for c in chunks])
+        self.table = ChunkTable(self._relatives)
+        self._grow()
+
+    def _grow(self) -> None:
+        """The tree of all units read backwards: sorted edges (node * 256 + byte), where they lead, and the unit that ends at a node."""
+        edges: dict[int, int] = {}
+        ends: list[int] = [-1]
+        for k, unit in enumerate(self.units):
+            node = 0
+            for b in reversed(unit):
+                node = edges.setdefault(node << 8 | b, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = k
+        codes = np.fromiter(edges.keys(), np.int64, len(edges))
+        order = np.argsort(codes)
+        self.edges, self.leads, self.ends = codes[order], np.fromiter(edges.values(), np.int64, len(edges))[order], np.array(ends, np.int64)
 
     def _merge(self, word: bytes) -> list[bytes]:
         """The merges of one short word, lowest rank first."""
@@ -69,55 +87,34 @@ class PrefixCounter:
             parts = out
         return parts
 
-    def _reachable(self, unit: bytes) -> bool:
-        if unit not in self.whole:
-            self.whole[unit] = self._merge(unit) == [unit]
-        return self.whole[unit]
-
-    def _adjacent(self, left: bytes, right: bytes) -> bool:
-        pair = (left, right)
-        if pair not in self.fits:
+    def _reachable(self, unit: int) -> bool:
+        """Whether merges make the unit of its own bytes."""
+        if self.whole[unit] < 0:
+            self.whole[unit] = self._merge(self.units[unit]) == [self.units[unit]]
+        return bool(self.whole[unit])
+
+    def _adjacent(self, left: int, right: int) -> bool:
+        """Whether merges of the two units' bytes end in the two units."""
+        pair = left * len(self.units) + right
+        known = self.fits.get(pair)
+        if known is None:
             if len(self.fits) > MEMO_ENTRIES:
                 self.fits.clear()
-            self.fits[pair] = self._merge(left + right) == [left, right]
-        return self.fits[pair]
-
-    def _step(self, prefix: bytes) -> tuple[int, bytes]:
-        """Token count and last token of ``prefix``, whose own prefixes are known or found first."""
-        known = self.last.get(prefix)
-        if known:
-            return known
-        for n in range(min(len(prefix), self.longest), 0, -1):
-            unit = prefix[-n:]
-            if unit in self.units and self._reachable(unit):
-                if n == len(prefix):
-                    found = (1, unit)
-                    break
-                count, before = self.last.get(prefix[:-n]) or self._walk(prefix[:-n])
-                if self._adjacent(before, unit):
-                    found = (count + 1, unit)
-                    break
-        else:
-            raise ValueError("the vocabulary lacks a byte")
-        if len(prefix) <= 24:
-            if len(self.last) > MEMO_ENTRIES:
-                self.last.clear()
-            self.last[prefix] = found
-        return found
-
-    def _walk(self, word: bytes) -> tuple[int, bytes]:
-        return self._column(word)[-1]
-
-    def _column(self, word: bytes) -> list[tuple[int, bytes]]:
-        """The table of one pre-token: count and last token at each byte prefix, from the left."""
-        if len(word) <= 24:
-            get, step = self.last.get, self._step
-            return [get(x) or step(x) for x in [word[:i] for i in range(1, len(word) + 1)]]
-        out: list[tuple[int, bytes]] = []
+            a, b = self.units[left], self.units[right]
+            if self.core is None or a + b in self.place:  # the core takes any unit for whole
+                known = self._merge(a + b) == [a, b]
+            else:
+                known = self.core._encode_single_piece(a + b) == [self.core_id[a], self.core_id[b]]
+            self.fits[pair] = known
+        return known
+
+    def _column(self, word: bytes) -> list[int]:
+        """Counts at each byte prefix of one pre-token, from the left."""
+        out: list[tuple[int, int]] = []
         for i in range(1, len(word) + 1):
             for n in range(min(i, self.longest), 0, -1):
-                unit = word[i - n : i]
-                if unit in self.units and self._reachable(unit):
+                unit = self.place.get(word[i - n : i])
+                if unit is not None and self._reachable(unit):
                     if n == i:
                         out.append((1, unit))
                         break
@@ -125,24 +122,83 @@ class PrefixCounter:
                     if self._adjacent(before, unit):
                         out.append((count + 1, unit))
                         break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        return [n for n, _ in out]
+
+    def _columns(self, words: list[bytes]) -> list[bytes]:
+        """``_column`` of many words of at most ``SHORT`` bytes, position by position for all of them."""
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        sizes = np.array([len(words[k]) for k in order])
+        width = int(sizes[0])
+        data = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in order), np.uint8).reshape(-1, width)
+        alive = [int((sizes >= i).sum()) for i in range(1, width + 1)]  # words with an i-th byte come first
+        counts, last = np.zeros((len(words), width + 1), np.int64), np.zeros((len(words), width + 1), np.int64)
+        for i, m in enumerate(alive, 1):
+            # units that end at byte i, by their length
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            rows, node = np.arange(m), np.zeros(m, np.int64)
+            for n in range(1, i + 1):
+                code = node << 8 | data[rows, i - n]
+                at = np.minimum(np.searchsorted(self.edges, code), len(self.edges) - 1)
+                on = self.edges[at] == code
+                rows, node = rows[on], self.leads[at[on]]
+                unit = self.ends[node]
+                ended = unit >= 0
+                if ended.any():
+                    found.append((n, rows[ended], unit[ended]))
+                if not len(rows):
+                    break
+            for n, rows, unit in reversed(found):
+                open_ = counts[rows, i] == 0
+                rows, unit = rows[open_], unit[open_]
+                if not len(rows):
+                    continue
+                for k in np.unique(unit[self.whole[unit] < 0]).tolist():
+                    self._reachable(k)
+                good = self.whole[unit] == 1
+                rows, unit = rows[good], unit[good]
+                if n < i:
+                    pairs, inverse = np.unique(last[rows, i - n] * len(self.units) + unit, return_inverse=True)
+                    good = np.fromiter((self._adjacent(*divmod(p, len(self.units))) for p in pairs.tolist()), bool, len(pairs))[inverse]
+                    rows, unit = rows[good], unit[good]
+                counts[rows, i], last[rows, i] = counts[rows, i - n] + 1, unit
+            if not counts[:m, i].all():
+                raise ValueError("the vocabulary lacks a byte")
+        small = counts[:, 1:].astype(np.uint8)
+        out = [b""] * len(words)
+        for k, row, size in zip(order, small, sizes.tolist(), strict=True):
+            out[k] = row[:size].tobytes()
         return out
 
-    def _word(self, word: str) -> list[int]:
+    def _learn(self, words: set[str]) -> None:
+        """Take short words that aren't known yet into the table of words."""
+        if len(self.words) + len(words) > MEMO_ENTRIES:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        raws = [w.encode() for w in new]
+        short = [k for k, r in enumerate(raws) if len(r) <= SHORT]
+        for k in range(0, len(short), TOGETHER):
+            part = short[k : k + TOGETHER]
+            for at, column in zip(part, self._columns([raws[j] for j in part]), strict=True):
+                self.words[new[at]] = self._by_character(new[at], column)
+
+    @staticmethod
+    def _by_character(word: str, column: bytes | list[int]) -> bytes | list[int]:
+        """Of the counts at byte prefixes those at code-point prefixes."""
+        if len(column) == len(word):
+            return column
+        return type(column)(column[end - 1] for end in accumulate(len(c.encode()) for c in word))
+
+    def _word(self, word: str) -> bytes | list[int]:
         """Counts at each code-point prefix of a text that is one pre-token."""
         known = self.words.get(word)
-        if known:
-            return known
-        raw = word.encode()
-        column = self._column(raw)
-        if len(raw) == len(word):
-            counts = [n for n, _ in column]
-        else:
-            counts = [column[end - 1][0] for end in accumulate(len(c.encode()) for c in word)]
-        if len(word) <= 24:
-            if len(self.words) > MEMO_ENTRIES // 4:
-                self.words.clear()
-            self.words[word] = counts
-        return counts
+        if known is None:
+            raw = word.encode()
+            known = self._by_character(word, self._column(raw))
+            if len(raw) <= SHORT:
+                self.words[word] = known
+        return known
 
     def _plain(self, text: str) -> list[int]:
         """Counts at each prefix of a text without added tokens."""
@@ -198,17 +254,24 @@ class PrefixCounter:
             at = m.end()
         return out + [base + n for n in self._plain(text[at:])]
 
-    def _relative(self, chunk: str) -> bytes | list[int]:
-        """Counts at each prefix of a chunk, as bytes if they are small."""
-        if self.odd.search(chunk, 1) or any(x in chunk for x in self.special):
-            out = self._counts(chunk)
-        else:
-            out, base = [], 0
-            for word in self.pattern.findall(chunk):
-                counts = self._word(word)
-                out += [base + n for n in counts] if base else counts
-                base += counts[-1]
-        return bytes(out) if not out or max(out) < 256 else out
+    def _relatives(self, chunks: list[str]) -> list[bytes | list[int]]:
+        """Counts at each prefix of each chunk, as bytes if they are small."""
+        split = list(map(self.pattern.findall, chunks))
+        self._learn(set(chain.from_iterable(split)))
+        odd, out = self.odd.search, []
+        for chunk, words in zip(chunks, split, strict=True):
+            if odd(chunk):
+                counts = self._counts(chunk)
+            elif len(words) == 1:
+                counts = self._word(words[0])
+            else:
+                counts, base = [], 0
+                for word in words:
+                    own = self._word(word)
+                    counts += [base + n for n in own]
+                    base += own[-1]
+            out.append(counts if isinstance(counts, bytes) or (counts and max(counts) > 255) else bytes(counts))
+        return out
 
     def tables(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its count at every prefix: entry ``i`` is for the first ``i`` code points."""
@@ -238,10 +301,9 @@ def fitting_prefix(counts: np.ndarray, budget: int) -> int:
     return int(fits[-1]) if len(fits) else 0
 
 
-@cache
 def counter(path: str) -> PrefixCounter:
     """This process's counter for ``path``."""
-    return PrefixCounter(path)
+    return resident(("prefixes", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, budget: int = LIMIT, id_column: str = "doc_id", text_column: str = "text", with_table: bool = False) -> DataFrame:
