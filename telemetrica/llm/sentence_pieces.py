@@ -16,6 +16,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,10 +138,22 @@ class PieceCodec:
         parts = [decoders.Replace(MARKER, " ")] + [decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse()]
         self.library.decoder = decoders.Sequence(parts)
         self.words = not any(MARKER in p.lstrip(MARKER) for p, _, kind in model.pieces if kind in (NORMAL, USER))
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(lambda words: self._encode([MARKER + w for w in words]))
+        self.odd = ChunkTable(self._encode)
+        #: What the library's decoder makes of each piece, and which of them it decodes one by one: bytes of
+        #: ASCII characters too, as long as no other bytes stand beside them.
+        byte = [int(p[3:5], 16) if kind == BYTE else 256 for p, _, kind in model.pieces]
+        self.said = np.array([chr(b) if b < 128 else p.replace(MARKER, " ") for b, (p, _, _) in zip(byte, model.pieces, strict=True)], object)
+        self.alone = np.array([b < 128 or kind in (NORMAL, USER) for b, (_, _, kind) in zip(byte, model.pieces, strict=True)], bool)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a normalised text without their markers; None if they aren't marked one by one."""
+        if text[:1] != MARKER or text[-1:] == MARKER or MARKER * 2 in text:
+            return None
+        return text[1:].split(MARKER)
 
     def normalised(self, text: str) -> str:
         """``text`` as the model's normaliser leaves it, with the marker for spaces."""
@@ -154,14 +167,30 @@ class PieceCodec:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
         out = []
         for part in parts_of(texts):
-            lists = [WORD.split(n) if self.words else [n] for n in map(self.normalised, part)]
-            get = self.table.look_up(lists).__getitem__
-            out += [b"".join(map(get, x)) for x in lists]
+            own = [self.normalised(t) for t in part]
+            lists = [self._words(n) if self.words else None for n in own]
+            get = self.table.look_up([x for x in lists if x is not None]).__getitem__
+            found = [None if x is None else b"".join(map(get, x)) for x in lists]
+            rest = [k for k, f in enumerate(found) if f is None]
+            if rest:
+                lists = [WORD.split(own[k]) if self.words else [own[k]] for k in rest]
+                get = self.odd.look_up(lists).__getitem__
+                for k, x in zip(rest, lists, strict=True):
+                    found[k] = b"".join(map(get, x))
+            out += found
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        """The normalised texts behind ids, without the prefix that encoding added."""
-        texts = self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+        """The normalised texts behind ids, without the prefix that encoding added.
+
+        Texts of ordinary pieces alone are what the library's decoder makes of each; those with bytes or unknown
+        pieces go through it as they are.
+        """
+        lists = [np.frombuffer(x, "<u4") for x in ids]
+        texts: list[str | None] = ["".join(self.said[x].tolist()) if self.alone[x].all() else None for x in lists]
+        rest = [k for k, t in enumerate(texts) if t is None]
+        for k, t in zip(rest, self.library.decode_batch([lists[k].tolist() for k in rest], skip_special_tokens=False), strict=True):
+            texts[k] = t
         return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in texts]
 
 
