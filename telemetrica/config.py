@@ -6,7 +6,7 @@ from dataclasses import fields, is_dataclass
 from typing import Any
 
 #: Keys whose entries are free, so that overrides may add to them.
-OPEN = {"by_signal", "by_prefix", "per_node_capacity_bps", "cause_priority"}
+OPEN = {"by_signal", "by_prefix", "per_node_capacity_bps", "cause_priority", "explicit", "default_capacity_bps_by_type"}
 
 
 def load_yaml(text: str) -> dict:
@@ -34,7 +34,7 @@ def merged(defaults: dict, changes: dict, path: str = "") -> dict:
     out = dict(defaults)
     for key, value in changes.items():
         here = f"{path}.{key}" if path else key
-        if key not in defaults and path.rsplit(".", 1)[-1] not in OPEN and key not in OPEN:
+        if key not in defaults and key not in OPEN and not OPEN.intersection(path.split(".")):
             raise KeyError(f"unknown key: {here}")
         out[key] = merged(defaults.get(key) or {}, value, here) if isinstance(value, dict) and isinstance(defaults.get(key, {}), dict) else value
     return out

@@ -209,3 +209,37 @@ def suppressors(active: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("
 def unsuppressed(rows: DataFrame, by: DataFrame) -> DataFrame:
     """Rows (scan_ord, node_id) that nothing suppresses."""
     return rows.join(by, ["scan_ord", "node_id"], "left_anti")
+
+
+def onset_state(obs: DataFrame) -> DataFrame:
+    """What a later run has to know of signals: (signal_id, last_scan, is_affected, cause, quality_class, onset_scan) after the last scan."""
+    last = obs.groupBy("signal_id").agg(F.max_by(F.struct(F.col("scan_ord").alias("last_scan"), "is_affected", "cause", "quality_class", "onset_scan"), "scan_ord").alias("_l"))
+    return last.select("signal_id", "_l.*")
+
+
+def stability_state(ranked: DataFrame) -> DataFrame:
+    """Of the candidates of the last scan their scans in a row: (node_id, last_scan, stable_scans); others have lost theirs."""
+    last = ranked.agg(F.max("scan_ord").alias("_last"))  # one row
+    now = ranked.join(F.broadcast(last), F.col("scan_ord") == F.col("_last"))
+    return now.select("node_id", F.col("scan_ord").alias("last_scan"), (F.col("stable_scans") + 1).alias("stable_scans"))
+
+
+def pruned(state: DataFrame, scan: int, kept: int) -> DataFrame:
+    """State of what was seen within ``kept`` scans before ``scan``, or is affected still."""
+    stays = F.col("last_scan") >= scan - kept
+    return state.where(stays | F.col("is_affected") if "is_affected" in state.columns else stays)
+
+
+def resumed(obs: DataFrame, state: DataFrame) -> DataFrame:
+    """Observations of a later run with the onsets of runs that began before it: a run that starts in its first scan goes on."""
+    first = obs.groupBy("signal_id").agg(F.min("scan_ord").alias("_first"))
+    before = state.where("is_affected").select("signal_id", F.col("onset_scan").alias("_onset"), F.col("last_scan").alias("_until"))
+    rows = obs.join(first, "signal_id").join(before, "signal_id", "left")
+    goes_on = (F.col("onset_scan") == F.col("_first")) & (F.col("_first") == F.col("_until") + 1)
+    return rows.withColumn("onset_scan", F.when(goes_on, F.col("_onset")).otherwise(F.col("onset_scan"))).drop("_first", "_onset", "_until")
+
+
+def top_only(state: DataFrame, ranked: DataFrame, top: int = 3) -> DataFrame:
+    """Stability of all but the ``top`` ranked candidates set back to 0."""
+    good = ranked.where(F.col("rank") <= top).select("node_id", F.col("scan_ord").alias("last_scan"), F.lit(True).alias("_top"))
+    return state.join(good, ["node_id", "last_scan"], "left").withColumn("stable_scans", F.when(F.col("_top"), F.col("stable_scans")).otherwise(0)).drop("_top")

@@ -31,7 +31,7 @@ def validate(nodes: list[dict], edges: list[dict], allow_orphans: bool = False)
 
 def version(nodes: list[dict], edges: list[dict]) -> str:
     """A SHA-256 over the canonical form."""
-    canonical = {"nodes": sorted(nodes, key=lambda n: n["id"]), "edges": sorted(edges, key=lambda e: (e["parent"], e["child"]))}
+    canonical = {"nodes": sorted(nodes, key=lambda n: (n["type"], n["id"])), "edges": sorted(edges, key=lambda e: (e["parent"], e["child"]))}
     return hashlib.sha256(json.dumps(canonical, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 

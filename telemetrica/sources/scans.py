@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ COMMS = (
 )
 SCAN = f"scan_index long, timestamp double, signals string, comms_metrics {COMMS}"
 QUALITIES = ("good", "uncertain", "bad")
+SCAN_KEYS, SAMPLE_KEYS = ("scan_index", "timestamp", "signals", "comms_metrics"), ("value", "quality", "source_timestamp")
+COMMS_KEYS = tuple(x.split(":")[0] for x in COMMS.removeprefix("array<struct<").removesuffix(">>").split(","))
 
 
 def read_scans(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -26,13 +31,22 @@ def read_scans(spark: SparkSession, path: str, streaming: bool = False) -> DataF
 
 
 def invalid_scans(scans: DataFrame) -> DataFrame:
-    """The records that miss a required field or hold an unknown quality, with the reason."""
-    qualities = F.transform(F.map_values("signals"), lambda x: F.lower(F.trim(F.get_json_object(x, "$.quality"))))
+    """The records that miss a required field, hold unknown keys or qualities, or comms metrics without all keys, with the reason."""
+    top = F.from_json("line", "map<string,string>")
+    nested = F.filter(F.map_values("signals"), lambda x: F.ltrim(x).startswith("{"))
+    qualities = F.transform(nested, lambda x: F.lower(F.trim(F.get_json_object(x, "$.quality"))))
+    metrics = F.from_json(top["comms_metrics"], "array<map<string,string>>")
+    within = lambda keys, allowed: F.size(F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))) > 0
+    needed = F.array(*[F.lit(k) for k in COMMS_KEYS])
     reason = (
         F.when(F.col("scan_index").isNull(), "scan_index")
         .when(F.col("timestamp").isNull(), "timestamp")
         .when(F.col("signals").isNull(), "signals")
+        .when(within(F.map_keys(top), SCAN_KEYS), "unknown key")
+        .when(F.exists(nested, lambda x: within(F.json_object_keys(x), SAMPLE_KEYS)), "unknown sample key")
         .when(F.exists(qualities, lambda q: q.isNotNull() & ~q.isin(*QUALITIES)), "quality")
+        .when(top["comms_metrics"].isNotNull() & metrics.isNull(), "comms_metrics")
+        .when(F.exists(metrics, lambda m: F.size(F.array_except(needed, F.map_keys(m))) > 0), "comms key")
     )
     return scans.withColumn("reason", reason).where("reason is not null")
 
@@ -108,6 +122,44 @@ def registry(rows: DataFrame, most: int | None = None, policy: str = "error") ->
     return out.withColumn("registration", F.when(F.col("registration") > most, F.raise_error(F.lit("too many signals"))).otherwise(F.col("registration")))
 
 
+def unregister(known: DataFrame, ids: list[str]) -> DataFrame:
+    """The registry without some signals."""
+    return known.where(~F.col("signal_id").isin(*ids))
+
+
+def evicting_registry(rows: DataFrame, most: int) -> DataFrame:
+    """(signal_id, registered_scan, evicted_scan) where a new signal drives out the one registered longest.
+
+    A signal that was driven out registers anew when it comes again. The policy ties all signals together, so it is
+    one ordered pass; it holds ``most`` signals and reads a row a signal and scan.
+    """
+    kind = rows.schema["signal_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        out: list[tuple] = []
+        shape = None
+        for batch in batches:
+            shape = batch.schema
+            for scan, signal in zip(batch.column("scan_ord").to_pylist(), batch.column("signal_id").to_pylist(), strict=True):
+                if signal not in held:
+                    if len(held) >= most:
+                        oldest = next(iter(held))
+                        out.append((oldest, held.pop(oldest), scan))
+                    held[signal] = scan
+            yield packed(out, shape)
+            out = []
+        if held:
+            yield packed([(signal, scan, None) for signal, scan in held.items()], shape)
+
+    def packed(out: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (shape.field("signal_id").type, pa.int64(), pa.int64()), strict=True)], ["signal_id", "registered_scan", "evicted_scan"])
+
+    seen = rows.select(F.col("scan_ord").cast("long"), "signal_id").distinct()
+    return seen.repartition(1).sortWithinPartitions("scan_ord", "signal_id").mapInArrow(run, f"signal_id {kind}, registered_scan long, evicted_scan long")
+
+
 def densify(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Every registered signal in every scan from its first on; absent cells are missing.
 
@@ -149,6 +201,17 @@ def simulated(spark: SparkSession, signals: int, scans: int, interval: float = 0
     return rows.withColumns({"ts": t, "value": 10 * F.sin(2 * 3.141592653589793 * 0.5 * t) + noise * F.randn(seed)})
 
 
+def drifting(spark: SparkSession, signals: int, scans: int, slope: float = 0.05, **more) -> DataFrame:
+    """``simulated`` signals that move away by ``slope`` a scan."""
+    return simulated(spark, signals, scans, **more).withColumn("value", F.col("value") + slope * F.col("scan_ord"))
+
+
+def spiked(spark: SparkSession, signals: int, scans: int, every: int = 50, height: float = 30.0, **more) -> DataFrame:
+    """``simulated`` signals with a spike in every so many scans."""
+    hit = F.col("scan_ord") % every == every - 1
+    return simulated(spark, signals, scans, **more).withColumn("value", F.col("value") + F.when(hit, height).otherwise(0.0))
+
+
 # --- the driver tables as signals ------------------------------------------------------------------
 
 

@@ -164,7 +164,7 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text("timestamp,signal_id,value\n1,a,5\n1,a,6\n2,b,\n")
     rows = scans.read_csv(spark, str(tmp_path / "s.csv")).withColumn("n", F.monotonically_increasing_id())
     found = {(r["scan_ord"], r["signal_id"]): r["value"] for r in scans.scans_of(rows, "n").collect()}
-    assert found == {(1, "a"): 6.0, (2, "b"): None}
+    assert found == {(1, "a"): 6.0, (1, "b"): None, (2, "a"): None, (2, "b"): None}
     (tmp_path / "bad.csv").write_text("timestamp,signal_id,value\n1,,5\n")
     with pytest.raises(Exception, match="signal_id is empty"):
         scans.read_csv(spark, str(tmp_path / "bad.csv")).collect()
