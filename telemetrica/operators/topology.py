@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetrica.sources.scans import numbered
+
 TYPES = ("comms_domain", "poll_group", "rtu", "signal")
 DEPTH = len(TYPES)
 
@@ -45,9 +47,15 @@ def closure(edges: DataFrame) -> DataFrame:
     return out
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(id, ancestors): the ids above each node from the root to its parent, joined by slashes; at most ``DEPTH`` - 1."""
+    up = closure(edges).groupBy(F.col("descendant").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("_a"))
+    return up.select("id", F.array_join(F.transform("_a", lambda x: x["ancestor"]), "/").alias("ancestors"))
+
+
 def node_order(nodes: DataFrame) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("type") == t, k) for k, t in enumerate(TYPES)])
-    return nodes.withColumn("node_order", F.row_number().over(Window.orderBy(rank, "id")))
+    return numbered(nodes.withColumn("_o", F.struct(rank.alias("k"), "id")), "_o", "node_order").drop("_o").withColumn("node_order", F.col("node_order").cast("int"))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def query(name: str, oracle: str | None = None):
 
 
 KEYS = ("signal_id", "scan_ord")
-FREQUENCIES = SignalConfig(frequencies=(0.5, 1.0, 2.0))
+FREQUENCIES = SignalConfig(frequencies=(0.5, 1.0, 2.0), frequency_threshold=0.2)
 LIMITED = SignalConfig(value_min=1.0, value_max=150.0, max_rate=50.0, plausibility_persistence=2, plausibility_recovery=3)
 
 
@@ -175,11 +175,12 @@ FULL = f"""full_windows AS (
   z AS (SELECT signal_id, scan_ord, i, CASE WHEN sd > 0 THEN (v - m) / sd ELSE v - m END AS z FROM x JOIN st USING (signal_id, scan_ord)),
   c AS (SELECT signal_id, scan_ord, f, sum(z * sin(2 * pi() * f * 0.1 * i)) / 50 AS s, sum(z * cos(2 * pi() * f * 0.1 * i)) / 50 AS c
     FROM z, (VALUES (0.5e0), (1e0), (2e0)) fs(f) GROUP BY ALL),
-  g AS (SELECT signal_id, scan_ord, coalesce(sum(s * s + c * c) FILTER (sqrt(s * s + c * c) > 0.5), 0) AS e, max(sqrt(s * s + c * c)) AS m FROM c GROUP BY ALL)
-  SELECT s.signal_id, s.scan_ord, round(coalesce(e, 0), 9) AS oscillation_energy, round(m, 9) AS strongest FROM series s LEFT JOIN g USING (signal_id, scan_ord)""")
+  g AS (SELECT signal_id, scan_ord, coalesce(sum(s * s + c * c) FILTER (sqrt(s * s + c * c) > 0.2), 0) AS e, max(sqrt(s * s + c * c)) AS m, arg_max(f, s * s + c * c) AS f, arg_max(atan2(s, c), s * s + c * c) AS p FROM c GROUP BY ALL)
+  SELECT s.signal_id, s.scan_ord, round(coalesce(e, 0), 9) AS oscillation_energy, round(m, 9) AS strongest, CASE WHEN m > 0.2 THEN f END AS dominant_frequency, round(p, 6) AS phase FROM series s LEFT JOIN g USING (signal_id, scan_ord)""")
 def oscillation(spark, sf_dir):
     df = signals.oscillation(src.event_series(spark, sf_dir), FREQUENCIES)
-    return rounded(df.withColumn("strongest", F.array_max("components")["magnitude"]), *KEYS, "oscillation_energy", "strongest")
+    df = df.withColumns({"strongest": F.array_max("components")["magnitude"], "phase": F.round(F.array_max("components")["phase"], 6)})
+    return rounded(df, *KEYS, "oscillation_energy", "strongest", "dominant_frequency", "phase")
 
 
 @query("spectrum", f"""WITH {SERIES}, {FULL}, h AS (SELECT signal_id, scan_ord, i, v * (0.5e0 - 0.5e0 * cos(2 * pi() * i / 49)) AS v FROM x),
@@ -196,14 +197,14 @@ def flat_series(spark, sf_dir):
     return src.event_series(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 50) * 50.0)
 
 
-@query("stale", f"""WITH {SERIES}, q AS (SELECT * REPLACE (floor(value / 50) * 50e0 AS value) FROM series),
+@query("stale", f"""WITH {SERIES}, q AS (SELECT * REPLACE (floor(value / 50) * 50e0 AS value, floor(ts / 10000) * 10000e0 AS ts) FROM series),
   a AS (SELECT *, CASE WHEN value = lag(value) {W}) THEN 0 ELSE 1 END AS br, coalesce(ts <= lag(ts) {W}), false) AS timestamp_stale FROM q),
   i AS (SELECT *, sum(br) {W}) AS isl FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, isl ORDER BY scan_ord) >= 5 AS flatline FROM i),
   z AS (SELECT *, CASE WHEN timestamp_stale THEN 'timestamp' WHEN flatline THEN 'flatline' END AS raw FROM r),
   o AS (SELECT *, max(raw IS NOT NULL) {W} ROWS 2 PRECEDING) AS stale, last_value(raw IGNORE NULLS) {W}) AS reason FROM z)
   SELECT signal_id, scan_ord, flatline, timestamp_stale, stale, CASE WHEN stale THEN reason END AS stale_reason FROM o""")
 def stale(spark, sf_dir):
-    return signals.stale(flat_series(spark, sf_dir)).select(*KEYS, "flatline", "timestamp_stale", "stale", "stale_reason")
+    return signals.stale(rough_series(spark, sf_dir)).select(*KEYS, "flatline", "timestamp_stale", "stale", "stale_reason")
 
 
 STEP = f"""WITH RECURSIVE {SERIES}, m AS (SELECT *, CASE WHEN count(value) {W} ROWS 9 PRECEDING) = 10 THEN avg(value) {W} ROWS 9 PRECEDING) END AS mean FROM series),
@@ -278,6 +279,34 @@ def missing_ratio(spark, sf_dir):
     return rounded(signals.missing(signals.quality_mask(src.event_series(spark, sf_dir))), *KEYS, "raw_missing_ratio", "missing_ratio")
 
 
+@query("spike_debounce", f"""WITH {SERIES}, {SPIKES.format(base='series')}, r AS (SELECT *, sum(CASE WHEN is_spike THEN 0 ELSE 1 END) {W}) AS calm FROM spiked
+  ), d AS (SELECT *, is_spike AND count(*) FILTER (is_spike) OVER (PARTITION BY signal_id, calm ORDER BY scan_ord) >= 2 AS held FROM r)
+  SELECT signal_id, scan_ord, held AS is_spike, CAST(sum(CASE WHEN held AND NOT coalesce(before, false) THEN 1 ELSE 0 END) {W}) AS BIGINT) AS spike_count FROM (SELECT *, lag(held) {W}) AS before FROM d)""")
+def spike_debounce(spark, sf_dir):
+    return signals.spikes(src.event_series(spark, sf_dir), SignalConfig(spike_debounce=2)).select(*KEYS, "is_spike", "spike_count")
+
+
+@query("sample_parse", f"""WITH {SERIES} SELECT signal_id, scan_ord, CASE k % 3 WHEN 2 THEN NULL ELSE value END AS value, CASE WHEN k % 3 = 1 THEN CASE WHEN k > 4 THEN 'bad' ELSE 'uncertain' END ELSE 'good' END AS quality,
+  CASE WHEN k % 3 = 1 THEN k + 0.5e0 END AS source_timestamp FROM (SELECT * REPLACE (CAST(signal_id AS VARCHAR) AS signal_id) FROM series)""")
+def sample_parse(spark, sf_dir):
+    """Samples as numbers, nulls and nested records, written as text and parsed."""
+    k = F.get_json_object("props", "$.k").cast("int") % 10
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("signal_id"), F.row_number().over(order).cast("long").alias("scan_index"), k.alias("k"), "value")
+    rich = F.to_json(F.struct("value", F.when(F.col("k") > 4, " BAD ").otherwise("Uncertain").alias("quality"), (F.col("k") + 0.5).alias("source_timestamp")))
+    raw = F.when(F.col("k") % 3 == 1, rich).when(F.col("k") % 3 == 0, F.col("value").cast("string"))
+    parsed = src.samples(rows.select("scan_index", F.lit(0.0).alias("timestamp"), F.create_map("signal_id", raw).alias("signals")))
+    return parsed.select(*KEYS, "value", "quality", "source_timestamp")
+
+
+@query("scan_pivot", """WITH r AS (SELECT floor(epoch_us(ts) / 1e6 / 3600) AS t, event_type AS signal_id, max_by(value, event_id) AS value FROM events GROUP BY ALL), t AS (SELECT t, dense_rank() OVER (ORDER BY t) AS scan_ord FROM (SELECT DISTINCT t FROM r))
+  SELECT t.scan_ord, t.t * 3600 AS ts, s.signal_id, r.value FROM t CROSS JOIN (SELECT DISTINCT signal_id FROM r) s LEFT JOIN r ON r.t = t.t AND r.signal_id = s.signal_id""")
+def scan_pivot(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select((F.floor(src.seconds("ts") / 3600) * 3600.0).alias("timestamp"), F.col("event_type").alias("signal_id"), "value", "event_id")
+    return src.scans_of(rows, "event_id").select("scan_ord", "ts", "signal_id", "value")
+
+
 # --- quality index ---------------------------------------------------------------------------------
 
 INDEX = f"""{SERIES}, {DRIFT}, vv AS (SELECT *, avg(value) {W} ROWS 19 PRECEDING) AS mean, coalesce(var_samp(value) {W} ROWS 19 PRECEDING), 0) AS variance FROM drifts
@@ -755,6 +784,24 @@ def topology_ends(spark, sf_dir):
     return top.withColumn("is_root", F.lit(True)).unionByName(bottom.join(top.select("id"), "id", "left_anti").withColumn("is_root", F.lit(False)))
 
 
+@query("node_order", f"""WITH {PLACES.split('), closed')[0]}) SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'comms_domain' THEN 0 WHEN 'poll_group' THEN 1 WHEN 'rtu' THEN 2 ELSE 3 END, id)::INT AS node_order FROM nodes""")
+def node_order(spark, sf_dir):
+    return topology.node_order(places(spark, sf_dir)[0])
+
+
+@query("topology_ancestors", f"WITH RECURSIVE {PLACES} SELECT descendant AS id, string_agg(ancestor, '/' ORDER BY distance DESC) AS ancestors FROM closed GROUP BY ALL")
+def topology_ancestors(spark, sf_dir):
+    return topology.ancestors(places(spark, sf_dir)[1])
+
+
+@query("group_membership", f"""WITH {GRID} SELECT signal_id, CASE WHEN signal_id LIKE 'click%' THEN 'clicks' WHEN signal_id LIKE '%\\_0' ESCAPE '\\' THEN 'zeros' END AS explicit_group, split_part(signal_id, '_', 1) AS prefix_group, signal_id AS deep_group FROM firsts""")
+def group_membership(spark, sf_dir):
+    names = src.event_grid(spark, sf_dir).select("signal_id").distinct()
+    explicit = F.when(F.col("signal_id").startswith("click"), "clicks").when(F.col("signal_id").endswith("_0"), "zeros")
+    deep, none = incidents.group_of(F.col("signal_id"), incidents.GroupPolicy(depth=2)), incidents.group_of(F.col("signal_id"), incidents.GroupPolicy(depth=3))
+    return names.select("signal_id", explicit.alias("explicit_group"), incidents.group_of(F.col("signal_id"), GROUPED).alias("prefix_group"), F.coalesce(none, deep).alias("deep_group"))
+
+
 # --- sources, evaluation ---------------------------------------------------------------------------
 
 

@@ -112,9 +112,8 @@ def scan_interval(times: DataFrame, default: float) -> DataFrame:
 def registry(rows: DataFrame, most: int | None = None, policy: str = "error") -> DataFrame:
     """Signals in order of first appearance; beyond ``most`` an error or ignored."""
     first = rows.groupBy("signal_id").agg(F.min("scan_ord").alias("first_scan"))
-    # one row a signal
-    place = F.row_number().over(Window.orderBy("first_scan", "signal_id"))
-    out = first.withColumn("registration", place)
+    placed = numbered(first.withColumn("_o", F.struct("first_scan", "signal_id")), "_o", "registration")
+    out = placed.drop("_o").withColumn("registration", F.col("registration").cast("int"))
     if most is None:
         return out
     if policy == "ignore_new":
