@@ -94,10 +94,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one ``message`` event per row, numbered by turn within its conversation."""
+    """A table of finished turns as the log of a chat that ended in them, numbered by turn within its conversation.
+
+    Assistant turns were streamed: a draft of their first half, given up and generated again in two deltas. Other turns
+    were sent in two parts and then edited to what they are.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
-    return numbered.select("conv_id", F.col("message").alias("seq"), F.lit("message").alias("kind"), "message", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    one, two = F.substring(text, 1, half), F.substring(text, half + 1, F.length(text) - half)
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("at"), F.lit(kind).alias("kind"), said.alias("text")) for k, (kind, said) in enumerate(events)])
+
+    streamed = log(("message", one), ("regenerate", F.lit("")), ("delta", one), ("delta", two))
+    edited = log(("message", one), ("delta", two), ("edit", text))
+    events = numbered.withColumn("_e", F.explode(F.when(F.col("role") == LEARNED, streamed).otherwise(edited)))
+    return events.select("conv_id", (F.col("message") * 4 + F.col("_e.at")).alias("seq"), F.col("_e.kind").alias("kind"), "message", "role", F.col("_e.text").alias("text"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

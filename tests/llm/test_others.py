@@ -62,6 +62,11 @@ def test_query_with_nulls_ties_and_probe(spark, tmp_path):
     spoken = "user\n\nassistant\nhi\nassistant\nhi <|im_start|>\n"
     assert found[1]["turns_sha256"] == hashlib.sha256(spoken.encode()).hexdigest() and found[1]["n_turns"] == 3
     assert found[1]["loss_sha256"] == hashlib.sha256(b"hihi <|im_start|>").hexdigest()
+    log = chat_format.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"} and chat_format.render(chat_format.fold(log.limit(0))).count() == 0
+    long = [(7, k, "assistant" if k % 2 else "user", "é<|im_end|>" * 20_000) for k in range(6)]
+    whole = chat_format.read_back(chat_format.render(chat_format.fold(chat_format.conversation_events(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))))).first()
+    assert [t["text"] for t in whole["turns"]] == [r[3] for r in long]
     assert found[-1]["n_turns"] == 2 and found[-1]["loss_chars"] == len(chat_format.PROBE) and None in found and found[2]["loss_chars"] == 0
 
 
