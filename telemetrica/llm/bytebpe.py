@@ -72,12 +72,19 @@ class ChunkTable:
         return self.new
 
 
-def plain_core(spec: dict):
-    """tiktoken's encoding set up from a byte-level vocabulary file, if the file's ids are in the order of its merges; else None."""
+def plain_core(spec: dict, library):
+    """tiktoken's encoding set up from a byte-level vocabulary file; None unless it must give the ids of ``library``, a tokenizers one.
+
+    Both take the pair of lowest rank first, leftmost of equals, if the file's ids are in the order of its merges. tiktoken
+    takes a unit for whole at once, so the library's merges have to make every unit of its own characters; all are tried.
+    """
     vocabulary, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
     if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
         return None
+    split = library.model.tokenize
+    if any([t.id for t in split(p)] != [k] for p, k in vocabulary.items() if p not in added):
+        return None
     import tiktoken
 
     alphabet = byte_alphabet()
@@ -95,8 +102,8 @@ class IdTable(ChunkTable):
     """Token ids of chunks as little-endian unsigned 32-bit bytes, for the vocabulary in ``path``.
 
     A word with marks behind it is the word and the marks. Plain chunks are merged by tiktoken's faster
-    core, set up from the same file, if that file's ids are in the order of its merges; all others, and
-    those with strings of added tokens, go through the tokenizers library itself.
+    core where ``plain_core`` proves that it gives the same ids; all others, and those with strings of added
+    tokens, go through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -109,7 +116,7 @@ class IdTable(ChunkTable):
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.tails: dict[str, bytes] = {}
-        core = None if any(t[-1] in TAIL for t in self.special) else plain_core(spec)
+        core = None if any(t[-1] in TAIL for t in self.special) else plain_core(spec, self.library)
         self.fast = core and core.encode_ordinary
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:

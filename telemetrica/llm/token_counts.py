@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from telemetrica.llm.bytebpe import PRE_TOKEN, ChunkTable, byte_alphabet, chunks_of, parts_of, plain_core
 from telemetrica.llm.common import map_batches, resident, table, texts_of
@@ -44,7 +45,7 @@ class PrefixCounter:
         self.units = [raw(p) for p in spec["model"]["vocab"] if p not in added]
         self.place = {u: k for k, u in enumerate(self.units)}
         self.longest = max(map(len, self.units))
-        self.core, self.core_id = plain_core(spec), {raw(p): k for p, k in spec["model"]["vocab"].items() if p not in added}
+        self.core, self.core_id = plain_core(spec, Tokenizer.from_file(path)), {raw(p): k for p, k in spec["model"]["vocab"].items() if p not in added}
         self.whole = np.full(len(self.units), -1, np.int8)
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes | list[int]] = {}
