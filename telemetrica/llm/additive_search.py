@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import cut, map_batches, table
+from telemetrica.llm.common import cut, in_arrow, map_batches, table
 
 BOOKS, CODES = 16, 256
 BEAM = 4
@@ -173,7 +173,7 @@ def packed_codes(codes: DataFrame, blocks: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], ["block", "ids", "codes", "norms"])
 
     dealt = codes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "block long, ids binary, codes binary, norms binary")
+    return in_arrow(dealt, run, "block long, ids binary, codes binary, norms binary")
 
 
 def block_list(shortlist: int, blocks: int) -> int:
@@ -192,7 +192,7 @@ def packed_queries(queries: DataFrame) -> DataFrame:
                 columns = [part.column("id").to_numpy().astype("<i8"), matrix(part.column("v")).astype("<f4")]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["qids", "vectors"])
 
-    return queries.mapInArrow(run, "qids binary, vectors binary")
+    return in_arrow(queries, run, "qids binary, vectors binary")
 
 
 def shortlists(pairs: DataFrame, books: Codebooks, size: int) -> DataFrame:
@@ -214,7 +214,7 @@ def shortlists(pairs: DataFrame, books: Codebooks, size: int) -> DataFrame:
                     columns = [np.repeat(qids[k : k + 64], width), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel().astype(np.float64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "approx"])
 
-    return pairs.mapInArrow(run, "query_id long, id long, approx double")
+    return in_arrow(pairs, run, "query_id long, id long, approx double")
 
 
 def distances(pairs: DataFrame) -> DataFrame:

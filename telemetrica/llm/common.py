@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between Spark and a worker, where the session doesn't say.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, so that long texts don't add up; the bound stays with the session."""
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``rows`` applied to each Arrow batch; one narrow stage, memory bounded by a batch."""
 
@@ -26,7 +37,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch],
             if batch.num_rows:
                 yield rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

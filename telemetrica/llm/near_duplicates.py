@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import cut, map_batches, resident, table, texts_of
+from telemetrica.llm.common import cut, in_arrow, map_batches, resident, table, texts_of
 
 WORDS = 5
 #: At least this many hundredths of the union are shared.
@@ -214,7 +214,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         columns += [pa.array(before, mask=~same[at]), pa.array(common.astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, ["tree", "near", "node", "before", "common"])
 
-    return in_order(rows).mapInArrow(run, "tree int, near long, node long, before long, common int")
+    return in_arrow(in_order(rows), run, "tree int, near long, node long, before long, common int")
 
 
 def divided_blocks(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def by_block(rows: DataFrame, kind: Callable[[], Plausible | Linked], schema: st
         yield from group.end()
 
     dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "probed", "node")
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)
 
 
 class Plausible:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from telemetrica.llm.common import map_batches, table, texts_of
+from telemetrica.llm.common import in_arrow, map_batches, table, texts_of
 
 #: What is matched as an assignment, an access id and a hexadecimal run.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -307,7 +307,7 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
         columns[at] = pa.array(new, pa.string())
         return pa.RecordBatch.from_arrays(columns, names)
 
-    done = docs.mapInArrow(lambda batches: map(rows, batches), schema)
+    done = in_arrow(docs, lambda batches: map(rows, batches), schema)
     if length_column and length_column in names:
         done = done.withColumn(length_column, F.length(text_column).cast(docs.schema[length_column].dataType))
     return done

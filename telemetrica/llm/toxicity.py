@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetrica.llm.common import cut, map_batches, resident, table, texts_of
+from telemetrica.llm.common import cut, in_arrow, map_batches, resident, table, texts_of
 
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 60_000
 WINDOW, STRIDE = 32, 16
@@ -40,7 +40,7 @@ PARTS = 5
 #: Share of words that enter training without their vectors, so that odds and context must do.
 BLANK = 0.5
 EPOCHS, BATCH, RATE = 10, 128, 0.01
-WINDOW_BATCH = 8192
+WINDOW_BATCH = 2048
 KNOWN_WORDS = 150_000
 TOKEN = re.compile(r"\w+")
 THRESHOLD = 0.3
@@ -465,7 +465,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
                 found = scorer(model).scores(texts_of(batch))
                 yield batch.select(names).filter(pa.array([s < threshold for s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
