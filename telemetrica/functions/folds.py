@@ -75,7 +75,10 @@ def step_change_step(c: StepConfig) -> Callable:
         if x is None:
             return state, (active, None if candidate is None else candidate - snapshot)
         window = (*window, x)[-c.baseline :]
-        mean = sum(window) / len(window)
+        total = 0.0
+        for v in window:  # plain addition, as windows in SQL do it: Python's sum compensates and settles ties with the threshold otherwise
+            total += v
+        mean = total / len(window)
         if active:
             recover = recover + 1 if len(window) == c.baseline and abs(mean - candidate) <= c.threshold else 0
             if recover >= c.recovery:

@@ -2,6 +2,8 @@
 
 import json
 import random
+from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,35 @@ def test_step_activates_and_clears(spark):
     assert not any(column(signals.step_change(series(spark, [10, 10.1, 10.2, 10.3, 20, 10, 10]), c), "step_change"))
 
 
+def differences(spark, folder, name, values):
+    """Rows of a query over events (user_id, value, k) that its SQL doesn't have, and the reverse."""
+    import duckdb
+
+    from telemetrica.plans import catalog
+
+    at = datetime(2024, 1, 1)
+    rows = [(n, at + timedelta(seconds=n), u, "view", float(v), f'{{"k": {k}}}') for n, (u, v, k) in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    found = Counter(tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).collect())
+    told = Counter(db.execute(catalog.ORACLES[name]).fetchall())
+    assert told.total() == len(rows)
+    return list((found - told) + (told - found))
+
+
+def test_step_settles_ties_as_its_sql(spark, tmp_path):
+    # hundredths, the tenth of which is at the threshold from the mean of all ten: x - (s + x) / 10 = 5
+    rng = random.Random(5)
+    values = []
+    for u in range(200):
+        nine = [rng.randrange(6000) for _ in range(9)]
+        nine[0] += -(5000 + sum(nine)) % 9
+        values += [(u, v / 100, 5) for v in (*nine, (5000 + sum(nine)) // 9)]
+    assert not differences(spark, tmp_path, "step_change", values)
+
+
 def test_limits_hold_with_persistence(spark):
     df = signals.plausibility(series(spark, [11, 11.5]), SignalConfig(value_max=10.0, plausibility_persistence=2))
     assert column(df, "plausibility_violation") == [False, True]
