@@ -136,7 +136,8 @@ def poll_statistics(polls: DataFrame, key: str, order: str) -> DataFrame:
 def quality_monitor(stats: DataFrame, key: str, order: str) -> DataFrame:
     """Trends of failure rate and latency over ten updates, a weighted score and its class.
 
-    Input: the columns of ``poll_statistics`` per update.
+    Input: the columns of ``poll_statistics`` per update. Scores are rounded to twelve digits, so that one that is
+    exactly at a limit of a class meets it, whatever the order in which its averages were added up.
     """
     w = Window.partitionBy(key).orderBy(order)
 
@@ -152,5 +153,5 @@ def quality_monitor(stats: DataFrame, key: str, order: str) -> DataFrame:
         + part(20, F.col("avg_jitter_ms"), 200)
         + (10 - F.least(F.col("max_dropout_streak") * 2, F.lit(10)))
     )
-    df = stats.withColumns({"dropout_trend": trend("failure_rate"), "latency_trend": trend("avg_rtt_ms"), "quality_score": score})
+    df = stats.withColumns({"dropout_trend": trend("failure_rate"), "latency_trend": trend("avg_rtt_ms"), "quality_score": F.round(score, 12)})
     return df.withColumn("quality_class", F.when(F.col("quality_score") >= 90, "excellent").when(F.col("quality_score") >= 75, "good").when(F.col("quality_score") >= 50, "fair").when(F.col("quality_score") >= 25, "poor").otherwise("critical"))

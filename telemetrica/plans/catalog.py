@@ -6,6 +6,8 @@ Floats are rounded to nine digits on both sides. ``SERIES`` and ``GRID`` are the
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -730,7 +732,9 @@ MONITOR = f"""{POLLS}, st AS (SELECT rtu_id, n, count(*) FILTER (NOT poll_succes
   CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 25 THEN 'poor' ELSE 'critical' END AS quality_class FROM tr""")
 def comms_quality_monitor(spark, sf_dir):
     df = comms.quality_monitor(comms.poll_statistics(poll_rows(spark, sf_dir), "rtu_id", "n"), "rtu_id", "n")
-    return df.select("rtu_id", "n", "dropout_trend", F.round(F.col("quality_score") + 1e-7, 6).alias("quality_score"), "quality_class")
+    # in decimals: scores of 625 polls and more lie on rounding ties even after the shift
+    shifted = F.col("quality_score").cast("decimal(18,12)") + F.lit(Decimal("0.0000001"))
+    return df.select("rtu_id", "n", "dropout_trend", F.round(shifted, 6).cast("double").alias("quality_score"), "quality_class")
 
 
 PLACES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'comms_domain' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'poll_group' FROM nation

@@ -1,9 +1,12 @@
 """Operators on small fixtures, sequential models against windows, and streams against batch."""
 
 import json
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from fractions import Fraction
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from telemetrica.config import built, flattened, load_yaml, merged
 from telemetrica.functions.folds import StepConfig, TrackerConfig, ewma_step, ordered_fold, step_change_step, tracker_step
 from telemetrica.operators import comms, incidents, publish, rca, signals, topology
 from telemetrica.operators.signals import SignalConfig
+from telemetrica.plans import catalog
 from telemetrica.sources import scans
 from telemetrica.streaming.signals import publish as run_stream
 from telemetrica.streaming.signals import stateful_fold
@@ -42,21 +46,24 @@ def test_step_activates_and_clears(spark):
     assert not any(column(signals.step_change(series(spark, [10, 10.1, 10.2, 10.3, 20, 10, 10]), c), "step_change"))
 
 
-def differences(spark, folder, name, values):
-    """Rows of a query over events (user_id, value, k) that its SQL doesn't have, and the reverse."""
-    import duckdb
-
-    from telemetrica.plans import catalog
-
+def write_events(spark, folder, values):
+    """The events table of (user_id, value, k), in this order."""
     at = datetime(2024, 1, 1)
     rows = [(n, at + timedelta(seconds=n), u, "view", float(v), f'{{"k": {k}}}') for n, (u, v, k) in enumerate(values)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     df.coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def differences(spark, folder, name, values):
+    """Rows of a query over events that its SQL doesn't have, and the reverse."""
+    import duckdb
+
+    write_events(spark, folder, values)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
     found = Counter(tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).collect())
     told = Counter(db.execute(catalog.ORACLES[name]).fetchall())
-    assert told.total() == len(rows)
+    assert told.total() == len(values)
     return list((found - told) + (told - found))
 
 
@@ -71,6 +78,29 @@ def test_step_settles_ties_as_its_sql(spark, tmp_path):
     assert not differences(spark, tmp_path, "step_change", values)
 
 
+def test_monitor_settles_ties_exactly(spark, tmp_path):
+    rng = random.Random(6)
+    series = {}
+    for u in range(100):  # without failures and with a streak of two a score is 96 - 0.4 * mean: 75 at a mean of 52.50, 90 at 15.00
+        total = 10_500 if u % 2 else 3_000
+        series[u] = [v for _ in range(30) for x in [rng.randrange(total)] for v in (x, total - x)]
+    for u in range(100, 110):  # the 625th score, shifted, is halfway between two numbers of six digits
+        series[u] = [rng.randrange(10_000) for _ in range(624)]
+        series[u].append(5_004 - sum(series[u]) % 5)
+    write_events(spark, tmp_path, [(u, v / 100, 2) for u, values in series.items() for v in values])
+    told, halves = {}, 0
+    for u, values in series.items():
+        for n, total in enumerate(accumulate(values), 1):
+            mean = Fraction(total, 100 * n)
+            score = 66 + max(30 - mean * 3 / 10, 0) - mean / 10
+            micro = (score + Fraction(1, 10**7)) * 10**6
+            halves += micro % 1 == Fraction(1, 2)
+            told[u, n] = (math.floor(micro + Fraction(1, 2)) / 10**6, "excellent" if score >= 90 else "good" if score >= 75 else "fair" if score >= 50 else "poor")
+    assert halves >= 10
+    found = {(r["rtu_id"], r["n"]): (r["quality_score"], r["quality_class"]) for r in catalog.QUERIES["comms_quality_monitor"](spark, str(tmp_path)).collect()}
+    assert found == told
+
+
 def test_limits_hold_with_persistence(spark):
     df = signals.plausibility(series(spark, [11, 11.5]), SignalConfig(value_max=10.0, plausibility_persistence=2))
     assert column(df, "plausibility_violation") == [False, True]
